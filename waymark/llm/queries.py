@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, near_dup, packing, pii, quality_rules
 from .common import documents, labels
 
 
@@ -25,9 +26,23 @@ def op10_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
+def op5_swap_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_coordinate_join_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dedup(documents(spark, sf_dir), k=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_heavy_hitter_dedup, op10_decision_list_quality)}
+    return {f.__name__: f for f in QUERIES}
+
 
+QUERIES = (op1_weak_supervision_pii, op4_heavy_hitter_dedup, op5_swap_search_packing, op8_coordinate_join_near_dedup, op10_decision_list_quality)
 
 OP4_SQL = r"""
 WITH d AS (
