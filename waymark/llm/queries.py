@@ -8,8 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dup, packing, pii, quality_rules
-from .common import documents, labels
+from . import exact_dedup, language_id, near_dup, packing, pii, quality_rules, toxicity
+from .common import documents, held_out, labels
+
+
+def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score_toxicity(docs, labels(spark, sf_dir), lambda doc_id: ~held_out(doc_id))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op4_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +40,13 @@ def op5_swap_search_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = language_id.learn_profiles(docs.filter(~held_out(F.col("doc_id"))).select(F.col("lang").alias("label"), "text"))
+    told = language_id.predict_language(docs, profiles)
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_coordinate_join_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dedup(documents(spark, sf_dir), k=4)
 
@@ -42,7 +55,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op1_weak_supervision_pii, op4_heavy_hitter_dedup, op5_swap_search_packing, op8_coordinate_join_near_dedup, op10_decision_list_quality)
+QUERIES = (
+    op1_weak_supervision_pii,
+    op2_noisy_channel_toxicity,
+    op4_heavy_hitter_dedup,
+    op5_swap_search_packing,
+    op6_rank_order_language,
+    op8_coordinate_join_near_dedup,
+    op10_decision_list_quality,
+)
 
 OP4_SQL = r"""
 WITH d AS (
