@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, near_dup, packing, pii, quality_rules, toxicity
+from . import (
+    exact_dedup,
+    language_id,
+    near_dup,
+    packing,
+    pii,
+    quality_rules,
+    sentencepiece_dropout,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from .common import documents, held_out, labels
 
 
@@ -18,10 +29,23 @@ def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    edits = token_counts.derived_edits(F.col("doc_id"), F.col("text"))
+    told = docs.select("doc_id", token_counts.counts_after_edits(F.col("text"), edits, path, pattern).alias("told"))
+    names = ("tokens_before", "tokens_after", "pretokens", "recounted")
+    return told.select("doc_id", *(F.col(f"told.{x}").alias(x) for x in names), F.sha2(F.col("told.edited"), 256).alias("edited_sha256"))
+
+
 def op4_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(documents(spark, sf_dir)).withColumnRenamed("ref_id", "ref_doc_id")
+
+
 def op10_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = quality_rules.quality_decisions(documents(spark, sf_dir), labels(spark, sf_dir))
     return decided.select(
@@ -47,6 +71,19 @@ def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_merge_dropout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir)
+    encoded = docs.select("doc_id", "text", sentencepiece_dropout.encode_with_dropout(F.col("text"), F.col("doc_id"), path).alias("ids"))
+    return encoded.withColumn("decoded", sentencepiece_dropout.decode_ids(F.col("ids"), path)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op8_coordinate_join_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dedup(documents(spark, sf_dir), k=4)
 
@@ -58,10 +95,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 QUERIES = (
     op1_weak_supervision_pii,
     op2_noisy_channel_toxicity,
+    op3_edit_aware_token_counts,
     op4_heavy_hitter_dedup,
     op5_swap_search_packing,
     op6_rank_order_language,
+    op7_merge_dropout_pieces,
     op8_coordinate_join_near_dedup,
+    op9_collinear_passages,
     op10_decision_list_quality,
 )
 
