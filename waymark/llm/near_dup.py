@@ -7,11 +7,11 @@
    only these are joined; the long lists of frequent pairs are skipped and count only in the check of the full
    signatures. A class with fewer than `matches` shared pairs drops out before any join.
 3. Posting lists of up to `small` classes are joined within themselves. In a longer list every class is compared with
-   the list's most central class only (its pivot), so that the work stays linear. Classes linked to the pivot are
-   connected by that. If o isn't linked to pivot b, a class x linked to o must share more than
-   (|x diff b| + (|b| - |x|) (1-s)/(1+s)) / 2 elements of their symmetric differences to b. So the differences are
-   posted as new lists, by all of o's elements and by the rarest elements of x that this bound leaves, and step 3 is
-   repeated on them until no long list is left. No link between classes that step 2 pairs is lost.
+   the list's most central class (its pivot). Classes linked to the pivot are connected by that and need no comparison
+   among themselves. Where some class isn't linked to its pivot, it alone is compared with the list's other classes: all
+   carry their differences to the pivot, from which similarities follow exactly, and are dealt into blocks of at most
+   about `block` classes a side, so that no task gets a whole list. A block emits a spanning forest of the links it
+   finds, never its pairs.
 4. All links are confirmed on the full sets: 100 * intersection >= 100 s * union. Components give the answer.
 
 With 32 coordinates and 16 matches a pair of similarity 0.8 is missed with probability below 1e-4.
@@ -107,24 +107,19 @@ def _postings(classes: DataFrame, coords: int, matches: int) -> DataFrame:
     ).select("g", F.col("cls").alias("c"), F.col("n_shingles").alias("n"), "keys")
 
 
-def _alike(na: Column, nb: Column, percent: int) -> Column:
-    """Whether sets of these sizes can be similar enough at all."""
-    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-
-
-def _pairs_within(posts: DataFrame, percent: int, check) -> DataFrame:
-    """(a, b) of classes in one list of which one must be compared (need) and the other is posted as a partner (offer)."""
-    left = posts.filter("need").select(F.col("g").alias("ga"), F.col("c").alias("a"), F.col("n").alias("na"), *([F.col("keys").alias("ka")] if check is not None else []))
-    right = posts.filter("offer").select(F.col("g").alias("gb"), F.col("c").alias("b"), F.col("n").alias("nb"), *([F.col("keys").alias("kb")] if check is not None else []))
-    on = (F.col("ga") == F.col("gb")) & (F.col("a") != F.col("b")) & _alike(F.col("na"), F.col("nb"), percent)
-    on = on & (F.col("a") < F.col("b")) & check if check is not None else on
-    return left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs_within(posts: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b) of classes in one list with `matches` equal coordinates or more."""
+    left = posts.select(F.col("g").alias("ga"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    right = posts.select(F.col("g").alias("gb"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    on = (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b")) & alike & (F.size(F.array_intersect("ka", "kb")) >= matches)
+    return left.join(right, on).select("a", "b").distinct()
 
 
 def _split_lists(posts: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Postings of the lists of 2 to `small` classes, and (pivot, c) of the longer ones."""
-    sizes = posts.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.count_if("need").alias("asks")).filter("size > 1 and asks > 0")
-    sized = posts.join(sizes.select(F.col("g").alias("k"), "size"), F.col("g") == F.col("k")).drop("k")
+    """Postings of the lists of 2 to `small` classes, and (pivot, c) of the longer lists."""
+    sizes = posts.groupBy("g").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("g").alias("k"), "size")
+    sized = posts.join(sizes, F.col("g") == F.col("k")).drop("k")
     long = sized.filter(F.col("size") > small).select("g", "c")
     central = long.groupBy("c").agg(F.count(F.lit(1)).alias("lists")).select(F.col("c").alias("x"), "lists")
     pivots = (
@@ -151,35 +146,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _with_sets(pairs, sets, "a", "b").filter(_linked(percent)).select("a", "b")
 
 
-def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links of stars (a: pivot, b: class), and the postings of the differences to pivots that some class isn't linked to."""
-    compared = _with_sets(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")), sets, "a", "b").select(
-        "a", "b", _linked(percent).alias("linked"), F.size("ha").alias("na"), F.size("hb").alias("n"),
-        F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha")).alias("diff"),
-    )
-    compared = materialize(compared, "compared")
-    open_pivots = compared.filter("not linked").select(F.col("a").alias("p")).distinct()
-    posted = (
-        compared.join(open_pivots, F.col("a") == F.col("p"))
-        .select("a", "b", "na", "n", "linked", F.size("diff").alias("d"), F.explode("diff").alias("e"))
-        .select("a", "b", "na", "n", "linked", "d", F.xxhash64("a", "e").alias("g"))
+def _compared(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, n, diff): pivot, class, whether they are linked, size of the class's set, its difference to the pivot's."""
+    both = _with_sets(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")), sets, "a", "b")
+    diff = F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha"))
+    return both.select("a", "b", _linked(percent).alias("linked"), F.size("hb").alias("n"), diff.alias("diff"))
+
+
+def _blocks(compared: DataFrame, block: int) -> DataFrame:
+    """Rows of compared by (a, i, j): those to be compared further (asks), and all of the pivot's, once for each partner block."""
+    counts = compared.groupBy("a").agg(F.count_if(~F.col("linked")).alias("asking"), F.count(F.lit(1)).alias("all")).filter("asking > 0")
+    counts = counts.select(F.col("a").alias("k"), F.ceil(F.col("asking") / block).alias("rows"), F.ceil(F.col("all") / block).alias("columns"))
+    dealt = compared.join(counts, F.col("a") == F.col("k")).drop("k")
+    asking = dealt.filter("not linked").select(
+        "a", F.pmod(F.xxhash64("b"), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), F.lit(True).alias("asks"), "b", "n", "diff"
     )
-    seen = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.col("g").alias("k"), "df")
-    rate = (100 - percent) / (100 + percent)
-    least = F.floor((F.col("d") + (F.col("na") - F.col("n")) * rate) / 2) + 1  # of shared elements, if a link remains
-    listed = (
-        posted.join(seen, F.col("g") == F.col("k"))
-        .groupBy("a", "b", "na", "n", "linked", "d")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("found"))  # at most the two sets
-        .filter(F.size("found") >= F.when(F.col("linked"), least).otherwise(1))
+    asked = dealt.select(
+        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("b", F.lit(1)), "columns").alias("j"), F.lit(False).alias("asks"), "b", "n", "diff"
     )
-    posts = listed.select("b", "n", "linked", (F.size("found") - least + 1).alias("prefix"), F.posexplode("found.g").alias("at", "g"))
-    posts = posts.select(F.col("g"), F.col("b").alias("c"), "n", (~F.col("linked")).alias("need"), (F.col("at") < F.col("prefix")).alias("offer")).filter("need or offer")
-    return compared.filter("linked").select("a", "b"), posts.distinct()
+    return asking.unionByName(asked)
+
+
+def _forest(table: pa.Table, percent: int) -> pa.Table:
+    """Spanning links between the asking classes and the others of one block."""
+    names, sizes, lists = table.column("b").to_pylist(), table.column("n").to_numpy(), table.column("diff").combine_chunks()
+    lengths = np.asarray(lists.value_lengths())
+    _, tokens = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    rows = np.repeat(np.arange(len(names)), lengths)
+    asks = np.asarray(table.column("asks").combine_chunks().to_numpy(zero_copy_only=False), bool)
+    ask, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+    shared = np.zeros((len(ask), len(other)), np.float32)
+    for at in range(0, int(tokens.max(initial=-1)) + 1, 8192):  # columns of the incidence matrix in strips
+        inside = (tokens >= at) & (tokens < at + 8192)
+        strip = np.zeros((len(names), 8192), np.float32)
+        strip[rows[inside], tokens[inside] - at] = 1
+        shared += strip[ask] @ strip[other].T
+    apart = lengths[ask][:, None] + lengths[other][None, :] - 2 * shared.astype(np.int64)
+    total = sizes[ask].astype(np.int64)[:, None] + sizes[other][None, :]
+    linked = (total - apart) * 100 >= (total + apart) * percent
+    links, rows_left, columns_left = [], np.ones(len(ask), bool), np.ones(len(other), bool)
+    for root in range(len(ask)):
+        front = [root] if rows_left[root] else []
+        rows_left[root] = False
+        while front:
+            r = front.pop()
+            for c in np.flatnonzero(linked[r] & columns_left):
+                columns_left[c] = False
+                links.append((names[ask[r]], names[other[c]]))
+                more = np.flatnonzero(linked[:, c] & rows_left)
+                rows_left[more] = False
+                links += [(names[ask[x]], names[other[c]]) for x in more]
+                front += more.tolist()
+    return pa.table({"a": pa.array([x for x, y in links if x != y], pa.binary()), "b": pa.array([y for x, y in links if x != y], pa.binary())})
 
 
 def near_dup_classes(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, coords: int = 32, matches: int = 16, small: int = 16
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, coords: int = 32, matches: int = 16, small: int = 16, block: int = 256
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: id, cls, n_shingles; classes: cls, rep; links: a, b between classes)."""
     keyed = _keyed(df, id_col, text_col)
@@ -193,45 +215,34 @@ def near_dup_classes(
         .agg(F.min("id").alias("rep"), F.min("rid").alias("rid"), F.any_value("sig").alias("sig")),
         "classes",
     )
-    posts = materialize(_postings(classes, coords, matches).withColumns({"need": F.lit(True), "offer": F.lit(True)}), "postings")
-    check = F.size(F.array_intersect("ka", "kb")) >= matches
-    few, stars = _split_lists(posts, small)
-    pairs, stars = materialize(_pairs_within(few, percent, check), "pairs"), materialize(stars, "stars")
+    few, stars = _split_lists(materialize(_postings(classes, coords, matches), "postings"), small)
+    pairs, stars = materialize(_pairs_within(few, percent, matches), "pairs"), materialize(stars, "stars")
     ends = [x.select(F.col(c).alias("want")) for x, c in ((pairs, "a"), (pairs, "b"), (stars, "pivot"), (stars, "c"))]
     wanted = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct()
     wanted = classes.join(wanted, F.col("cls") == F.col("want")).select("cls", F.col("rid").alias("want_rid"))
     texts = keyed.join(wanted, F.col("rid") == F.col("want_rid")).select("cls", "text")
     sets = materialize(texts.mapInArrow(partial(_full_sets, k=k), "cls binary, hashes array<long>"), "sets")
-    links = [_confirmed(pairs, sets, percent)]
-    while not stars.isEmpty():
-        linked, posts = _differences(stars, sets, percent)
-        links.append(linked)
-        few, stars = _split_lists(materialize(posts, "postings"), small)
-        pairs, stars = materialize(_pairs_within(few, percent, None), "pairs"), materialize(stars, "stars")
-        links.append(_confirmed(pairs, sets, percent))
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return rows, classes.select("cls", "rep"), materialize(found.distinct(), "links")
+    compared = materialize(_compared(stars, sets, percent), "compared")
+
+    def forest(table: pa.Table) -> pa.Table:
+        return _forest(table, percent)
+
+    further = _blocks(compared, block).groupBy("a", "i", "j").applyInArrow(forest, "a binary, b binary")
+    links = _confirmed(pairs, sets, percent).unionByName(compared.filter("linked").select("a", "b")).unionByName(further)
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows, classes.select("cls", "rep"), materialize(links, "links")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row for each row of df: id, n_shingles, component_id, kept, n_links (of its class with other classes)."""
+    """One row for each row of df: id, n_shingles, component_id, kept."""
     rows, classes, links = near_dup_classes(df, id_col, text_col, **how)
     roots = components(links, "a", "b")
-    ends = links.select(F.col("a").alias("e")).union(links.select(F.col("b").alias("e"))).groupBy("e").agg(F.count(F.lit(1)).alias("n_links"))
-    named = (
-        classes.join(roots, F.col("cls") == F.col("node"), "left")
-        .join(ends, F.col("cls") == F.col("e"), "left")
-        .select("cls", "rep", "n_links", F.coalesce("root", "cls").alias("root"))
-    )
+    named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    told = materialize(named.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "n_links", "component_id"), "named")
-    out = rows.join(told, F.col("cls") == F.col("c"), "left")
+    told = materialize(named.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component_id"), "named")
+    out = rows.select("id", "cls", "n_shingles").join(told, F.col("cls") == F.col("c"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
