@@ -18,7 +18,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -29,17 +29,25 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit bytes, by a tokenizer that drops white space and never crosses it."""
+    """Ids of a text as little-endian 32-bit bytes, by a tokenizer that drops white space and never crosses it.
+
+    A word met for the first time goes through the tokenizer's merges; printable Latin words are normalised and cut here
+    by the tokenizer's own rule, all others go through its whole pipeline.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.byte_signs = _byte_signs()
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
@@ -50,19 +58,41 @@ class WordEncoder:
             if len(known) > CACHED_WORDS:
                 known.clear()
                 known[""] = b""
-            new = [w for w in set(words) if w not in known]
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[word] = np.array(got.ids, "<u4").tobytes()
+            for word in words:
+                if word not in known:
+                    known[word] = self._encode_word(word)
             return b"".join(map(known.__getitem__, words))
 
+    def _encode_word(self, word: str) -> bytes:
+        if not word.isprintable() or max(word) >= "\u0250" or "<|" in word:
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for part in self.cut(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) > CACHED_WORDS:
+                    self.parts.clear()
+                signs = part.encode().decode("latin-1").translate(self.byte_signs)
+                ids = self.parts[part] = b"".join(x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(signs))
+            out.append(ids)
+        return b"".join(out)
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte: itself if it prints, else the next free code point from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One per worker process, so that its table outlives a task."""
+    return WordEncoder(path)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    encoder, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
     number = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
     for batch in batches:
         rows, piece, start, length, crc = [], [], [], [], []
