@@ -83,7 +83,8 @@ def date_rules(flat: Column) -> list[Column]:
 
 def extract_date_window(text: Column) -> Column:
     """(start, end, rule) by the first rule that gives a real window; null without one. Both ends count."""
-    return F.coalesce(*date_rules(fold_typography(text)))
+    # bound once: as one flat expression the rules would outgrow a generated method
+    return F.get(F.transform(F.array(fold_typography(text)), lambda flat: F.coalesce(*date_rules(flat))), F.lit(0))
 
 
 def assume_year(text: Column, year: Column) -> Column:

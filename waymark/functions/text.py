@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Letters and their base letters, word lists of name keys, decoys, and typographic signs.
-ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőřśšșťțùúûüūůűýÿžźżÀÁÂÃÄÅĀĂĄÇĆČĎÈÉÊËĒĖĘĚÌÍÎÏĪĮŁÑŃŇÒÓÔÕÖØŌŐŘŚŠȘŤȚÙÚÛÜŪŮŰÝŸŽŹŻ"
-BASE = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnooooooooorsssttuuuuuuuyyzzzAAAAAAAAACCCDEEEEEEEEIIIIIILNNNOOOOOOOOORSSSTTUUUUUUUYYZZZ"
+ACCENTS = {
+    "a": "àáâãäåāăą", "c": "çćčĉċ", "d": "ď", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭį", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň",
+    "o": "òóôõöōŏő", "r": "ŕŗř", "s": "śŝşšș", "t": "ţťț", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
+}
 BUILDING_WORDS = "refuge|rifugio|refugio|hutte|cabane|capanna|bivouac|bivacco|du|de|des|la|le|les|del|della|di|d|l"
 LOOSE_WORDS = (
     "refuge|rifugio|refugio|hutte|cabane|bivouac|bivacco|voie|route|via|arete|cresta|couloir|glacier|ghiacciaio|"
@@ -23,8 +25,9 @@ CLOSURE_WORDS = r"fermeture|fermes?\b|interdiction|interdit|interdite|suspendu|i
 
 
 def fold(text: Column) -> Column:
-    """Accents off, combining marks off, lower case."""
-    return F.lower(F.regexp_replace(F.translate(text, ACCENTED, BASE), r"\p{M}", ""))
+    """Lower case, accents off, combining marks off, sharp s as two letters."""
+    accented, base = "".join(ACCENTS.values()), "".join(k * len(v) for k, v in ACCENTS.items())
+    return F.replace(F.regexp_replace(F.translate(F.lower(text), accented, base), r"\p{M}", ""), F.lit("ß"), F.lit("ss"))
 
 
 def collapse_space(text: Column) -> Column:
@@ -92,7 +95,7 @@ def classify_sentence(text: Column) -> Column:
 
 def split_sentences(text: Column, least: int = 12) -> Column:
     """Pieces between full stops, marks, line ends, bullets and semicolons, those that are too short left out."""
-    return F.filter(F.transform(F.split(text, r"[.!?\n•;]+"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(text, r"[.!?\n•;]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
 # Parts of a page that are not its text, and signs written as entities.
@@ -201,7 +204,7 @@ def lift_counts(text: Column) -> Column:
     names = F.regexp_extract_all(text, F.lit(r"(\p{L}+)\s*\(\s*(\d+)\s*/\s*(\d+)\s*\)"), F.lit(1))
     opened = F.regexp_extract_all(text, F.lit(r"(\p{L}+)\s*\(\s*(\d+)\s*/\s*(\d+)\s*\)"), F.lit(2))
     total = F.regexp_extract_all(text, F.lit(r"(\p{L}+)\s*\(\s*(\d+)\s*/\s*(\d+)\s*\)"), F.lit(3))
-    return F.map_from_arrays(F.transform(names, fold), F.transform(F.arrays_zip(opened.alias("o"), total.alias("t")), lambda x: F.struct(x["o"].cast("int").alias("open"), x["t"].cast("int").alias("total"))))
+    return F.map_from_arrays(F.transform(names, lambda n: fold(n)), F.transform(F.arrays_zip(opened.alias("o"), total.alias("t")), lambda x: F.struct(x["o"].cast("int").alias("open"), x["t"].cast("int").alias("total"))))
 
 
 def glosses(text: Column, lexicon: list[tuple[str, str]]) -> Column:

@@ -528,9 +528,9 @@ def geometry_provenance(spark, d):
     return fa.geometry_provenance(f).select("feature_id", "geom_source")
 
 
-@query("SELECT source_id FROM src LEFT JOIN (SELECT source_id, max(fetched_at) AS newest FROM fact GROUP BY 1) USING (source_id) WHERE newest IS NULL OR newest + 7 <= DATE '2001-10-30'")
+@query("SELECT source_id FROM src LEFT JOIN (SELECT source_id, max(fetched_at) AS newest FROM fact GROUP BY 1) USING (source_id) WHERE newest IS NULL OR newest + 7 <= DATE '2001-11-12'")
 def due_facts(spark, d):
-    return fa.due_facts(tb.facts(spark, d), tb.sources(spark, d), "2001-10-30").select("source_id")
+    return fa.due_facts(tb.facts(spark, d), tb.sources(spark, d), "2001-11-12").select("source_id")
 
 
 @query("SELECT feature_id FROM feat WHERE feature_id NOT IN (SELECT feature_id FROM fact WHERE key = 'phone' AND value IS NOT NULL)")
