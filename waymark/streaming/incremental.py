@@ -82,4 +82,4 @@ def absence_counts(claims: DataFrame, runs: DataFrame) -> DataFrame:
     by_day = runs.filter("ok").groupBy("source_id", "started_at").agg(F.count(F.lit(1)).alias("n"))
     total = by_day.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("started_at", "n"))).alias("days"))
     missed = F.aggregate(F.filter("days", lambda x: x["started_at"] > F.col("last_seen_at")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    return claims.join(F.broadcast(total), "source_id", "left").select("id", F.coalesce(missed, F.lit(0)).alias("missed"))
+    return claims.join(total, "source_id", "left").select("id", F.coalesce(missed, F.lit(0)).alias("missed"))
