@@ -64,4 +64,4 @@ def exact_dedup(
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that exact_dedup drops; all columns stay. A row with a null id stays."""
     lost = exact_dedup(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias("lost_id")).distinct()
-    return df.join(lost, df[id_col] == F.col("lost_id"), "left_anti")
+    return df.join(lost, df[id_col] == lost["lost_id"], "left_anti")

@@ -248,4 +248,4 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """df with one document of each component; all columns stay. A row with a null id stays."""
     lost = near_dedup(df, id_col, text_col, **how).filter("not kept").select(F.col(id_col).alias("lost_id")).distinct()
-    return df.join(lost, df[id_col] == F.col("lost_id"), "left_anti")
+    return df.join(lost, df[id_col] == lost["lost_id"], "left_anti")

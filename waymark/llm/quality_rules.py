@@ -228,4 +228,4 @@ def quality_decisions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that the rules reject; all columns stay. A row with a null id stays."""
     lost = quality_decisions(docs, labels, id_col, text_col).filter("not q_kept").select(F.col("id").alias("lost_id")).distinct()
-    return docs.join(lost, docs[id_col] == F.col("lost_id"), "left_anti")
+    return docs.join(lost, docs[id_col] == lost["lost_id"], "left_anti")
