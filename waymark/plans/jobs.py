@@ -206,3 +206,19 @@ def run_counters(runs: DataFrame, stored: DataFrame) -> DataFrame:
     ).join(runs.groupBy("source_id").agg(F.count(F.lit(1)).alias("runs")), "source_id", "left")
 
 
+
+
+def facts_from_directory(candidates: DataFrame, matches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(feature_id, facts): whitelisted, non-null fields of matched candidates; a capacity of 0 is unknown."""
+    values = F.map_from_arrays(F.array(*(F.lit(k) for k in keys)), F.array(*(F.col(k).cast("string") for k in keys)))
+    kept = F.map_filter(values, lambda k, v: v.isNotNull() & ~((k == "capacity") & (v == "0")))
+    return candidates.join(matches.select("feature_id", "cand_id"), "cand_id").select("feature_id", kept.alias("facts"))
+
+
+def manual_write(stored: DataFrame, staged: DataFrame, sources: DataFrame, as_of) -> DataFrame:
+    """Status after hand-written claims: those that pass the check are appended, replace and lift, and their features are computed again."""
+    ok = rv.manual_claim_check(staged).filter("reject_reason is null").select(*stored.columns)
+    every = li.append_statements(stored, ok)
+    live = li.live_after_replacement(every)
+    live = live.join(li.lift_undated_closures(live).select("id"), "id", "left_anti")
+    return st.current_status(live.join(ok.select("feature_id").distinct(), "feature_id", "left_semi"), sources, as_of)
