@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, a lost executor costs a reread only."""
+    ship_code(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/waymark/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once, for sessions whose workers don't find it on their path."""
+    context = spark.sparkContext
+    if not getattr(context, "waymark_shipped", False):
+        context.waymark_shipped = True
+        root = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp(prefix="spark-")
+        with zipfile.ZipFile(f"{folder}/waymark_code.zip", "w") as archive:
+            for file in sorted((root / "waymark").rglob("*.py")):
+                archive.write(file, file.relative_to(root))
+        context.addPyFile(f"{folder}/waymark_code.zip")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
