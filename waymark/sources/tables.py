@@ -52,7 +52,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         base(spark, sf_dir, "lineitem")
         .withColumn("d", F.to_date("l_shipdate"))
         .selectExpr(
-            "concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey) AS id", "l_partkey AS feature_id", "l_suppkey % 8 AS source_id", "l_orderkey AS document_id",
+            "concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS INT)) AS id", "l_partkey AS feature_id", "l_suppkey % 8 AS source_id", "l_orderkey AS document_id",
             "l_orderkey * 8 + l_linenumber AS seq",
             "CASE l_returnflag WHEN 'A' THEN 'closure' WHEN 'R' THEN 'opening' WHEN 'N' THEN 'restriction' END AS type",
             "CASE WHEN l_linestatus = 'F' THEN 'unknown' WHEN l_returnflag = 'A' THEN 'closed' WHEN l_returnflag = 'N' THEN 'restricted' WHEN l_linenumber = 7 THEN 'unstaffed' ELSE 'open' END AS status",
@@ -108,7 +108,7 @@ feat AS (SELECT p_partkey AS feature_id, p_name AS name, lower(p_type) AS kind,
   CAST(6.60 AS DOUBLE) + CAST((p_partkey * 53) % 50 AS DOUBLE) / 1000 AS lon FROM part),
 src AS (SELECT s_suppkey AS source_id, s_name AS name, CAST(1 + s_nationkey % 9 AS DOUBLE) / 10 AS trust,
   CAST(180 * (1 + s_nationkey % 4) AS INT) AS interval_min, CASE WHEN s_suppkey % 2 = 0 THEN 40 END AS retire_after FROM supplier WHERE s_suppkey < 8),
-stmt AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey) AS id, l_partkey AS feature_id, l_suppkey % 8 AS source_id, l_orderkey AS document_id,
+stmt AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS INT)) AS id, l_partkey AS feature_id, l_suppkey % 8 AS source_id, l_orderkey AS document_id,
   l_orderkey * 8 + l_linenumber AS seq,
   CASE l_returnflag WHEN 'A' THEN 'closure' WHEN 'R' THEN 'opening' WHEN 'N' THEN 'restriction' END AS type,
   CASE WHEN l_linestatus = 'F' THEN 'unknown' WHEN l_returnflag = 'A' THEN 'closed' WHEN l_returnflag = 'N' THEN 'restricted' WHEN l_linenumber = 7 THEN 'unstaffed' ELSE 'open' END AS status,
