@@ -1,8 +1,8 @@
 """SentencePiece merge-type encoding with seeded merge-dropout, and its decoding.
 
-A text is cut into chunks of spaces followed by other characters, which no piece of the model crosses. Each chunk is
-merged by an agenda of adjacent pairs, best score first, leftmost first. With dropout each candidate merge that comes
-up is skipped if a keyed hash of (seed, variant, chunk, place, piece) falls below the rate, so the same key always
+A text is cut into chunks of spaces followed by other characters, and these between characters that no piece of the model
+has side by side, so that no merge crosses a cut. Each part is merged by an agenda of adjacent pairs, best score first, leftmost first. With dropout each candidate merge that comes
+up is skipped if a keyed hash of (seed, variant, part, place, piece) falls below the rate, so the same key always
 gives the same segmentation, in any task and after any loss of an executor. A document's variant is a hash of its id
 modulo `variants`; other seeds give other segmentations. At rate 0 the ids are those of the SentencePiece library.
 
@@ -26,7 +26,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 META = "▁"
-CACHED_CHUNKS = 300_000
+LITERAL = "\x00" + META  # a sign U+2581 of the text itself; no piece holds it
+NEVER = float("inf")
+SHORT = 64
+CACHED_CHUNKS = 500_000
 _CHUNK = re.compile(r" *[^ ]+| +")
 
 
@@ -37,7 +40,7 @@ class MergeModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids, self.scores, self.bytes_of, self.byte_ids = {}, {}, [], {}
+        self.ids, self.costs, self.bytes_of, self.byte_ids = {}, {}, [], {}
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -46,53 +49,85 @@ class MergeModel:
             elif model.is_control(i) or model.is_unknown(i):
                 self.bytes_of.append(b"")
             else:
-                self.ids[piece], self.scores[piece] = i, model.get_score(i)
+                self.ids[piece], self.costs[piece] = i, -model.get_score(i)
                 self.bytes_of.append(piece.replace(META, " ").encode())
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk cut between characters that no piece has side by side; no merge can cross there."""
+        shown = chunk.replace(" ", META)
+        cuts = [i for i in range(1, len(chunk)) if shown[i - 1 : i + 1] not in self.neighbours]
+        return [chunk[i:j] for i, j in zip([0, *cuts], [*cuts, len(chunk)])] if cuts else [chunk]
 
     def merge(self, chunk: str, rate: float, key: int) -> list[int]:
         """Ids of one chunk."""
-        symbols: list[str | None] = [META if c == " " else c for c in chunk]
-        literal = {i for i, c in enumerate(chunk) if c == META}
-        n, ids, scores = len(symbols), self.ids, self.scores
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in ids and i not in literal and i + 1 not in literal:
-                agenda.append((-scores[pair], i, i + 1, pair))
-        heapify(agenda)
+        symbols = [META if c == " " else LITERAL if c == META else c for c in chunk]
         limit = int(rate * 2**32)
         base = zlib.crc32(chunk.encode("utf-8", "replace"), key) if limit else 0
+        symbols = (self._merge_short if len(symbols) <= SHORT else self._merge_long)(symbols, base, limit)
+        out: list[int] = []
+        for s in symbols:
+            if s in self.ids:
+                out.append(self.ids[s])
+            else:
+                out += [self.byte_ids[b] for b in (META if s == LITERAL else s).encode("utf-8", "replace")]
+        return out
+
+    def _skipped(self, base: int, place: int, pair: str, limit: int) -> bool:
+        h = (base ^ (place * 0x9E3779B1) ^ (self.ids[pair] * 0x85EBCA77)) & 0xFFFFFFFF
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        h = ((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF
+        return h ^ (h >> 15) < limit
+
+    def _merge_short(self, symbols: list[str], base: int, limit: int) -> list[str]:
+        """The agenda as a plain list of costs by pair: the least, leftmost first."""
+        get = self.costs.get
+        places = list(range(len(symbols)))
+        costs = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while costs:
+            best = min(costs)
+            if best == NEVER:
+                break
+            i = costs.index(best)
+            pair = symbols[i] + symbols[i + 1]
+            if limit and self._skipped(base, places[i], pair, limit):
+                costs[i] = NEVER
+                continue
+            symbols[i] = pair
+            del symbols[i + 1], places[i + 1], costs[i]
+            if i:
+                costs[i - 1] = get(symbols[i - 1] + pair, NEVER)
+            if i < len(costs):
+                costs[i] = get(pair + symbols[i + 1], NEVER)
+        return symbols
+
+    def _merge_long(self, symbols: list[str], base: int, limit: int) -> list[str]:
+        """The same order from a heap, for chunks where the list would cost the square of their length."""
+        costs, n = self.costs, len(symbols)
+        held: list[str | None] = list(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = [(costs[p], i, i + 1, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in costs]
+        heapify(agenda)
+
+        def offer(left: int, right: int) -> None:
+            pair = held[left] + held[right]
+            if pair in costs:
+                heappush(agenda, (costs[pair], left, right, pair))
+
         while agenda:
             _, left, right, pair = heappop(agenda)
-            if symbols[left] is None or symbols[right] is None or after[left] != right or symbols[left] + symbols[right] != pair:
+            if held[left] is None or held[right] is None or after[left] != right or held[left] + held[right] != pair:
+                continue
+            if limit and self._skipped(base, left, pair, limit):
                 continue
-            if limit:
-                h = (base ^ (left * 0x9E3779B1) ^ (ids[pair] * 0x85EBCA77)) & 0xFFFFFFFF
-                h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
-                h = ((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF
-                if h ^ (h >> 15) < limit:
-                    continue
-            symbols[left], symbols[right] = pair, None
+            held[left], held[right] = pair, None
             after[left] = after[right]
             if after[left] < n:
                 before[after[left]] = left
-                self._offer(agenda, symbols, literal, left, after[left])
+                offer(left, after[left])
             if before[left] >= 0:
-                self._offer(agenda, symbols, literal, before[left], left)
-        out: list[int] = []
-        for i, s in enumerate(symbols):
-            if s is not None:
-                if s in ids and i not in literal:
-                    out.append(ids[s])
-                else:
-                    out += [self.byte_ids[b] for b in s.encode("utf-8", "replace")]
-        return out
-
-    def _offer(self, agenda: list, symbols: list, literal: set, left: int, right: int) -> None:
-        pair = symbols[left] + symbols[right]
-        if pair in self.ids and left not in literal and right not in literal:
-            heappush(agenda, (-self.scores[pair], left, right, pair))
+                offer(before[left], left)
+        return [s for s in held if s is not None]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8")
@@ -116,6 +151,16 @@ class DropoutEncoder:
     def __init__(self, path: str, rate: float, seed: int):
         self.model, self.rate, self.seed = merge_model(path), rate, seed
         self.known: dict[int, dict[str, bytes]] = {}
+        self.merged: dict[int, dict[str, bytes]] = {}
+
+    def _chunk(self, chunk: str, variant: int, key: int) -> bytes:
+        merged, out = self.merged.setdefault(variant, {}), []
+        for part in self.model.parts(chunk):
+            ids = merged.get(part)
+            if ids is None:
+                ids = merged[part] = b"".join(i.to_bytes(4, "little") for i in self.model.merge(part, self.rate, key))
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str, variant: int) -> np.ndarray:
         if not text:
@@ -128,10 +173,11 @@ class DropoutEncoder:
         except KeyError:
             if sum(map(len, self.known.values())) > CACHED_CHUNKS:
                 self.known.clear()
+                self.merged.clear()
                 known = self.known.setdefault(variant, {})
             for chunk in set(chunks):
                 if chunk not in known:
-                    known[chunk] = np.array(self.model.merge(chunk, self.rate, key), np.uint32).tobytes()
+                    known[chunk] = self._chunk(chunk, variant, key)
             return np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
 
 
