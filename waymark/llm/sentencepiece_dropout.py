@@ -51,6 +51,7 @@ class MergeModel:
             else:
                 self.ids[piece], self.costs[piece] = i, -model.get_score(i)
                 self.bytes_of.append(piece.replace(META, " ").encode())
+        self.mixed = {p: i * 0x85EBCA77 & 0xFFFFFFFF for p, i in self.ids.items()}
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     def parts(self, chunk: str) -> list[str]:
@@ -74,10 +75,7 @@ class MergeModel:
         return out
 
     def _skipped(self, base: int, place: int, pair: str, limit: int) -> bool:
-        h = (base ^ (place * 0x9E3779B1) ^ (self.ids[pair] * 0x85EBCA77)) & 0xFFFFFFFF
-        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
-        h = ((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF
-        return h ^ (h >> 15) < limit
+        return ((base ^ place * 0x9E3779B1 ^ self.mixed[pair]) * 0x2C1B3C6D & 0xFFFFFFFF) < limit
 
     def _merge_short(self, symbols: list[str], base: int, limit: int) -> list[str]:
         """The agenda as a plain list of costs by pair: the least, leftmost first."""
