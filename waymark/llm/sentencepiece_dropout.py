@@ -200,6 +200,8 @@ def decode_ids(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
         model = merge_model(path)
-        return pa.array([model.decode(x.as_py()) if x.is_valid else None for x in column], pa.string())
+        ends, values = np.asarray(column.offsets), np.asarray(column.values)
+        valid = column.is_valid().to_pylist()
+        return pa.array([model.decode(values[a:b].tolist()) if ok else None for ok, a, b in zip(valid, ends[:-1], ends[1:], strict=True)], pa.string())
 
     return decoded(ids)
