@@ -191,7 +191,7 @@ def encode_with_dropout(text: Column, row_id: Column, path: str, rate: float = 0
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
     variant = F.when(row_id.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(row_id), F.lit(variants)).cast("int"))
-    return encoded(variant, text)
+    return encoded.asNondeterministic()(variant, text)  # else each use of the column would encode again
 
 
 def decode_ids(ids: Column, path: str) -> Column:
