@@ -301,6 +301,40 @@ def test_fuzzy_passage_is_one_chain(spark):
     assert [(x["doc_id"], x["ref_id"], x["start_word"], x["end_word"], x["ref_start"], x["ref_end"], x["n_matched"]) for x in got] == [(1, 0, 50, 138, 100, 190, 87)]
 
 
+def passage_words(seed):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(8000)]
+    return lambda: [r.choice(words) for _ in range(70)]
+
+
+def test_passage_whose_halves_came_first_elsewhere(spark):
+    """Documents 3 and 4 share 50 words, of which 1 has the first half and 2 the other."""
+    other, passage = passage_words(3), passage_words(4)()[:50]
+    texts = [other(), other() + passage[:25] + other(), other() + passage[25:] + other(), other() + passage + other(), other()[:33] + passage + other()]
+    got = substring_dedup.shared_passages(table(spark, [" ".join(t) for t in texts])).collect()
+    assert [(x["doc_id"], x["ref_id"], x["start_word"], x["end_word"], x["ref_start"], x["ref_end"], x["n_matched"]) for x in got] == [(4, 3, 33, 83, 70, 120, 50)]
+
+
+def test_repeated_runs_are_covered(spark):
+    """Passages cut from a few long ones, at any place: each run of 51 words that came before lies in reported ranges."""
+    r, other = random.Random(21), passage_words(6)
+    whole = [sum((other() for _ in range(3)), []) for _ in range(3)]
+    texts = []
+    for _ in range(150):
+        w = r.choice(whole)
+        a = r.randrange(0, 180)
+        texts.append(other()[: r.randrange(70)] + w[a : a + r.choice([15, 25, 30, 45, 60, 90])] + other()[: r.randrange(70)])
+    covered = defaultdict(set)
+    for x in substring_dedup.shared_passages(table(spark, [" ".join(t) for t in texts])).collect():
+        assert x["ref_id"] < x["doc_id"]
+        covered[x["doc_id"]].update(range(x["start_word"], x["end_word"]))
+    first = {}
+    for i, w in enumerate(texts):
+        for s in range(len(w) - 50):
+            j = first.setdefault(tuple(w[s : s + 51]), i)
+            assert j == i or covered[i].issuperset(range(s, s + 51)), (i, j, s)
+
+
 def test_chain_prefers_collinear_blocks():
     assert substring_dedup.chain([(0, 0, 20), (25, 25, 20), (22, 90, 8)], 20) == [[(0, 0, 20), (25, 25, 20)]]
     assert substring_dedup.chain([(0, 50, 12), (30, 0, 12)], 20) == []

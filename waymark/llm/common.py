@@ -137,3 +137,12 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out += words[j : j + n] * _PLACE[j]
     return _mix(out)
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of n words, from prefix sums; fewer words make none."""
+    if len(words) < n:
+        return words[:0]
+    forth, back = _power(len(words) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * forth[:-1], dtype=np.uint64)))
+    return _mix((sums[n:] - sums[:-n]) * back[: len(words) - n + 1])
