@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as tokens_of
 import pytest
 from pyspark.sql import functions as F
@@ -233,22 +234,69 @@ def test_local_search_empties_bins():
     assert all(sum(lengths[i] for i in b) <= 11 for b in bins)
 
 
+def piece_texts(spark):
+    return [r["text"] for r in common.documents(spark, FOLDER).collect()] + ["  a ﬁ 漢字 \t x\n\n  y😀  ", "", "a" * 3000, "=-" * 500 + "the" * 100]
+
+
+def pieces(texts, keys, rate):
+    model = sentencepiece_dropout.merge_model(tokens_of.path("piece_bpe_32k.model"))
+    ids, ends = sentencepiece_dropout.encode_texts(pa.array(texts), np.array(keys, np.int64), model, rate)
+    assert model.decode(ids, ends).to_pylist() == texts
+    return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def test_pieces_equal_the_library_and_decode(spark):
     import sentencepiece
 
+    library = sentencepiece.SentencePieceProcessor(model_file=tokens_of.path("piece_bpe_32k.model"))
+    texts = piece_texts(spark)
+    assert pieces(texts, range(len(texts)), 0.0) == [library.encode(t) for t in texts]
+
+
+def test_pieces_vary_by_row_and_place(spark):
+    import sentencepiece
+
+    texts = [*piece_texts(spark), "▁ a▁b", " ", "\x00é▁▁ "]
+    one, other = pieces(texts, [1] * len(texts), 0.2), pieces(texts, [2] * len(texts), 0.2)
+    assert one == pieces(texts, [1] * len(texts), 0.2) and sum(a != b for a, b in zip(one, other, strict=True)) > 100
+    inside = pieces([" ".join(["international"] * 400)], [5], 0.2)[0]
+    library = sentencepiece.SentencePieceProcessor(model_file=tokens_of.path("piece_bpe_32k.model"))
+    shown = "".join("|" + library.id_to_piece(i) for i in inside).split("|▁")
+    assert len(set(shown)) > 8  # occurrences of one word in one text are cut apart
+
+
+def plain_merge(text, key, rate, model):
+    """The agenda of a whole text, uncut, scanned anew for each candidate."""
+    held = [[int(model.symbol_of[ord(c)]), i] for i, c in enumerate(" " + text)]
+    skipped = set()
+    while True:
+        best = min(((f, i) for i in range(len(held) - 1) if (f := model.plain.get((held[i][0], held[i + 1][0]))) and (held[i][1], f) not in skipped), key=lambda x: (x[0] >> 32, x[1]), default=None)
+        if best is None:
+            return [s for s, _ in held]
+        found, i = best
+        x = key + held[i][1] * 0x9E3779B97F4A7C15 + (found & 0xFFFFFFFF) * 0xC2B2AE3D27D4EB4F & 2**64 - 1
+        if ((x ^ x >> 31) * 0xBF58476D1CE4E5B9 & 2**64 - 1) >> 32 < int(rate * 2**32):
+            skipped.add((held[i][1], found))
+        else:
+            held[i : i + 2] = [[found & 0xFFFFFFFF, held[i][1]]]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_pieces_equal_a_plain_agenda(rate):
+    """Short parts and, from 49 characters, long ones: both take the same candidates as a scan of the whole text."""
+    r = random.Random(31)
+    letters = ["a", "e", "n", "t", "s", "in", "ing", "the", " ", "er", "x"]
+    model = sentencepiece_dropout.merge_model(tokens_of.path("piece_bpe_32k.model"))
+    texts = ["".join(r.choice(letters) for _ in range(r.choice([1, 5, 20, 60]))) for _ in range(150)] + ["in" * 60, "a" * 130]
+    assert pieces(texts, range(len(texts)), rate) == [plain_merge(t, k, rate, model) for k, t in enumerate(texts)]
+
+
+def test_pieces_of_odd_rows(spark):
     path = tokens_of.path("piece_bpe_32k.model")
-    library, plain = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece.SentencePieceProcessor
-    texts = [r["text"] for r in common.documents(spark, FOLDER).collect()] + ["  a ﬁ 漢字 \t x\n\n  y😀  "]
-    exact = sentencepiece_dropout.DropoutEncoder(path, 0.0, 1)
-    assert plain and all(exact.encode(t, 0).tolist() == library.encode(t) for t in texts)
-    one, other = (sentencepiece_dropout.DropoutEncoder(path, 0.2, seed) for seed in (1, 2))
-    varied = 0
-    for t in [*texts, "▁ a▁b", " ", "\x00é▁▁ "]:
-        a, b = one.encode(t, 0).tolist(), other.encode(t, 0).tolist()
-        assert one.model.decode(a) == one.model.decode(b) == t
-        assert one.encode(t, 0).tolist() == a
-        varied += a != b
-    assert varied > 100
+    d = odd(spark).select("*", sentencepiece_dropout.encode_with_dropout(F.col("text"), F.col("doc_id"), path).alias("ids_"))
+    rows = d.withColumn("back", sentencepiece_dropout.decode_ids(F.col("ids_"), path)).collect()
+    assert all(r["back"] == (r["text"] or "") for r in rows) and all(r["ids_"] == [] for r in rows if not r["text"])
+    assert len({tuple(r["ids_"]) for r in rows if r["doc_id"] == 1}) == 1 and len({tuple(r["ids_"]) for r in rows if r["text"] == LONG}) == 2
 
 
 def test_counts_follow_edits():

@@ -1,22 +1,27 @@
 """SentencePiece merge-type encoding with seeded merge-dropout, and its decoding.
 
-A text is cut into chunks of spaces followed by other characters, and these between characters that no piece of the model
-has side by side, so that no merge crosses a cut. Each part is merged by an agenda of adjacent pairs, best score first, leftmost first. With dropout each candidate merge that comes
-up is skipped if a keyed hash of (seed, variant, part, place, piece) falls below the rate, so the same key always
-gives the same segmentation, in any task and after any loss of an executor. A document's variant is a hash of its id
-modulo `variants`; other seeds give other segmentations. At rate 0 the ids are those of the SentencePiece library.
+A text is cut between characters that no piece of the model has side by side, so that no merge crosses a cut. Each part
+is merged by an agenda of adjacent pairs, best score first, leftmost first. Each candidate merge that comes up is skipped
+for good if a keyed hash of (seed, row id, place of the pair in the text, merged piece) falls below the rate. The key
+belongs to the occurrence, so a word is segmented anew wherever it stands, yet the same row gives the same ids in any
+task and after any loss of an executor. At rate 0 the ids are those of the SentencePiece library.
+
+The agendas of all parts of a batch advance together, one candidate of each part a step, as array operations: a table
+by (left piece, right piece) holds rank and number of the merged piece, and the least entry of a part's column of ranks is
+its next candidate. Parts over LONG characters, for which a column would cost the square of the length, take the same
+candidates in the same order from a heap.
 
 Characters outside the vocabulary, and the literal sign U+2581 that pieces use for a space, become byte pieces, so that
 decoding gives back every text exactly.
 
-Defined cases: null and empty texts have no ids and decode to the empty text. Repeated rows are encoded alike. A null
-id counts as variant 0.
+Defined cases: null and empty texts have no ids and decode to the empty text; null ids decode to null. Very long texts
+are encoded whole. Repeated rows, and rows that repeat an id and a text, are encoded alike; a null row id counts as one
+fixed key. Pairs of equal score are taken leftmost first. Columns of any name may stand beside. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from functools import cache
 from heapq import heapify, heappop, heappush
 
@@ -25,12 +30,45 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import string_buffers
+
 META = "▁"
-LITERAL = "\x00" + META  # a sign U+2581 of the text itself; no piece holds it
-NEVER = float("inf")
-SHORT = 64
-CACHED_CHUNKS = 500_000
-_CHUNK = re.compile(r" *[^ ]+| +")
+LONG = 48
+RUN_BYTES = 1 << 19
+NEVER = np.int64(2**62)
+_PLACE, _PIECE, _FINAL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
+_WORD = (1 << 64) - 1
+
+
+class PairTable:
+    """Numbers by pair of symbols: open addressing over arrays, so that a whole batch is looked up at once."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        self.shift = np.uint64(64 - max(4, (len(pairs) * 6).bit_length()))
+        self.keys, self.values = np.full(1 << (64 - int(self.shift)), -1, np.int64), np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.last = len(self.keys) - 1
+        for (a, b), value in pairs.items():
+            key = a << 32 | b
+            slot = (key * _PLACE & _WORD) >> int(self.shift)
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & self.last
+            self.keys[slot], self.values[slot] = key, value
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each pair; -1 where there is none. Symbols under 0 are in no pair."""
+        key = a.astype(np.int64) << np.int64(32) | b.astype(np.int64)
+        slot = ((key.view(np.uint64) * np.uint64(_PLACE)) >> self.shift).view(np.int64)
+        held = self.keys[slot]
+        out = self.values[slot]
+        out[held != key] = -1
+        astray = np.flatnonzero((held != key) & (held >= 0))
+        while len(astray):
+            slot[astray] = slot[astray] + 1 & self.last
+            held = self.keys[slot[astray]]
+            hit = held == key[astray]
+            out[astray[hit]] = self.values[slot[astray[hit]]]
+            astray = astray[~hit & (held >= 0)]
+        return out
 
 
 class MergeModel:
@@ -40,96 +78,164 @@ class MergeModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids, self.costs, self.bytes_of, self.byte_ids = {}, {}, [], {}
-        for i in range(model.vocab_size()):
+        size = model.vocab_size()
+        ids, scores, shown, self.byte_ids = {}, {}, [b""] * size, np.zeros(256, np.int32)
+        for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.bytes_of.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i):
-                self.bytes_of.append(b"")
-            else:
-                self.ids[piece], self.costs[piece] = i, -model.get_score(i)
-                self.bytes_of.append(piece.replace(META, " ").encode())
-        self.mixed = {p: i * 0x85EBCA77 & 0xFFFFFFFF for p, i in self.ids.items()}
-        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-
-    def parts(self, chunk: str) -> list[str]:
-        """The chunk cut between characters that no piece has side by side; no merge can cross there."""
-        shown = chunk.replace(" ", META)
-        cuts = [i for i in range(1, len(chunk)) if shown[i - 1 : i + 1] not in self.neighbours]
-        return [chunk[i:j] for i, j in zip([0, *cuts], [*cuts, len(chunk)])] if cuts else [chunk]
-
-    def merge(self, chunk: str, rate: float, key: int) -> list[int]:
-        """Ids of one chunk."""
-        symbols = [META if c == " " else LITERAL if c == META else c for c in chunk]
+                shown[i] = bytes([int(piece[3:5], 16)])
+            elif not (model.is_control(i) or model.is_unknown(i)):
+                ids[piece], scores[piece] = i, -model.get_score(i)
+                shown[i] = piece.replace(META, " ").encode()
+        self.piece_bytes = np.frombuffer(b"".join(shown), np.uint8)
+        self.piece_ends = np.cumsum([len(x) for x in shown])
+        self.piece_sizes = np.array([len(x) for x in shown])
+        self.size = size
+        symbols = dict(ids)  # characters that only longer pieces have are symbols too, written as bytes
+        for c in sorted({c for p in ids for c in p} - set(ids)):
+            symbols[c] = size + len(symbols)
+        ranks = {s: k for k, s in enumerate(sorted(set(scores.values())))}
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for p, i in symbols.items():
+            if len(p) == 1 and p != META:
+                self.symbol_of[ord(p)] = i
+        self.space = symbols[META]
+        self.symbol_of[32] = self.space
+        merges, beside = {}, {}
+        for p, i in ids.items():
+            for k in range(1, len(p)):
+                beside[symbols[p[k - 1]], symbols[p[k]]] = 1
+                if p[:k] in symbols and p[k:] in symbols:
+                    merges[symbols[p[:k]], symbols[p[k:]]] = ranks[scores[p]] << 32 | i
+        self.merges, self.beside, self.plain = PairTable(merges), PairTable(beside), merges
+
+    def merge(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, places: np.ndarray, rate: float) -> None:
+        """Merge each part [start, end) of `symbols` in place: a merged pair stands at its left place, -1 at the other.
+
+        keys: one 64-bit key for each part; places: of each symbol in its text.
+        """
         limit = int(rate * 2**32)
-        base = zlib.crc32(chunk.encode("utf-8", "replace"), key) if limit else 0
-        symbols = (self._merge_short if len(symbols) <= SHORT else self._merge_long)(symbols, base, limit)
-        out: list[int] = []
-        for s in symbols:
-            if s in self.ids:
-                out.append(self.ids[s])
-            else:
-                out += [self.byte_ids[b] for b in (META if s == LITERAL else s).encode("utf-8", "replace")]
-        return out
-
-    def _skipped(self, base: int, place: int, pair: str, limit: int) -> bool:
-        return ((base ^ place * 0x9E3779B1 ^ self.mixed[pair]) * 0x2C1B3C6D & 0xFFFFFFFF) < limit
-
-    def _merge_short(self, symbols: list[str], base: int, limit: int) -> list[str]:
-        """The agenda as a plain list of costs by pair: the least, leftmost first."""
-        get = self.costs.get
-        places = list(range(len(symbols)))
-        costs = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
-        while costs:
-            best = min(costs)
-            if best == NEVER:
+        lengths = ends - starts
+        for low, high in ((2, 4), (5, 8), (9, 12), (13, 20), (21, LONG)):
+            of = np.flatnonzero((lengths >= low) & (lengths <= high))
+            if len(of):
+                self._merge_together(symbols, starts[of], lengths[of], keys[of], places, limit, high)
+        for i in np.flatnonzero(lengths > LONG):
+            part = slice(int(starts[i]), int(ends[i]))
+            symbols[part] = self.merge_long(symbols[part].tolist(), int(keys[i]), int(places[starts[i]]), limit)
+
+    def _merge_together(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, places: np.ndarray, limit: int, wide: int) -> None:
+        """Agendas of parts of at most `wide` symbols, side by side: arrays by (place in the part, part)."""
+        n = len(starts)
+        inside = np.arange(wide + 1)[:, None] < lengths
+        where = np.minimum(starts + np.arange(wide + 1)[:, None], len(symbols) - 1)
+        held = np.where(inside, symbols[where], -1).astype(np.int32)
+        after = np.repeat(np.arange(1, wide + 2, dtype=np.int64)[:, None], n, axis=1)
+        before = np.repeat(np.arange(-1, wide, dtype=np.int64)[:, None], n, axis=1)
+        found = self.merges.get(held[:-1].ravel(), held[1:].ravel()).reshape(wide, n)
+        spots = np.arange(wide, dtype=np.int64)[:, None]
+        agenda = np.where(found >= 0, (found >> 32 << 6) | spots, NEVER)  # rank, then place
+        piece = (found & 0xFFFFFFFF).astype(np.int32)
+        first = places[starts].astype(np.uint64)
+        of = np.arange(n)
+        while True:
+            best = agenda.min(axis=0)
+            live = np.flatnonzero(best < NEVER)
+            if not len(live):
                 break
-            i = costs.index(best)
-            pair = symbols[i] + symbols[i + 1]
-            if limit and self._skipped(base, places[i], pair, limit):
-                costs[i] = NEVER
-                continue
-            symbols[i] = pair
-            del symbols[i + 1], places[i + 1], costs[i]
-            if i:
-                costs[i - 1] = get(symbols[i - 1] + pair, NEVER)
-            if i < len(costs):
-                costs[i] = get(pair + symbols[i + 1], NEVER)
-        return symbols
-
-    def _merge_long(self, symbols: list[str], base: int, limit: int) -> list[str]:
-        """The same order from a heap, for chunks where the list would cost the square of their length."""
-        costs, n = self.costs, len(symbols)
-        held: list[str | None] = list(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(costs[p], i, i + 1, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in costs]
+            if len(live) < 0.7 * n:  # parts that are done leave the arrays
+                done = np.flatnonzero(best >= NEVER)
+                self._put(symbols, held[:, done], starts[of[done]], lengths[of[done]])
+                held, after, before, agenda, piece = (np.ascontiguousarray(x[:, live]) for x in (held, after, before, agenda, piece))
+                of, first, best, n = of[live], first[live], best[live], len(live)
+                live = np.arange(n)
+            j = best[live] & 63
+            at = j * n + live
+            merged = piece.ravel()[at]
+            agenda.ravel()[at] = NEVER
+            if limit:
+                x = keys[of[live]].view(np.uint64) + (first[live] + j.view(np.uint64)) * np.uint64(_PLACE) + merged.astype(np.uint64) * np.uint64(_PIECE)
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(_FINAL)
+                taken = (x >> np.uint64(32)) >= np.uint64(limit)
+                live, j, at, merged = live[taken], j[taken], at[taken], merged[taken]
+            right = after.ravel()[at]
+            gone = right * n + live
+            beyond = after.ravel()[gone]
+            held.ravel()[at], held.ravel()[gone] = merged, -1
+            agenda.ravel()[gone[right < wide]] = NEVER
+            after.ravel()[at] = beyond
+            more = beyond <= wide
+            before.ravel()[(beyond * n + live)[more]] = j[more]
+            self._offer(held, agenda, piece, j[more], beyond[more], live[more], n)
+            left = before.ravel()[at]
+            more = left >= 0
+            self._offer(held, agenda, piece, left[more], j[more], live[more], n)
+        self._put(symbols, held, starts[of], lengths[of])
+
+    def _offer(self, held: np.ndarray, agenda: np.ndarray, piece: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, n: int) -> None:
+        """Enter the pairs of (left, right) places of parts into the agenda, in place of what stood at left."""
+        at = left * n + part
+        found = self.merges.get(held.ravel()[at], held.ravel()[right * n + part])
+        agenda.ravel()[at] = np.where(found >= 0, (found >> 32 << 6) | left, NEVER)
+        piece.ravel()[at] = found & 0xFFFFFFFF
+
+    @staticmethod
+    def _put(symbols: np.ndarray, held: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        inside = np.arange(len(held))[:, None] < lengths
+        symbols[(starts + np.arange(len(held))[:, None])[inside]] = held[inside]
+
+    def merge_long(self, symbols: list[int], key: int, place: int, limit: int) -> list[int]:
+        """The same agenda of one part from a heap; `place` is that of its first symbol."""
+        get, n, held = self.plain.get, len(symbols), list(symbols)
+        before, after, agenda = list(range(-1, n - 1)), list(range(1, n + 1)), []
+
+        def entry(left: int, right: int) -> tuple[int, int, int, int] | None:
+            found = get((held[left], held[right]))
+            return None if found is None else (found >> 32, left, right, found & 0xFFFFFFFF)
+
+        agenda = [e for i in range(n - 1) if (e := entry(i, i + 1))]
         heapify(agenda)
-
-        def offer(left: int, right: int) -> None:
-            pair = held[left] + held[right]
-            if pair in costs:
-                heappush(agenda, (costs[pair], left, right, pair))
-
         while agenda:
-            _, left, right, pair = heappop(agenda)
-            if held[left] is None or held[right] is None or after[left] != right or held[left] + held[right] != pair:
+            top = heappop(agenda)
+            _, left, right, merged = top
+            if held[left] < 0 or right >= n or after[left] != right or entry(left, right) != top:
                 continue
-            if limit and self._skipped(base, left, pair, limit):
+            x = key + (place + left) * _PLACE + merged * _PIECE & _WORD
+            if limit and ((x ^ x >> 31) * _FINAL & _WORD) >> 32 < limit:
                 continue
-            held[left], held[right] = pair, None
+            held[left], held[right] = merged, -1
             after[left] = after[right]
             if after[left] < n:
                 before[after[left]] = left
-                offer(left, after[left])
-            if before[left] >= 0:
-                offer(before[left], left)
-        return [s for s in held if s is not None]
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8")
-        return text[1:] if text.startswith(" ") else text
+                if e := entry(left, after[left]):
+                    heappush(agenda, e)
+            if before[left] >= 0 and (e := entry(before[left], left)):
+                heappush(agenda, e)
+        return held
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of rows of ids that end at `ends`; one leading space of each goes. Runs of rows of about RUN_BYTES ids at a time."""
+        row, rows, out = 0, len(ends) - 1, []
+        while row < rows:
+            end = max(row + 1, int(np.searchsorted(ends, ends[row] + RUN_BYTES, "right")) - 1)
+            out.append(self._decode_run(ids[ends[row] : ends[end]], ends[row : end + 1] - ends[row]))
+            row = end
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_string())
+
+    def _decode_run(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        sizes = self.piece_sizes[ids]
+        stops = np.cumsum(sizes)
+        data = self.piece_bytes[np.arange(stops[-1] if len(ids) else 0) + np.repeat(self.piece_ends[ids] - stops, sizes)]
+        edges = np.concatenate(([0], stops))[ends]
+        heads = edges[:-1][edges[1:] > edges[:-1]]
+        heads = heads[data[heads] == 32]
+        keep = np.ones(len(data), bool)
+        keep[heads] = False
+        edges = edges - np.searchsorted(heads, edges)
+        out = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data[keep].tobytes()))
+        out.validate(full=True)
+        return out
 
 
 @cache
@@ -137,61 +243,55 @@ def merge_model(path: str) -> MergeModel:
     return MergeModel(path)
 
 
-@cache
-def encoder(path: str, rate: float, seed: int) -> DropoutEncoder:
-    """One per worker process, so that its table outlives a batch."""
-    return DropoutEncoder(path, rate, seed)
-
-
-class DropoutEncoder:
-    """Encodes texts with a bounded table of chunks met before."""
-
-    def __init__(self, path: str, rate: float, seed: int):
-        self.model, self.rate, self.seed = merge_model(path), rate, seed
-        self.known: dict[int, dict[str, bytes]] = {}
-        self.merged: dict[int, dict[str, bytes]] = {}
-
-    def _chunk(self, chunk: str, variant: int, key: int) -> bytes:
-        merged, out = self.merged.setdefault(variant, {}), []
-        for part in self.model.parts(chunk):
-            ids = merged.get(part)
-            if ids is None:
-                ids = merged[part] = b"".join(i.to_bytes(4, "little") for i in self.model.merge(part, self.rate, key))
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str, variant: int) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        chunks = _CHUNK.findall(" " + text)
-        known = self.known.setdefault(variant, {})
-        key = zlib.crc32(f"{self.seed}:{variant}".encode())
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
-        except KeyError:
-            if sum(map(len, self.known.values())) > CACHED_CHUNKS:
-                self.known.clear()
-                self.merged.clear()
-                known = self.known.setdefault(variant, {})
-            for chunk in set(chunks):
-                if chunk not in known:
-                    known[chunk] = self._chunk(chunk, variant, key)
-            return np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
-
-
-def encode_with_dropout(text: Column, row_id: Column, path: str, rate: float = 0.1, seed: int = 7, variants: int = 4) -> Column:
-    """Array of piece ids for a column of texts; row_id picks the variant."""
+def encode_texts(column: pa.Array, keys: np.ndarray, model: MergeModel, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows, where each row ends, from 0); runs of rows of about RUN_BYTES at a time."""
+    offsets, data = string_buffers(column)
+    row, rows, found, counts = 0, len(offsets) - 1, [], [np.zeros(1, np.int64)]
+    while row < rows:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + RUN_BYTES, "right")) - 1)
+        ids, per_row = _encode_run(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], keys[row:end], model, rate)
+        found.append(ids)
+        counts.append(per_row)
+        row = end
+    return np.concatenate(found) if found else np.zeros(0, np.int32), np.cumsum(np.concatenate(counts))
+
+
+def _encode_run(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, model: MergeModel, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    bounds = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    filled = np.diff(bounds) > 0
+    heads = bounds[:-1][filled]  # a space goes before each text that has something
+    codes = np.insert(codes, heads, 32)
+    bounds = bounds + np.concatenate(([0], np.cumsum(filled)))
+    symbols = model.symbol_of[codes]
+    row_of = np.repeat(np.arange(len(keys)), np.diff(bounds))
+    places = np.arange(len(codes)) - bounds[row_of]
+    joined = np.zeros(len(codes) + 1, bool)
+    joined[1:-1] = (model.beside.get(symbols[:-1], symbols[1:]) >= 0) & (places[1:] > 0)
+    starts, ends = np.flatnonzero(~joined[:-1] & joined[1:]), np.flatnonzero(joined[:-1] & ~joined[1:]) + 1
+    astray = symbols < 0  # characters without a symbol
+    model.merge(symbols, starts, ends, keys[row_of[starts]], places, rate)
+    written = astray | (symbols >= model.size)  # as bytes
+    sizes = np.where(written, 1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF), symbols >= 0)
+    stops = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.repeat(symbols, sizes)
+    at = np.flatnonzero(written)
+    if len(at):
+        parts = np.frombuffer("".join(map(chr, codes[at].tolist())).encode("utf-8"), np.uint8)
+        first = np.cumsum(sizes[at]) - sizes[at]
+        out[np.arange(len(parts)) + np.repeat(stops[at] - first, sizes[at])] = model.byte_ids[parts]
+    return out, np.diff(stops[bounds])
+
+
+def encode_with_dropout(text: Column, row_id: Column, path: str, rate: float = 0.1, seed: int = 7) -> Column:
+    """Array of piece ids for a column of texts; the hash of (seed, row_id) keys the choices of a row."""
 
     @F.arrow_udf("array<int>")
-    def encoded(variant: pa.Array, column: pa.Array) -> pa.Array:
-        one = encoder(path, rate, seed)
-        found = [one.encode(x.as_py() or "", v) for v, x in zip(variant.to_pylist(), column, strict=True)]
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-        values = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+    def encoded(keys: pa.Array, column: pa.Array) -> pa.Array:
+        ids, ends = encode_texts(column, keys.to_numpy(zero_copy_only=False), merge_model(path), rate)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
-    variant = F.when(row_id.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(row_id), F.lit(variants)).cast("int"))
-    return encoded.asNondeterministic()(variant, text)  # else each use of the column would encode again
+    return encoded.asNondeterministic()(F.xxhash64(F.lit(seed), row_id), text)  # else each use of the column would encode again
 
 
 def decode_ids(ids: Column, path: str) -> Column:
@@ -199,9 +299,9 @@ def decode_ids(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        model = merge_model(path)
-        ends, values = np.asarray(column.offsets), np.asarray(column.values)
-        valid = column.is_valid().to_pylist()
-        return pa.array([model.decode(values[a:b].tolist()) if ok else None for ok, a, b in zip(valid, ends[:-1], ends[1:], strict=True)], pa.string())
+        ends = np.asarray(column.offsets, dtype=np.int64)
+        values = np.asarray(column.values)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.int32)
+        texts = merge_model(path).decode(values, ends - ends[0])
+        return pa.array(texts.to_pylist(), pa.string(), mask=~column.is_valid().to_numpy(zero_copy_only=False)) if column.null_count else texts.cast(pa.string())
 
     return decoded(ids)
