@@ -270,7 +270,7 @@ def plain_merge(text, key, rate, model):
     held = [[int(model.symbol_of[ord(c)]), i] for i, c in enumerate(" " + text)]
     skipped = set()
     while True:
-        best = min(((f, i) for i in range(len(held) - 1) if (f := model.plain.get((held[i][0], held[i + 1][0]))) and (held[i][1], f) not in skipped), key=lambda x: (x[0] >> 32, x[1]), default=None)
+        best = min(((f, i) for i in range(len(held) - 1) if (f := model.merges.plain.get((held[i][0], held[i + 1][0]))) and (held[i][1], f) not in skipped), key=lambda x: (x[0] >> 32, x[1]), default=None)
         if best is None:
             return [s for s, _ in held]
         found, i = best

@@ -6,10 +6,7 @@ for good if a keyed hash of (seed, row id, place of the pair in the text, merged
 belongs to the occurrence, so a word is segmented anew wherever it stands, yet the same row gives the same ids in any
 task and after any loss of an executor. At rate 0 the ids are those of the SentencePiece library.
 
-The agendas of all parts of a batch advance together, one candidate of each part a step, as array operations: a table
-by (left piece, right piece) holds rank and number of the merged piece, and the least entry of a part's column of ranks is
-its next candidate. Parts over LONG characters, for which a column would cost the square of the length, take the same
-candidates in the same order from a heap.
+The agendas of all parts of a batch advance together (merges.py). Very long parts take the same candidates one by one.
 
 Characters outside the vocabulary, and the literal sign U+2581 that pieces use for a space, become byte pieces, so that
 decoding gives back every text exactly.
@@ -23,7 +20,6 @@ rows.
 from __future__ import annotations
 
 from functools import cache
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,44 +27,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import string_buffers
+from .merges import Dropout, Merges, PairTable
 
 META = "▁"
-LONG = 48
 RUN_BYTES = 1 << 19
-NEVER = np.int64(2**62)
-_PLACE, _PIECE, _FINAL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
-_WORD = (1 << 64) - 1
-
-
-class PairTable:
-    """Numbers by pair of symbols: open addressing over arrays, so that a whole batch is looked up at once."""
-
-    def __init__(self, pairs: dict[tuple[int, int], int]):
-        self.shift = np.uint64(64 - max(4, (len(pairs) * 6).bit_length()))
-        self.keys, self.values = np.full(1 << (64 - int(self.shift)), -1, np.int64), np.full(1 << (64 - int(self.shift)), -1, np.int64)
-        self.last = len(self.keys) - 1
-        for (a, b), value in pairs.items():
-            key = a << 32 | b
-            slot = (key * _PLACE & _WORD) >> int(self.shift)
-            while self.keys[slot] >= 0:
-                slot = slot + 1 & self.last
-            self.keys[slot], self.values[slot] = key, value
-
-    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The number of each pair; -1 where there is none. Symbols under 0 are in no pair."""
-        key = a.astype(np.int64) << np.int64(32) | b.astype(np.int64)
-        slot = ((key.view(np.uint64) * np.uint64(_PLACE)) >> self.shift).view(np.int64)
-        held = self.keys[slot]
-        out = self.values[slot]
-        out[held != key] = -1
-        astray = np.flatnonzero((held != key) & (held >= 0))
-        while len(astray):
-            slot[astray] = slot[astray] + 1 & self.last
-            held = self.keys[slot[astray]]
-            hit = held == key[astray]
-            out[astray[hit]] = self.values[slot[astray[hit]]]
-            astray = astray[~hit & (held >= 0)]
-        return out
 
 
 class MergeModel:
@@ -107,112 +69,8 @@ class MergeModel:
             for k in range(1, len(p)):
                 beside[symbols[p[k - 1]], symbols[p[k]]] = 1
                 if p[:k] in symbols and p[k:] in symbols:
-                    merges[symbols[p[:k]], symbols[p[k:]]] = ranks[scores[p]] << 32 | i
-        self.merges, self.beside, self.plain = PairTable(merges), PairTable(beside), merges
-
-    def merge(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, places: np.ndarray, rate: float) -> None:
-        """Merge each part [start, end) of `symbols` in place: a merged pair stands at its left place, -1 at the other.
-
-        keys: one 64-bit key for each part; places: of each symbol in its text.
-        """
-        limit = int(rate * 2**32)
-        lengths = ends - starts
-        for low, high in ((2, 4), (5, 8), (9, 12), (13, 20), (21, LONG)):
-            of = np.flatnonzero((lengths >= low) & (lengths <= high))
-            if len(of):
-                self._merge_together(symbols, starts[of], lengths[of], keys[of], places, limit, high)
-        for i in np.flatnonzero(lengths > LONG):
-            part = slice(int(starts[i]), int(ends[i]))
-            symbols[part] = self.merge_long(symbols[part].tolist(), int(keys[i]), int(places[starts[i]]), limit)
-
-    def _merge_together(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, places: np.ndarray, limit: int, wide: int) -> None:
-        """Agendas of parts of at most `wide` symbols, side by side: arrays by (place in the part, part)."""
-        n = len(starts)
-        inside = np.arange(wide + 1)[:, None] < lengths
-        where = np.minimum(starts + np.arange(wide + 1)[:, None], len(symbols) - 1)
-        held = np.where(inside, symbols[where], -1).astype(np.int32)
-        after = np.repeat(np.arange(1, wide + 2, dtype=np.int64)[:, None], n, axis=1)
-        before = np.repeat(np.arange(-1, wide, dtype=np.int64)[:, None], n, axis=1)
-        found = self.merges.get(held[:-1].ravel(), held[1:].ravel()).reshape(wide, n)
-        spots = np.arange(wide, dtype=np.int64)[:, None]
-        agenda = np.where(found >= 0, (found >> 32 << 6) | spots, NEVER)  # rank, then place
-        piece = (found & 0xFFFFFFFF).astype(np.int32)
-        first = places[starts].astype(np.uint64)
-        of = np.arange(n)
-        while True:
-            best = agenda.min(axis=0)
-            live = np.flatnonzero(best < NEVER)
-            if not len(live):
-                break
-            if len(live) < 0.7 * n:  # parts that are done leave the arrays
-                done = np.flatnonzero(best >= NEVER)
-                self._put(symbols, held[:, done], starts[of[done]], lengths[of[done]])
-                held, after, before, agenda, piece = (np.ascontiguousarray(x[:, live]) for x in (held, after, before, agenda, piece))
-                of, first, best, n = of[live], first[live], best[live], len(live)
-                live = np.arange(n)
-            j = best[live] & 63
-            at = j * n + live
-            merged = piece.ravel()[at]
-            agenda.ravel()[at] = NEVER
-            if limit:
-                x = keys[of[live]].view(np.uint64) + (first[live] + j.view(np.uint64)) * np.uint64(_PLACE) + merged.astype(np.uint64) * np.uint64(_PIECE)
-                x = (x ^ (x >> np.uint64(31))) * np.uint64(_FINAL)
-                taken = (x >> np.uint64(32)) >= np.uint64(limit)
-                live, j, at, merged = live[taken], j[taken], at[taken], merged[taken]
-            right = after.ravel()[at]
-            gone = right * n + live
-            beyond = after.ravel()[gone]
-            held.ravel()[at], held.ravel()[gone] = merged, -1
-            agenda.ravel()[gone[right < wide]] = NEVER
-            after.ravel()[at] = beyond
-            more = beyond <= wide
-            before.ravel()[(beyond * n + live)[more]] = j[more]
-            self._offer(held, agenda, piece, j[more], beyond[more], live[more], n)
-            left = before.ravel()[at]
-            more = left >= 0
-            self._offer(held, agenda, piece, left[more], j[more], live[more], n)
-        self._put(symbols, held, starts[of], lengths[of])
-
-    def _offer(self, held: np.ndarray, agenda: np.ndarray, piece: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray, n: int) -> None:
-        """Enter the pairs of (left, right) places of parts into the agenda, in place of what stood at left."""
-        at = left * n + part
-        found = self.merges.get(held.ravel()[at], held.ravel()[right * n + part])
-        agenda.ravel()[at] = np.where(found >= 0, (found >> 32 << 6) | left, NEVER)
-        piece.ravel()[at] = found & 0xFFFFFFFF
-
-    @staticmethod
-    def _put(symbols: np.ndarray, held: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        inside = np.arange(len(held))[:, None] < lengths
-        symbols[(starts + np.arange(len(held))[:, None])[inside]] = held[inside]
-
-    def merge_long(self, symbols: list[int], key: int, place: int, limit: int) -> list[int]:
-        """The same agenda of one part from a heap; `place` is that of its first symbol."""
-        get, n, held = self.plain.get, len(symbols), list(symbols)
-        before, after, agenda = list(range(-1, n - 1)), list(range(1, n + 1)), []
-
-        def entry(left: int, right: int) -> tuple[int, int, int, int] | None:
-            found = get((held[left], held[right]))
-            return None if found is None else (found >> 32, left, right, found & 0xFFFFFFFF)
-
-        agenda = [e for i in range(n - 1) if (e := entry(i, i + 1))]
-        heapify(agenda)
-        while agenda:
-            top = heappop(agenda)
-            _, left, right, merged = top
-            if held[left] < 0 or right >= n or after[left] != right or entry(left, right) != top:
-                continue
-            x = key + (place + left) * _PLACE + merged * _PIECE & _WORD
-            if limit and ((x ^ x >> 31) * _FINAL & _WORD) >> 32 < limit:
-                continue
-            held[left], held[right] = merged, -1
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-                if e := entry(left, after[left]):
-                    heappush(agenda, e)
-            if before[left] >= 0 and (e := entry(before[left], left)):
-                heappush(agenda, e)
-        return held
+                    merges[symbols[p[:k]], symbols[p[k:]]] = ranks[scores[p]], i
+        self.merges, self.beside = Merges(merges), PairTable(beside)
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """Texts of rows of ids that end at `ends`; one leading space of each goes. Runs of rows of about RUN_BYTES ids at a time."""
@@ -270,7 +128,8 @@ def _encode_run(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, model:
     joined[1:-1] = (model.beside.get(symbols[:-1], symbols[1:]) >= 0) & (places[1:] > 0)
     starts, ends = np.flatnonzero(~joined[:-1] & joined[1:]), np.flatnonzero(joined[:-1] & ~joined[1:]) + 1
     astray = symbols < 0  # characters without a symbol
-    model.merge(symbols, starts, ends, keys[row_of[starts]], places, rate)
+    limit = int(rate * 2**32)
+    model.merges.apply(symbols, starts, ends, Dropout(keys[row_of[starts]], places[starts], limit) if limit else None)
     written = astray | (symbols >= model.size)  # as bytes
     sizes = np.where(written, 1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF), symbols >= 0)
     stops = np.concatenate(([0], np.cumsum(sizes)))
