@@ -1,20 +1,23 @@
 """Best-fit packing of token sequences with swap-based local search.
 
 1. One Arrow pass encodes each whole text, appends the end id, cuts only what is longer than a sequence, and returns a
-   narrow row for each piece. Words are encoded once per worker and then looked up in a bounded table, since the
-   tokenizer never merges across white space.
+   narrow row for each piece. The different words of a run of texts are encoded once, since the tokenizer never merges
+   across white space.
 2. Full pieces are sequences of their own. The others are dealt by hash into shards of about `shard` pieces. A shard is
    packed best-fit by falling length; then local search moves one document, or exchanges one for one or two for one
    between underfull bins whenever that raises the sum of squared fills, until nothing does; emptied bins vanish.
 3. Pieces of bins that are still underfull go to the next round, mixed with those of other shards. The last round keeps
    what it packs. Each task sees a bounded number of pieces, and each round only what the one before could not fill.
 
-Defined cases: null and empty texts are the end id alone. Repeated rows are packed one by one. An empty table gives no
-pieces. Pieces of equal length are interchangeable; ties fall to the piece that was read first.
+Defined cases: null and empty texts are the end id alone. Very long texts are cut into pieces of a whole sequence and a
+rest. Repeated rows are packed one by one. An empty table gives no pieces. Pieces of equal length are interchangeable;
+ties fall to the piece that was read first. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -23,59 +26,120 @@ from functools import cache, partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, string_buffers
+from .merges import Merges
 
-CACHED_WORDS = 500_000
+RUN_BYTES = 1 << 22
+CACHED_WORDS = 200_000
+#: Fixed value: the cut of the vocabulary that words are cut by here; any other one goes through the library.
+KNOWN_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = 0x250
+WORD_END = "</w>"
 
 
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit bytes, by a tokenizer that drops white space and never crosses it.
+    """Ids of texts by a tokenizer that drops white space and never crosses it.
 
-    A word met for the first time goes through the tokenizer's merges; printable Latin words are normalised and cut here
-    by the tokenizer's own rule, all others go through its whole pipeline.
+    A run of texts is split at ASCII white space, and each different word of it is encoded once. Printable Latin words are
+    lower-cased, cut and merged here by array operations; all others, and the names of special tokens, go through the
+    tokenizer's whole pipeline, with a bounded table of those met before.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.byte_signs = _byte_signs()
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                known[""] = b""
-            for word in words:
-                if word not in known:
-                    known[word] = self._encode_word(word)
-            return b"".join(map(known.__getitem__, words))
-
-    def _encode_word(self, word: str) -> bytes:
-        if not word.isprintable() or max(word) >= "\u0250" or "<|" in word:
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for part in self.cut(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) > CACHED_WORDS:
-                    self.parts.clear()
-                signs = part.encode().decode("latin-1").translate(self.byte_signs)
-                ids = self.parts[part] = b"".join(x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(signs))
-            out.append(ids)
-        return b"".join(out)
+        self.known: dict[str, list[int]] = {}
+        told = json.loads(self.tokenizer.to_str())
+        cuts = [x.get("pattern", {}).get("Regex") for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        vocabulary = told["model"]["vocab"]
+        self.here = cuts == [KNOWN_CUT, None] and told["model"]["end_of_word_suffix"] == WORD_END
+        if self.here:
+            pairs = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
+            self.merges = Merges({(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)})
+            signs = _byte_signs()
+            self.symbol = np.array([[vocabulary[signs[i] + end] for i in range(256)] for end in ("", WORD_END)], np.int32)
+        kinds = [unicodedata.category(chr(c))[0] for c in range(LATIN)]
+        self.kind = np.array([1 if k == "L" else 2 if k == "N" else 3 for k in kinds], np.int8)
+        self.plain = np.array([chr(c).isprintable() and len(chr(c).lower()) == 1 and chr(c) not in "<\x00" for c in range(LATIN)])
+        self.lower = np.array([ord(chr(c).lower()[0]) for c in range(LATIN)], np.uint32)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, where each row ends, from 0) for a string column without nulls."""
+        split = pc.ascii_split_whitespace(column)
+        words = split.flatten().dictionary_encode()
+        ids, ends = self._words(words.dictionary)
+        which = words.indices.to_numpy()
+        sizes = np.diff(ends)[which]
+        stops = np.cumsum(sizes)
+        out = ids[np.arange(stops[-1] if len(which) else 0) + np.repeat(ends[1:][which] - stops, sizes)]
+        per_row = np.asarray(split.offsets, np.int64)
+        return out, np.concatenate(([0], stops))[per_row - per_row[0]]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of different words."""
+        offsets, data = string_buffers(words)
+        codes = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        bounds = np.concatenate(([0], np.cumsum((data[offsets[0] : offsets[-1]] & 0xC0) != 0x80)))[offsets - offsets[0]]
+        word_of = np.repeat(np.arange(len(words)), np.diff(bounds))
+        small = np.minimum(codes, LATIN - 1)
+        usual = np.ones(len(words), bool) if self.here else np.zeros(len(words), bool)
+        usual[word_of[(codes >= LATIN) | ~self.plain[small]]] = False
+        ids, owner = self._merged(self.lower[small[usual[word_of]]], word_of[usual[word_of]]) if self.here else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if not usual.all():
+            rest = np.flatnonzero(~usual)
+            found = [self._through(w) for w in words.take(pa.array(rest)).to_pylist()]
+            ids = np.concatenate([ids, *(np.array(x, np.int32) for x in found)])
+            owner = np.concatenate([owner, np.repeat(rest, [len(x) for x in found])])
+            order = np.argsort(owner, kind="stable")
+            ids, owner = ids[order], owner[order]
+        return ids, np.searchsorted(owner, np.arange(len(words) + 1))
+
+    def _through(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            if len(self.known) > CACHED_WORDS:
+                self.known.clear()
+            ids = self.known[word] = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return ids
+
+    def _merged(self, codes: np.ndarray, word_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their words) of lower-cased Latin words."""
+        if not len(codes):
+            return np.zeros(0, np.int32), word_of
+        kind = self.kind[codes]
+        first = np.ones(len(codes), bool)  # a part begins here
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2) | (word_of[1:] != word_of[:-1])
+        self._contractions(codes, kind, word_of, first)
+        two = codes > 0x7F
+        sizes = 1 + two
+        at = np.cumsum(sizes) - sizes
+        data = np.zeros(at[-1] + sizes[-1], np.uint8)
+        data[at] = np.where(two, 0xC0 | codes >> 6, codes)
+        data[at[two] + 1] = 0x80 | codes[two] & 0x3F
+        starts = at[first]
+        ends = np.concatenate((starts[1:], [len(data)]))
+        symbols = self.symbol[0][data]
+        symbols[ends - 1] = self.symbol[1][data[ends - 1]]
+        self.merges.apply(symbols, starts, ends)
+        keep = symbols >= 0
+        return symbols[keep], np.repeat(word_of, sizes)[keep]
+
+    @staticmethod
+    def _contractions(codes: np.ndarray, kind: np.ndarray, word_of: np.ndarray, first: np.ndarray) -> None:
+        """An apostrophe that begins a part, with s, t, m, d, re, ve or ll right after it, is one part with these."""
+        for i in np.flatnonzero(first[:-1] & (codes[:-1] == 39) & (word_of[1:] == word_of[:-1]) & (kind[1:] == 1)).tolist():
+            after = "".join(map(chr, codes[i + 1 : i + 3][word_of[i + 1 : i + 3] == word_of[i]].tolist()))
+            n = 1 if after[0] in "stmd" else 2 if after in ("re", "ve", "ll") else 0
+            if n:
+                first[i + 1 : i + 1 + n] = False
+                if i + 1 + n < len(codes):
+                    first[i + 1 + n] = True
 
 
 def _byte_signs() -> dict[int, str]:
@@ -92,24 +156,27 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
+    encoder = word_encoder(path)
     number = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
     for batch in batches:
-        rows, piece, start, length, crc = [], [], [], [], []
-        for i, text in enumerate(batch.column(1)):
-            ids = encoder.encode(text.as_py() or "") + end
-            n = len(ids) // 4
-            for k, at in enumerate(range(0, n, most)):
-                part = ids[4 * at : 4 * (at + most)]
-                rows.append(i)
-                piece.append(k)
-                start.append(at)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-        pids = np.arange(number, number + len(rows), dtype=np.int64)
-        number += len(rows)
+        texts = batch.column(1).fill_null("") if batch.column(1).null_count else batch.column(1)
+        offsets, _ = string_buffers(texts)
+        row, rows, out = 0, batch.num_rows, []
+        while row < rows:
+            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + RUN_BYTES, "right")) - 1)
+            ids, ends = encoder.encode(texts.slice(row, stop - row))
+            ids = np.insert(ids.astype("<u4"), ends[1:], end_id)
+            ends = (ends + np.arange(len(ends))).tolist()
+            for i in range(stop - row):
+                for k, at in enumerate(range(ends[i], ends[i + 1], most)):
+                    part = ids[at : min(at + most, ends[i + 1])]
+                    out.append((row + i, k, k * most, len(part), zlib.crc32(part)))
+            row = stop
+        pids = np.arange(number, number + len(out), dtype=np.int64)
+        number += len(out)
+        own, piece, start, length, crc = zip(*out, strict=True) if out else ((),) * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(pids), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+            [pa.array(pids), batch.column(0).take(pa.array(own, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
             ["pid", "id", "piece", "start", "length", "ids_crc32"],
         )
 
@@ -188,11 +255,16 @@ def _best_change(b: int, bins: list, fill: list, lengths: list, place: list, mos
             at -= 1
 
     offer([], 0)
-    mine = sorted(bins[b], key=lambda i: lengths[i])
-    for k, i in enumerate(mine):
-        offer([i], lengths[i])
-        if k + 1 < len(mine):
-            offer([i, mine[k + 1]], lengths[i] + lengths[mine[k + 1]])
+    by_length: dict[int, list[int]] = {}
+    for i in sorted(bins[b]):
+        by_length.setdefault(lengths[i], []).append(i)
+    mine = sorted(by_length)  # fewer than the root of 2 * most different ones
+    for k, n in enumerate(mine):
+        offer(by_length[n][:1], n)
+        if len(by_length[n]) > 1:
+            offer(by_length[n][:2], 2 * n)
+        for m in mine[k + 1 :]:
+            offer([by_length[n][0], by_length[m][0]], n + m)
     return best[1]
 
 
