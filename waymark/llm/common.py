@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every word rule in this subpackage: space and the controls 9 to 13.
@@ -60,6 +60,73 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Each wanted name, with as many underscores as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keep_decided(df: DataFrame, id_col: str, key: Column, decided: DataFrame) -> DataFrame:
+    """The rows of df that `decided` (id, key, kept, once) keeps; all columns stay.
+
+    Rows are told apart by id and key, a null id being an id of its own. Of kept rows with equal id and key one stays where
+    `once` is true, else all.
+    """
+    k, a, b = free_names(df, "key_", "decided_id", "decided_key")
+
+    def side(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias(a), F.col("key").alias(b)).distinct()
+
+    lost = side(decided.filter("not kept"))
+    repeated = materialize(side(decided.filter("kept and once").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "repeated")
+    keyed = df.withColumn(k, key)
+    same = keyed[id_col].eqNullSafe(F.col(a)) & (keyed[k] == F.col(b))
+    left = keyed.join(lost, same, "left_anti")
+    if not repeated.isEmpty():
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, k]))
+    return left.drop(k)
+
+
+HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, key: str, weight: str) -> DataFrame:
+    """left joined to right, which has one row for each key and, as `weight`, its number of rows in left.
+
+    Keys with more than a HOT-th of all rows, fewer than HOT of them whatever the input, are broadcast, so that their rows
+    are never dealt by key. Both tables should be written ones.
+    """
+    least = left.count() // HOT
+    hot, same = F.broadcast(right.filter(F.col(weight) > least)), F.col(on) == F.col(key)
+    return left.join(hot, same).unionByName(left.join(hot.select(key), same, "left_anti").join(right.filter(F.col(weight) <= least), same))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: dict[str, str], spread: Column, parts: int = 256) -> DataFrame:
+    """left joined to right on left names to right names; rows of a hot key are dealt over several tasks by `spread`.
+
+    A key with more than a HOT-th of left's rows is hot; there are fewer than HOT, and their number of salts is broadcast.
+    The rows of right with a hot key are repeated once for each salt. left should be a written table.
+    """
+    total = left.count()
+    names, (salt, many) = list(on), free_names(left, "salt_", "many_")
+    hot = left.groupBy(*names).agg(F.count(F.lit(1)).alias(many)).filter(F.col(many) > total // HOT)
+    hot = materialize(hot.select(*(F.col(x).alias(f"hot_{x}") for x in names), F.ceil(F.col(many) * parts / max(total, 1)).alias(many)), "hot_keys")
+
+    def marked(rows: DataFrame, columns: list[str]) -> DataFrame:
+        same = [F.col(c) == F.col(f"hot_{x}") for c, x in zip(columns, names, strict=True)]
+        return rows.join(F.broadcast(hot), same, "left").drop(*(f"hot_{x}" for x in names))
+
+    one, other = marked(left, names), marked(right, list(on.values()))
+    one = one.withColumn(salt, F.when(F.col(many).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col(many)))).drop(many)
+    other = other.withColumn("right_salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(many) - 1, F.lit(0).cast("long"))))).drop(many)
+    return one.join(other, [F.col(a) == F.col(b) for a, b in on.items()] + [F.col(salt) == F.col("right_salt_")]).drop(salt, "right_salt_")
+
+
 def held_out(doc_id):
     """True for the fifth of the rows that nothing is learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -18,7 +18,10 @@ With 32 coordinates and 16 matches a pair of similarity 0.8 is missed with proba
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own component. Equal sets have
 similarity 1. The id that stands for a component is its smallest; null ids count as larger than any, and a component
-with only null ids has a null one. Repeated rows fall into one class; rows that repeat the smallest id are all kept.
+with only null ids has a null one. Repeated rows fall into one class; rows that repeat the smallest id are all marked as
+kept, and the dropping form leaves one of them. Rows are decided by id and text together, so that an id with several
+texts loses only copies. Very long texts are read whole; an empty table gives no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hashed_words, materialize, shingle_hashes
+from .common import U64, hashed_words, hot_join, keep_decided, materialize, salted_join, shingle_hashes
 from .components import components
 
 _COORDINATES = np.random.default_rng(811).integers(0, 2**63, (2, 256), dtype=np.uint64)
@@ -69,7 +72,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, coords: int) -> Iterator[pa
         ends = np.concatenate(([0], np.cumsum((sizes > 0) * coords))).astype(np.int32)
         values = pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int32), pa.int32())
         columns = [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), values)]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "cls", "n_shingles", "sig"])
+        yield pa.RecordBatch.from_arrays(columns, ["id", "key", "cls", "n_shingles", "sig"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -86,9 +89,17 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rid, text); rid tells rows apart also where the id is null."""
-    rid = F.coalesce(df[id_col].cast("string"), F.concat(F.lit("#"), F.xxhash64(df[text_col]).cast("string")))
-    return df.select(df[id_col].alias("id"), rid.alias("rid"), df[text_col].alias("text"))
+    """(id, key, text); key, a digest of the text, tells rows apart where ids are null or repeated."""
+    return df.select(df[id_col].alias("id"), text_key(df[text_col]).alias("key"), df[text_col].alias("text"))
+
+
+def text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _ordered() -> Column:
+    """By what the row that stands for others is least: null ids last."""
+    return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
 
 
 def _postings(classes: DataFrame, coords: int, matches: int) -> DataFrame:
@@ -119,21 +130,22 @@ def _pairs_within(posts: DataFrame, percent: int, matches: int) -> DataFrame:
 def _split_lists(posts: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """Postings of the lists of 2 to `small` classes, and (pivot, c) of the longer lists."""
     sizes = posts.groupBy("g").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("g").alias("k"), "size")
-    sized = posts.join(sizes, F.col("g") == F.col("k")).drop("k")
-    long = sized.filter(F.col("size") > small).select("g", "c")
+    sized = hot_join(posts, materialize(sizes, "sizes"), "g", "k", "size").drop("k")
+    long = materialize(sized.filter(F.col("size") > small).select("g", "c", "size"), "long_lists")
     central = long.groupBy("c").agg(F.count(F.lit(1)).alias("lists")).select(F.col("c").alias("x"), "lists")
     pivots = (
         long.join(central, F.col("c") == F.col("x"))
         .groupBy("g")
-        .agg(F.max(F.struct("lists", "c"))["c"].alias("pivot"))
-        .select(F.col("g").alias("k"), "pivot")
+        .agg(F.max(F.struct("lists", "c"))["c"].alias("pivot"), F.max("size").alias("weight"))
+        .select(F.col("g").alias("k"), "pivot", "weight")
     )
-    stars = long.join(pivots, F.col("g") == F.col("k")).select("pivot", "c").filter("pivot != c").distinct()
+    stars = hot_join(long, materialize(pivots, "pivots"), "g", "k", "weight").select("pivot", "c").filter("pivot != c").distinct()
     return sized.filter(F.col("size") <= small), stars
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    one = pairs.join(sets.select(F.col("cls").alias("x"), F.col("hashes").alias("ha")), F.col(a) == F.col("x")).drop("x")
+    """pairs (a written table) with the sets of both; the a side may be hot."""
+    one = salted_join(pairs, sets.select(F.col("cls").alias("x"), F.col("hashes").alias("ha")), {a: "x"}, F.col(b)).drop("x")
     return one.join(sets.select(F.col("cls").alias("x"), F.col("hashes").alias("hb")), F.col(b) == F.col("x")).drop("x")
 
 
@@ -156,8 +168,8 @@ def _compared(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _blocks(compared: DataFrame, block: int) -> DataFrame:
     """Rows of compared by (a, i, j): those to be compared further (asks), and all of the pivot's, once for each partner block."""
     counts = compared.groupBy("a").agg(F.count_if(~F.col("linked")).alias("asking"), F.count(F.lit(1)).alias("all")).filter("asking > 0")
-    counts = counts.select(F.col("a").alias("k"), F.ceil(F.col("asking") / block).alias("rows"), F.ceil(F.col("all") / block).alias("columns"))
-    dealt = compared.join(counts, F.col("a") == F.col("k")).drop("k")
+    counts = counts.select(F.col("a").alias("k"), F.ceil(F.col("asking") / block).alias("rows"), F.ceil(F.col("all") / block).alias("columns"), "all")
+    dealt = hot_join(compared, materialize(counts, "counts"), "a", "k", "all").drop("k", "all")
     asking = dealt.filter("not linked").select(
         "a", F.pmod(F.xxhash64("b"), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), F.lit(True).alias("asks"), "b", "n", "diff"
     )
@@ -203,25 +215,23 @@ def _forest(table: pa.Table, percent: int) -> pa.Table:
 def near_dup_classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, coords: int = 32, matches: int = 16, small: int = 16, block: int = 256
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: id, cls, n_shingles; classes: cls, rep; links: a, b between classes)."""
+    """(rows: id, key, cls, n_shingles; classes: cls, rep; links: a, b between classes); rep: (none, id, key) of the least row."""
     keyed = _keyed(df, id_col, text_col)
     id_type = keyed.schema["id"].dataType.simpleString()
     rows = materialize(
-        keyed.mapInArrow(partial(_sign, k=k, coords=coords), f"id {id_type}, rid string, cls binary, n_shingles long, sig array<int>"), "signed"
+        keyed.mapInArrow(partial(_sign, k=k, coords=coords), f"id {id_type}, key string, cls binary, n_shingles long, sig array<int>"), "signed"
     )
     classes = materialize(
-        rows.filter("n_shingles > 0")
-        .groupBy("cls", "n_shingles")
-        .agg(F.min("id").alias("rep"), F.min("rid").alias("rid"), F.any_value("sig").alias("sig")),
-        "classes",
+        rows.filter("n_shingles > 0").groupBy("cls", "n_shingles").agg(F.min(_ordered()).alias("rep"), F.any_value("sig").alias("sig")), "classes"
     )
     few, stars = _split_lists(materialize(_postings(classes, coords, matches), "postings"), small)
     pairs, stars = materialize(_pairs_within(few, percent, matches), "pairs"), materialize(stars, "stars")
     ends = [x.select(F.col(c).alias("want")) for x, c in ((pairs, "a"), (pairs, "b"), (stars, "pivot"), (stars, "c"))]
     wanted = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct()
-    wanted = classes.join(wanted, F.col("cls") == F.col("want")).select("cls", F.col("rid").alias("want_rid"))
-    texts = keyed.join(wanted, F.col("rid") == F.col("want_rid")).select("cls", "text")
-    sets = materialize(texts.mapInArrow(partial(_full_sets, k=k), "cls binary, hashes array<long>"), "sets")
+    wanted = classes.join(wanted, F.col("cls") == F.col("want")).select("cls", F.col("rep.id").alias("want_id"), F.col("rep.key").alias("want_key"))
+    texts = keyed.join(wanted, (F.col("key") == F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id"))).select("cls", "text")
+    sets = texts.mapInArrow(partial(_full_sets, k=k), "cls binary, hashes array<long>")
+    sets = materialize(sets.dropDuplicates(["cls"]), "sets")  # rows may repeat id and text
     compared = materialize(_compared(stars, sets, percent), "compared")
 
     def forest(table: pa.Table) -> pa.Table:
@@ -233,19 +243,27 @@ def near_dup_classes(
     return rows, classes.select("cls", "rep"), materialize(links, "links")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row for each row of df: id, n_shingles, component_id, kept."""
+def _decided(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
+    """(id, key, n_shingles, least: the least row of the component, null where there are no shingles) for each row of df."""
     rows, classes, links = near_dup_classes(df, id_col, text_col, **how)
     roots = components(links, "a", "b")
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    told = materialize(named.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component_id"), "named")
-    out = rows.select("id", "cls", "n_shingles").join(told, F.col("cls") == F.col("c"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    least = named.groupBy("root").agg(F.min("rep").alias("least")).select(F.col("root").alias("r"), "least")
+    told = materialize(named.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "least"), "named")
+    return rows.join(told, F.col("cls") == F.col("c"), "left").select("id", "key", "n_shingles", "least")
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row for each row of df: id, n_shingles, component_id, kept."""
+    component = F.when(F.col("n_shingles") > 0, F.col("least.id")).otherwise(F.col("id"))
+    return _decided(df, id_col, text_col, **how).select(
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+    )
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df with one document of each component; all columns stay. A row with a null id stays."""
-    lost = near_dedup(df, id_col, text_col, **how).filter("not kept").select(F.col(id_col).alias("lost_id")).distinct()
-    return df.join(lost, df[id_col] == lost["lost_id"], "left_anti")
+    """df with one row of each component, its least by (id, text digest), and all rows without words; all columns stay."""
+    has, least = F.col("n_shingles") > 0, F.col("least")
+    kept = ~has | (F.col("id").eqNullSafe(least["id"]) & (F.col("key") == least["key"]))
+    decided = _decided(df, id_col, text_col, **how).select("id", "key", kept.alias("kept"), has.alias("once"))
+    return keep_decided(df, id_col, text_key(df[text_col]), materialize(decided, "decided"))
