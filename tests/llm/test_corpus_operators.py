@@ -100,6 +100,45 @@ def test_odd_values(spark):
     assert masked[7] == "<EMAIL> <PHONE> ▁ <|endoftext|>" and masked[5] == LONG
 
 
+A, B, C = "one two three four five six seven eight nine ten eleven twelve", "other words that stand in no other row of this small table at all", "a b c"
+CLASHING = "doc_id long, text string, key_ string, q_n_words string, pii_found string, pii_spans_ string, decided_id string, decided_key string, lost_id string"
+
+
+def repeated(spark):
+    """Repeated ids with equal and with different texts, null ids, and columns with the names that the stages use."""
+    rows = [(1, A), (2, A), (2, B), (2, B), (None, C), (None, C), (None, A), (3, None), (4, None), (5, "x@y.org"), (5, C)]
+    return spark.createDataFrame([(i, t, f"k{n}", "q", "f", "s", "d", "e", "l") for n, (i, t) in enumerate(rows)], CLASHING)
+
+
+@pytest.mark.parametrize("name", ["exact", "near"])
+def test_drop_stages_keep_every_text_once(spark, name):
+    out = (exact_dedup.drop_exact_copies if name == "exact" else near_dup.drop_near_copies)(repeated(spark))
+    rows = out.collect()
+    assert out.columns == repeated(spark).columns and all(r["q_n_words"] == "q" and r["pii_spans_"] == "s" for r in rows)
+    found = sorted((str(r["doc_id"]), r["text"]) for r in rows if r["text"])
+    assert found == [("1", A), ("2", B), ("5", C), ("5", "x@y.org")]
+    assert sorted(r["doc_id"] for r in rows if not r["text"]) == ([3] if name == "exact" else [3, 4])
+
+
+def test_quality_stage_judges_rows_not_ids(spark):
+    out = quality_rules.drop_low_quality(repeated(spark), no_labels(spark))
+    assert out.columns == repeated(spark).columns
+    assert sorted((str(r["doc_id"]), r["text"], r["q_n_words"]) for r in out.collect()) == sorted([("1", A, "q"), ("2", A, "q"), ("2", B, "q"), ("2", B, "q"), ("None", A, "q")])
+
+
+def test_mask_leaves_columns_alone(spark):
+    out = pii.mask_pii(repeated(spark)).collect()
+    assert len(out) == 11 and all(r["pii_found"] == "f" and r["pii_spans_"] == "s" for r in out)
+    assert [r["text"] for r in out if r["doc_id"] == 5] == ["<EMAIL>", C]
+
+
+def test_pii_of_very_long_runs(spark):
+    texts = ["0" * 5000 + "1.2.3.4", "a.b" * 100_000 + " at x dot com", "-" * 200_000, "y" * 300 + " (at) " + "z" * 300 + " dot org"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(table(spark, texts)).collect()}
+    assert got[0] == "ip:0:5007" and got[2] == ""
+    assert [s[0] for s in pii.further_spans(texts[1])] == [9] and pii.further_spans(texts[3]) == [(9, 0, 614)]
+
+
 def word_soup(seed, docs=120):
     """Invented documents with exact and near copies and shared passages."""
     r = random.Random(seed)

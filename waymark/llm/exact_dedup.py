@@ -9,8 +9,9 @@
    shuffled by digest into one window.
 
 Defined cases: a null text counts as empty, and all such rows form one group. A null id loses against any id. In a
-group that has only null ids, and among rows that repeat the smallest id, each such row is kept. An empty table gives
-an empty result. Other columns are not read.
+group that has only null ids, and among rows that repeat the smallest id, each such row is marked as kept; the dropping
+form leaves one of them. Rows are decided by id and text together, so that an id with several texts loses only copies.
+Very long texts are read whole. An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, keep_decided, materialize
 
 
 def text_digest(text: Column) -> Column:
@@ -62,6 +63,6 @@ def exact_dedup(
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows that exact_dedup drops; all columns stay. A row with a null id stays."""
-    lost = exact_dedup(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias("lost_id")).distinct()
-    return df.join(lost, df[id_col] == lost["lost_id"], "left_anti")
+    """df with one row of each group of equal texts: that with the smallest id, one of those that repeat it; all columns stay."""
+    decided = exact_dedup(df, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"), "kept", F.lit(True).alias("once"))
+    return keep_decided(df, id_col, text_digest(df[text_col]), materialize(decided, "decided"))

@@ -9,7 +9,8 @@ which way on true and on false spans (a Dawid-Skene model), and a logistic span
 probabilities. It is applied as a Spark expression. Base spans always stay; a further one is added at 0.5 or more.
 
 Defined cases: null and empty texts have no spans. Repeated rows are treated one by one. With no candidates in the table
-nothing is added. Offsets are code points, ends exclusive. Spans of different kinds may overlap; for masking, the one
+nothing is added; an empty table gives no rows. Very long texts are searched whole, in linear time. Other columns,
+whatever their names, are left as they are. Offsets are code points, ends exclusive. Spans of different kinds may overlap; for masking, the one
 that starts first wins, then the longer.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 #: Base kinds first, in the order of reports.
 KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn", "iban", "secret", "name", "written_email")
@@ -40,8 +41,8 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SECRET = re.compile(r"[=:]\x20{0,2}[\"']?([A-Za-z0-9_/+-]{12,})")
 _NAME_CUES = ("name is ", "Name: ", "Mr. ", "Mrs. ", "Ms. ", "Dr. ")
 _NAME = re.compile(r"[A-Z][a-z]+(?:\x20[A-Z][a-z]+){0,2}")
-_DOT = re.compile(r"\x20dot\x20|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?")
-_WRITTEN = re.compile(r"[A-Za-z0-9._-]+(?:\x20at\x20|\x20?\[at\]\x20?|\x20?\(at\)\x20?)[A-Za-z0-9-]+(?:(?:\x20dot\x20|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?)[A-Za-z]{2,})+")
+_AT, _DOT = (rf"(?:\x20{x}\x20|\x20?\[{x}\]\x20?|\x20?\({x}\)\x20?)" for x in ("at", "dot"))
+_WRITTEN = re.compile(rf"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z]{{2,}}+)+")
 
 # Public prefixes, endings and everyday names and cue words.
 _ENDINGS = frozenset("com org net edu gov io info biz co us uk de fr es it eu ch at nl be ca au in jp cn br mx ru pl se no".split())
@@ -100,11 +101,7 @@ def further_spans(text: str) -> list[tuple[int, int, int]]:
                 out.append((8, m.start(), m.end()))
             at = text.find(cue, at + len(cue))
     if "dot" in text:
-        seen = -1
-        for dot in _DOT.finditer(text):
-            if dot.start() >= seen and (m := next((m for m in _WRITTEN.finditer(text, max(seen, dot.start() - 100, 0), dot.end() + 80) if m.end() > dot.start()), None)):
-                out.append((9, m.start(), m.end()))
-                seen = m.end()
+        out += [(9, m.start(), m.end()) for m in _WRITTEN.finditer(text)]
     return out
 
 
@@ -120,7 +117,7 @@ def _votes(text: str, kind: int, start: int, end: int) -> tuple[int, int, int, i
     if name == "email":
         strict, known = _vote(".." not in span and not span.startswith(".")), _vote(span.rpartition(".")[2].lower() in _ENDINGS)
     elif name == "ip":
-        strict, known = _vote(all(p == str(int(p)) for p in span.split(".")), True), _vote(not span.startswith(("0.", "127.", "255.")), True)
+        strict, known = _vote(all(p == "0" or p[0] != "0" for p in span.split(".")), True), _vote(not span.startswith(("0.", "127.", "255.")), True)
     elif name == "card":
         strict, known = _vote(len(digits) in (15, 16), len(digits) in (13, 14)), _vote(digits.startswith(_CARD_PREFIXES), True)
     elif name == "phone":
@@ -267,11 +264,16 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with each accepted span of the text replaced by its kind in angle brackets; all columns stay."""
-    weights = learn(candidates(df[text_col]), df)
-    text, spans = F.col(text_col), F.col("pii_spans_")
+    """df with each accepted span of the text replaced by its kind in angle brackets; all columns stay.
+
+    The rows are written once with their candidates beside them; learning and masking read that table.
+    """
+    (name,) = free_names(df, "pii_found")
+    held = materialize(df.withColumn(name, candidates(df[text_col])), "candidates")
+    weights = learn(F.col(name), held)
+    text = F.col(text_col)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    by_place = F.sort_array(F.transform(accepted(F.col("pii_found_"), weights), lambda s: F.struct(s["start"], -s["end"], s["kind"])))
+    spans = F.sort_array(F.transform(accepted(F.col(name), weights), lambda s: F.struct(s["start"], -s["end"], s["kind"])))
 
     def step(state: Column, s: Column) -> Column:
         after = -s["col2"]
@@ -279,5 +281,4 @@ def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["start"] >= state["at"], F.struct(after.alias("at"), fresh.alias("out"))).otherwise(state)
 
     folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = df.withColumn("pii_found_", candidates(df[text_col])).withColumn("pii_spans_", by_place)
-    return out.withColumn(text_col, F.when(F.size(spans) > 0, folded).otherwise(text)).select(*df.columns)
+    return held.withColumn(text_col, F.when(F.size(name) > 0, folded).otherwise(text)).select(*df.columns)

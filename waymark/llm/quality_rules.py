@@ -214,18 +214,30 @@ def learn_rules(
     return learn_decision_list(*labelled_cells(values, marks, max_labelled, points), **limits)
 
 
+def marks_of(labels: DataFrame, id_col: str) -> DataFrame:
+    return labels.select(labels[id_col].alias("mark_id"), (labels["quality"] == 0).alias("bad"))
+
+
 def quality_decisions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row for each row of docs: id, q_ statistics, q_base_failed, q_rule (number of the firing rule), q_kept."""
     bare = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     stats = materialize(text_statistics(bare).drop("text"), "statistics")
-    marks = labels.select(labels[id_col].alias("mark_id"), (labels["quality"] == 0).alias("bad"))
-    rules = learn_rules(stats, marks, **limits)
+    rules = learn_rules(stats, marks_of(labels, id_col), **limits)
     return stats.withColumn("q_rule", list_expression(rules, features())).withColumn(
         "q_kept", ~F.col("q_base_failed") & F.col("q_rule").isNull()
     )
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the rules reject; all columns stay. A row with a null id stays."""
-    lost = quality_decisions(docs, labels, id_col, text_col).filter("not q_kept").select(F.col("id").alias("lost_id")).distinct()
-    return docs.join(lost, docs[id_col] == lost["lost_id"], "left_anti")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """docs without the rows that the rules reject; all columns stay.
+
+    The rows are written once with their statistics beside them, so that each row carries its own verdict, whatever its id.
+    """
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    held = materialize(text_statistics(docs, text_col, prefix), "judged")
+    names = [*STATS, "base_failed"]
+    stats = held.select(held[id_col].alias("id"), *(F.col(f"{prefix}{x}").alias(f"q_{x}") for x in names))
+    rules = learn_rules(stats, marks_of(labels, id_col), **limits)
+    return held.filter(~F.col(f"{prefix}base_failed") & list_expression(rules, features(prefix)).isNull()).select(*docs.columns)
