@@ -432,21 +432,77 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     truth = {r["doc_id"]: r["lang"] for r in common.documents(spark, folder).collect()}
     told = [r for r in registered.queries()["op6_rank_order_language"](spark, folder).collect() if r["held_out"]]
     assert len(told) > 150 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in told) >= 0.98 * len(told)
+    folder = "/root/testdata/sf0.1"  # about a hundred held-out toxic documents
     marks = {r["doc_id"]: r["toxic"] for r in common.labels(spark, folder).collect()}
-    scored = [r for r in registered.queries()["op2_noisy_channel_toxicity"](spark, folder).collect() if r["doc_id"] in marks]
+    scored = [r for r in registered.queries()["op2_noisy_channel_toxicity"](spark, folder).collect() if marks.get(r["doc_id"]) is not None]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in scored)
-    assert sum(r["predicted"] == marks[r["doc_id"]] for r in scored) >= 0.93 * len(scored)
+    for held_out in (True, False):
+        pairs = Counter((r["predicted"], marks[r["doc_id"]]) for r in scored if r["held_out"] == held_out)
+        assert pairs[1, 1] >= 0.8 * (pairs[1, 1] + pairs[0, 1]), pairs  # recall of toxic documents
+        assert pairs[1, 1] >= 0.85 * (pairs[1, 1] + pairs[1, 0]), pairs  # precision
 
 
-@pytest.mark.parametrize(("written", "read"), [("1d10t", "idiot"), ("idiooot", "idiot"), ("id!ot", "idiot"), ("m0r0n", "moron"), ("$tup1d", "stupid"), ("w0rthl3ss", "worthless"), ("i.d.i.o.t", "idiot"), ("tr@sh", "trash")])
-def test_deobfuscation(spark, written, read):
-    model = toxicity.LetterModel(toxicity.letter_counts(common.documents(spark, "/root/testdata/sf0.01")))
-    assert toxicity.decode(written, model) == read
+def readings(spark, tokens):
+    counts = toxicity.letter_counts(common.documents(spark, "/root/testdata/sf0.01"))
+    held = common.materialize(spark.createDataFrame([(t,) for t in tokens], "token string"), "asked")
+    return {r["token"]: " ".join(r["words"]) for r in toxicity.read_tokens(held, counts, bucket=3).collect()}
 
 
-def test_strung_out_letters(spark):
-    model = toxicity.LetterModel(toxicity.letter_counts(common.documents(spark, "/root/testdata/sf0.01")))
-    assert "idiot" in toxicity.Restorer(model).restored("you are an i d i o t and that is it")
+WRITTEN = {
+    "1d10t": "idiot", "idiooot": "idiot", "id!ot": "idiot", "m0r0n": "moron", "$tup1d": "stupid", "w0rthl3ss": "worthless", "i.d.i.o.t": "idiot", "tr@sh": "trash",
+    "idio" + "o" * 200 + "t": "idiot",
+}
+
+
+def test_deobfuscation(spark):
+    """Repetition and strings of letters of any length, also over the ends of words."""
+    strung = "y o u a r e a n i d i o t"
+    got = readings(spark, [*WRITTEN, strung])
+    assert {"are", "an", "idiot"} <= set(got.pop(strung).split()) and got == WRITTEN
+
+
+def test_search_equals_all_readings():
+    """Viterbi against every path of short lattices under a made-up letter model."""
+    r = random.Random(12)
+    table = {}
+
+    def score(a, b, c):
+        return table.setdefault((a, b, c), -r.random() * 9)
+
+    def paths(steps):
+        if not steps:
+            return [("", 0.0)]
+        return [(x + y, c + d) for x, c in steps[0] for y, d in paths(steps[1:])]
+
+    def worth(read, cost):
+        s, (a, b) = -cost, (32, 32)
+        for c in map(ord, read):
+            s, a, b = s + score(a, b, c), b, c
+        return s + score(a, b, 32)
+
+    for _ in range(300):
+        token = "".join(r.choice(["a", "1", "!", "vv", "666", "-", "é", "ooo"]) for _ in range(r.randint(1, 6)))
+        got, best = toxicity.decode(token, score), max(worth(*p) for p in paths(toxicity.lattice(token)))
+        assert best == pytest.approx(max(worth(x, c) for x, c in paths(toxicity.lattice(token)) if x == got)), token
+        asked = toxicity.needed(token)
+        toxicity.decode(token, lambda a, b, c, asked=asked: score(a, b, c) if a << 42 | b << 21 | c in asked else 1 / 0)
+
+
+def test_very_long_tokens_are_read():
+    long = "x" + "-" * 100_000 + "y"
+    assert toxicity.units(long)[1] == long and toxicity.units("-" * 100_000 + "word" + "!" * 100_000) == (("word",), None)
+    assert toxicity.units("a$$,") == (("a",), "a$$") and toxicity.decode("4" * 20_000, lambda *_: -1.0) == "a"
+
+
+def test_strung_out_letters_and_units():
+    texts = pa.array(["you are an i d i o t and that is it", None, "", "Word, WORD c@t c@t 7 --- a_b", "i d i o t " * 2000])
+    for row, end, u in toxicity.text_units(texts):
+        assert (row, end) == (0, 5)
+        names = u.names.to_pylist()
+        by_row = [{(names[n], bool(u.noisy[n])) for n in u.numbers[u.rows == i]} for i in range(5)]
+    assert any(x and n.startswith("i d i o t") for n, x in by_row[0])
+    assert by_row[1] == by_row[2] == set() and by_row[3] == {("word", False), ("c", False), ("t", False), ("c@t", True), ("7", True), ("a", False), ("b", False), ("a_b", True)}
+    assert max(len(n) for n, x in by_row[4] if x) > 15_000
 
 
 def test_pipeline(spark):
