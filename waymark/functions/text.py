@@ -17,8 +17,10 @@ LOOSE_WORDS = (
 )
 TRANSLATED = {"rifugio": "refuge", "refugio": "refuge", "bivacco": "bivouac", "biwak": "bivouac", "capanna": "cabane", "riparo": "abri"}
 DECOYS = r"\b(ancien|ancienne|ruine|ruines|ex|vestiges?|projet|vecchio|vecchia|ruderi|rudere|diroccat[oa]|alte|alter|altes|ehemalig\w*)\b"
-MACHINE_WORDS = "tc|tcd|tk|tph|tsf|tsd|ts|tmx|fun|telecabine|telesiege|teleski|telepherique|funivia|seggiovia|de|du|des|la|le|les|l|d"
+MACHINE_WORDS = "tph|tc|tcd|tsd|ts|tk|funi|telepherique|telecabine|telesiege|teleski|du|de|des|le|la|les|d"
 TYPOGRAPHIC = ("‘’ʼ‛“”‐‑‒–—−   ", "''''\"\"------   ")
+APPROACH = r"\b(acces|itineraire|sentier|chemin|voie|route|passage|approche|montee)\b"
+ELSEWHERE = r"\bbuet\b|aiguilles rouges|belledonne|vanoise|ecrins"
 WEEKDAYS = r"\b(lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche|lunedi|martedi|mercoledi|giovedi|venerdi|sabato|domenica)\b"
 OPENING_WORDS = r"reouvert|reouverture|rouvre|levee de l'interdiction|levee de l'arrete|retabli|de nouveau accessible|reprise"
 CLOSURE_WORDS = r"fermeture|fermes?\b|interdiction|interdit|interdite|suspendu|inaccessible|non accessible|demontage"
@@ -78,6 +80,16 @@ def is_decoy(name: Column) -> Column:
     return key_exact(name).rlike(DECOYS)
 
 
+def names_an_approach(mention: Column) -> Column:
+    """Whether a mention is of a path or route to a place, not of the place."""
+    return fold(mention).rlike(APPROACH)
+
+
+def named_elsewhere(text: Column) -> Column:
+    """Whether a text names a place outside the region, so that none of its names is taken for one inside."""
+    return fold(text).rlike(ELSEWHERE)
+
+
 def classify_title(title: Column) -> Column:
     """closure, opening or null: the earlier of the opening and closure words of a title decides."""
     flat = collapse_space(F.translate(fold(title), *TYPOGRAPHIC))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_space, fold
+from ..functions.text import collapse_space, fold, named_elsewhere
+from ..sources.shared import written
 
 
 def pending_documents(docs: DataFrame) -> DataFrame:
@@ -30,28 +31,58 @@ def verify_evidence(claims: DataFrame, docs: DataFrame) -> DataFrame:
 def passages_in_documents(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
     """(item_id, doc_id) of passages that stand in documents, spaces collapsed.
 
-    A document is a candidate if it has a passage's rarest run of `words` words, so that common runs join few rows;
-    each candidate is then tested in full. A shorter passage is its own run of as many words.
+    Outer words of a passage may be parts of words in a document, so runs are taken from its inner words. Of these runs of
+    `words` words (or as many as it has, if fewer) the one that fewest documents have makes the candidates, which are then
+    tested in full. Runs are 64-bit hashes; documents keep only those that some passage has before they are shuffled.
+    A passage of one or two words has no inner word; it is looked for among the 3-character pieces of the documents.
     """
     split = passages.select("item_id", collapse_space(F.col("text")).alias("passage")).filter("passage <> ''").withColumn("w", F.split("passage", " "))
-
-    def grams(w: str, n: int):
-        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-
-    docs_w = docs.select("doc_id", collapse_space(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    runs = docs_w.filter(F.size("w") >= words).select("doc_id", F.explode(F.array_distinct(grams("w", words))).alias("gram"))
-    asked = split.filter(F.size("w") >= words + 2).select("item_id", F.explode(F.array_distinct(F.slice(grams("w", words), 2, 1_000_000))).alias("gram"))
-    inner = asked.join(split.select(F.col("item_id").alias("i"), F.size("w").alias("n")), F.col("item_id") == F.col("i"))
-    hits = inner.join(runs, "gram").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    tested = hits.join(split.select("item_id", "passage"), "item_id").join(docs_w.select("doc_id", "body"), "doc_id")
-    long = tested.filter(F.contains("body", F.col("passage"))).select("item_id", "doc_id")
-    short = split.filter(F.size("w") < words + 2).select("item_id", "passage")
-    return long.unionByName(docs_w.join(short, F.contains("body", F.col("passage"))).select("item_id", "doc_id"))
+    split = split.withColumn("n", F.least(F.lit(words), F.size("w") - 2))
+    bodies = docs.select("doc_id", collapse_space(F.col("text")).alias("body"))
+
+    def grams(w: Column, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(n, F.array_join(F.slice(w, i + 1, n), " ")))
+
+    inner = F.slice("w", 2, F.size("w") - 2)
+    asked = split.filter("n > 0").select("item_id", F.explode(F.array_distinct(grams(inner, F.col("n")))).alias("gram"))
+    lengths = sorted(r["n"] for r in split.filter("n > 0").select("n").distinct().collect())  # at most `words` numbers
+    w = F.split("body", " ")
+    runs = F.array_distinct(F.flatten(F.array(*(F.when(F.size(w) >= n, grams(w, F.lit(n))).otherwise(F.array().cast("array<bigint>")) for n in lengths)))) if lengths else F.array().cast("array<bigint>")
+    # characters in place of words where there are no inner ones; shorter than three, every document is a candidate by its letters
+    short = split.filter("n <= 0").select("item_id", "passage")
+    three = _pieces(F.col("passage"))
+    asked = asked.unionByName(short.select("item_id", F.explode(three).alias("gram")))
+    needed = asked.select("gram").distinct()
+    sizes = sorted(r["k"] for r in short.select(F.least(F.lit(3), F.length("passage")).alias("k")).distinct().collect())
+    parts = [runs, *(_pieces(F.col("body"), k) for k in sizes)]
+    posts = bodies.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("gram")).join(needed, "gram", "left_semi")
+    posts = written(posts, "posts")
+    counts = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # a run that no document has rules its passage out
+    rarest = asked.join(counts, "gram", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).filter("r.df > 0")
+    hits = rarest.select("item_id", F.col("r.gram").alias("gram")).join(posts, "gram").select("item_id", "doc_id")
+    tested = hits.join(split.select("item_id", "passage"), "item_id").join(bodies, "doc_id")
+    return tested.filter(F.contains("body", F.col("passage"))).select("item_id", "doc_id").distinct()
+
+
+def _pieces(text: Column, k: int = 3) -> Column:
+    """Hashes of the runs of k characters, or of the whole text if it is shorter."""
+    n = F.least(F.lit(k), F.length(text))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.xxhash64(n, F.substr(text, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def relevance_gate(links: DataFrame, column: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """(links whose folded text fits the pattern, number of kept and skipped ones by page)."""
+    fits = F.coalesce(fold(F.col(column)).rlike(pattern), F.lit(False))
+    counted = links.groupBy("page_id").agg(F.count_if(fits).alias("kept"), F.count_if(~fits).alias("skipped"))
+    return links.filter(fits), counted
 
 
 def dictionary_mentions(docs: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
-    """(doc_id, feature_id, place) for each pattern of an ordered dictionary that a folded text holds, each feature once."""
-    flat = docs.select("doc_id", fold(F.col("text")).alias("flat"))
+    """(doc_id, feature_id, place) for each pattern of an ordered dictionary that a folded text holds, each feature once.
+
+    A text that names a place outside the region mentions nothing."""
+    flat = docs.filter(~F.coalesce(named_elsewhere(F.col("text")), F.lit(False))).select("doc_id", fold(F.col("text")).alias("flat"))
     hits = F.array_compact(F.array(*(F.when(F.col("flat").rlike(p), F.lit(f)) for f, p in patterns)))
     return flat.select("doc_id", F.posexplode(F.array_distinct(hits)).alias("place", "feature_id"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import METRES_PER_DEGREE, planar_metres, with_cells, with_neighbour_cells
 from ..functions.text import is_decoy, key_exact, key_machine
 from .common import first_by
+from .similar import similar_pairs
 
 
 def pairs_within(left: DataFrame, right: DataFrame, metres: float, north: float = 60.0) -> DataFrame:
@@ -129,21 +130,18 @@ def match_directory(features: DataFrame, candidates: DataFrame, floor: float = 8
     """(feature_id, cand_id, how): a curated id (column curated_id) answers alone; else the best name of at least `floor`
     with a fitting altitude, decoys left out; else the only candidate in range of position.
 
-    Names are compared where they share a word. Of equals the smallest id wins.
+    Of equals the smallest id wins.
     """
-    from ..functions.text import key_translated, similarity
+    from ..functions.text import key_translated
 
     curated = features.filter("curated_id is not null").join(candidates.select(F.col("cand_id").alias("curated_id"), F.col("cand_id")), "curated_id").select("feature_id", "cand_id", F.lit("curated").alias("how"))
     free = features.filter("curated_id is null")
 
-    def worded(df: DataFrame, key: str) -> DataFrame:
-        return df.withColumn(key, key_translated(F.col("name"))).withColumn("word", F.explode(F.array_distinct(F.split(key, " "))))
-
-    a = worded(free, "key").select("feature_id", F.col("altitude_m").alias("own"), "key", "word")
-    b = worded(candidates.filter(~is_decoy(F.col("name"))), "c_key").select("cand_id", F.col("altitude_m").alias("other"), "c_key", "word")
-    pairs = a.join(b, "word").select("feature_id", "own", "key", "cand_id", "other", "c_key").distinct()
+    a = free.select("feature_id", F.col("altitude_m").alias("own"), key_translated(F.col("name")).alias("key"))
+    b = candidates.filter(~is_decoy(F.col("name"))).select("cand_id", F.col("altitude_m").alias("other"), key_translated(F.col("name")).alias("c_key"))
+    pairs = similar_pairs(a.select("key"), b.select(F.col("c_key").alias("key")), floor)
     gap = F.abs(F.col("own") - F.col("other"))
-    scored = pairs.withColumn("score", similarity(F.col("key"), F.col("c_key"))).filter((F.col("score") >= floor) & (gap.isNull() | (gap <= altitude)))
+    scored = a.join(pairs, F.col("key") == F.col("a")).join(b, F.col("c_key") == F.col("b")).filter(gap.isNull() | (gap <= altitude))
     named = first_by(scored, ["feature_id"], F.desc("score"), F.col("cand_id")).select("feature_id", "cand_id", F.lit("name").alias("how"))
     rest = free.join(named.select("feature_id"), "feature_id", "left_anti")
     placed = match_by_position(rest, candidates, altitude=altitude).select("feature_id", "cand_id", F.lit("position").alias("how"))
@@ -153,15 +151,12 @@ def match_directory(features: DataFrame, candidates: DataFrame, floor: float = 8
 def reconcile_route(features: DataFrame, routes: DataFrame, floor: float = 84.0, climb: int = 250, span_km: float = 30.0) -> DataFrame:
     """Features to routes (route_id, name, climb_m, span_km, inside): by pin, exact key or similar name; then the first
     reason against it: climb differs, too long, leaves the box; null is accepted."""
-    from ..functions.text import similarity
-
     a = features.select("feature_id", "pinned_id", F.col("climb_m").alias("own_climb"), key_exact(F.col("name")).alias("key"))
     b = routes.select("route_id", F.col("climb_m").alias("route_climb"), F.col("span_km").alias("route_span"), "inside", key_exact(F.col("name")).alias("r_key"))
     pinned = a.filter("pinned_id is not null").join(b, F.col("pinned_id") == F.col("route_id")).withColumns({"tier": F.lit(0), "score": F.lit(100.0)})
-    words_a = a.filter("pinned_id is null").withColumn("word", F.explode(F.array_distinct(F.split("key", " "))))
-    words_b = b.withColumn("word", F.explode(F.array_distinct(F.split("r_key", " "))))
-    score = F.when(F.col("key") == F.col("r_key"), 100.0).otherwise(similarity(F.col("key"), F.col("r_key")))
-    named = words_a.join(words_b, "word").drop("word").distinct().withColumns({"tier": F.when(F.col("key") == F.col("r_key"), 1).otherwise(2), "score": score}).filter(F.col("score") >= floor)
+    free = a.filter("pinned_id is null")
+    pairs = similar_pairs(free.select("key"), b.select(F.col("r_key").alias("key")), floor).select("a", F.col("b").alias("r"), "score")
+    named = free.join(pairs, F.col("key") == F.col("a")).join(b, F.col("r_key") == F.col("r")).withColumn("tier", F.when(F.col("key") == F.col("r_key"), 1).otherwise(2))
     best = first_by(pinned.unionByName(named.select(*pinned.columns)), ["feature_id"], F.col("tier"), F.desc("score"), F.col("route_id"))
     reason = F.when(F.abs(F.col("own_climb") - F.col("route_climb")) > climb, "climb differs").when(F.col("route_span") > span_km, "too long").when(~F.col("inside"), "leaves the box")
     return best.withColumn("reason", reason).select("feature_id", "route_id", "tier", "reason")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import key_exact, key_loose, key_tight, similarity, slugify
+from ..functions.text import key_exact, key_loose, key_tight, names_an_approach, slugify
+from .similar import similar_pairs
 
 TIERS = (("exact", key_exact), ("tight", key_tight), ("loose", key_loose))
 
@@ -46,12 +47,10 @@ def resolve_exact_tiers(mentions: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def similar_keys(mentions: DataFrame, index: DataFrame, floor: float = 60.0, tier: str = "loose") -> DataFrame:
-    """(mention, key, score) of keys that share a word with the mention's key and score at least `floor`."""
-    keyer = dict(TIERS)[tier]
-    asked = mentions.select("mention").distinct().withColumn("m_key", keyer(F.col("mention"))).withColumn("word", F.explode(F.array_distinct(F.split("m_key", " "))))
-    keys = index.filter(F.col("tier") == tier).select("key").distinct().withColumn("word", F.explode(F.array_distinct(F.split("key", " "))))
-    pairs = asked.join(keys, "word").select("mention", "m_key", "key").distinct()
-    return pairs.withColumn("score", similarity(F.col("m_key"), F.col("key"))).filter(F.col("score") >= floor).select("mention", "key", "score")
+    """(mention, key, score) of the tier's keys that score at least `floor` against the mention's key."""
+    asked = mentions.select("mention").distinct().withColumn("m_key", dict(TIERS)[tier](F.col("mention")))
+    pairs = similar_pairs(asked.select(F.col("m_key").alias("key")), index.filter(F.col("tier") == tier).select("key"), floor)
+    return asked.join(pairs, F.col("m_key") == F.col("a")).select("mention", F.col("b").alias("key"), "score")
 
 
 def top_candidates(pairs: DataFrame, most: int = 5) -> DataFrame:
@@ -100,9 +99,17 @@ def attribute_to_site(mentions: DataFrame) -> DataFrame:
     return mentions.withColumns({"attributed_by": F.when(F.col("feature_id").isNull(), "site"), "feature_id": F.coalesce("feature_id", "site_of")})
 
 
-def scoped_altitude_match(mentions: DataFrame, index: DataFrame, features: DataFrame, tolerance: int = 200) -> DataFrame:
-    """Exact-tier matches whose altitude is known on both sides and close enough; each failure has its reason."""
-    found = resolve_exact_tiers(mentions, index).join(features.select("feature_id", F.col("altitude_m").alias("own_altitude")), "feature_id", "left")
+def scoped_altitude_match(mentions: DataFrame, index: DataFrame, features: DataFrame, tolerance: int = 200, accept: float = 88.0) -> DataFrame:
+    """Matches by the exact tiers, else by a similar name of at least `accept`, whose altitude is known on both sides and
+    close enough; each failure has its reason."""
+    exact = resolve_exact_tiers(mentions, index)
+    near = resolve_fuzzy(exact.filter("feature_id is null"), index, accept).select(F.col("mention").alias("asked_"), F.col("feature_id").alias("near_"), F.col("score").alias("near_score_"))
+    joined = exact.join(near, F.col("mention") == F.col("asked_"), "left")
+    by_name = F.col("feature_id").isNull() & F.col("near_").isNotNull()
+    told = joined.withColumns(
+        {"tier": F.when(by_name, "similar").otherwise(F.col("tier")), "score": F.when(by_name, F.col("near_score_")).otherwise(F.col("score")), "feature_id": F.coalesce("feature_id", "near_")}
+    ).drop("asked_", "near_", "near_score_")
+    found = told.join(features.select("feature_id", F.col("altitude_m").alias("own_altitude")), "feature_id", "left")
     reason = (
         F.when(F.col("feature_id").isNull(), "no match")
         .when(F.col("own_altitude").isNull() | F.col("altitude_m").isNull(), "altitude unknown")
@@ -111,9 +118,52 @@ def scoped_altitude_match(mentions: DataFrame, index: DataFrame, features: DataF
     return found.withColumn("reason", reason)
 
 
+def resolution_hooks(claims: DataFrame, policy: DataFrame, features: DataFrame, facts: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims with feature_id and resolved_by, queue): each source's own way from a claim to its feature.
+
+    policy: (source_id, resolution), a source without one resolves by name. The ways, by what a claim carries: `child`
+    (parent_id, mention), `slug` (slug), `external_id` (external_ref), `scoped` (mention, altitude_m), `site` (mention,
+    site_of: an unresolved mention goes to the page's own feature, unless it names an approach to it), `general` (mention).
+    What no way resolves is in the queue with its reason.
+    """
+    told = claims.join(policy, "source_id", "left").withColumn("resolution", F.coalesce("resolution", F.lit("general")))
+
+    def of(*ways: str) -> DataFrame:
+        return told.filter(F.col("resolution").isin(*ways))
+
+    names = [*told.columns, "feature_id", "reason"]
+    plain = resolve_exact_tiers(of("general", "site"), index).withColumn("reason", F.when(F.col("feature_id").isNull(), "no match"))
+    approach = names_an_approach(F.col("mention"))
+    at_site = (F.col("resolution") == "site") & F.col("feature_id").isNull() & F.col("site_of").isNotNull()
+    plain = plain.withColumns(
+        {"reason": F.when(at_site, F.when(approach, "names an approach")).otherwise(F.col("reason")), "feature_id": F.when(at_site & ~approach, F.col("site_of")).otherwise(F.col("feature_id"))}
+    )
+    child, _ = resolve_child(of("child"), features)
+    slugs = features.select(slugify(F.col("name")).alias("slug"), "feature_id").groupBy("slug").agg(F.min("feature_id").alias("feature_id"), F.count(F.lit(1)).alias("owners")).filter("owners = 1").drop("owners")
+    scoped = scoped_altitude_match(of("scoped"), index, features)
+    scoped = scoped.withColumn("feature_id", F.when(F.col("reason").isNull(), F.col("feature_id")))
+    parts = [
+        plain,
+        child.withColumn("reason", F.when(F.col("feature_id").isNull(), "no such child")),
+        of("slug").join(slugs, "slug", "left").withColumn("reason", F.when(F.col("feature_id").isNull(), "no such slug")),
+        join_by_external_id(of("external_id"), facts).withColumn("reason", F.when(F.col("feature_id").isNull(), "unknown id")),
+        scoped,
+    ]
+    out = parts[0].select(*names)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*names))
+    out = out.withColumnRenamed("resolution", "resolved_by")
+    return out.filter("feature_id is not null").drop("reason"), out.filter("feature_id is null")
+
+
+def open_mentions(mentions: DataFrame) -> DataFrame:
+    """Mentions that nobody has resolved or dismissed."""
+    return mentions.filter("resolved_to is null and not coalesce(dismissed, false)")
+
+
 def mention_queue(mentions: DataFrame, most: int = 50) -> DataFrame:
     """Open mentions, seen most often first."""
-    return mentions.filter("resolved_to is null and not dismissed").orderBy(F.desc("seen_count"), "source_id", "mention").limit(most)
+    return open_mentions(mentions).orderBy(F.desc("seen_count"), "source_id", "mention").limit(most)
 
 
 def count_mentions(sightings: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..sources.shared import written
 from .common import day
 
 
@@ -70,10 +71,16 @@ def season_rank(season: Column) -> Column:
 
 
 def ledger(view: DataFrame, *order) -> DataFrame:
-    """View rows under an order that ends in the feature id, with their place."""
-    from pyspark.sql import Window
+    """View rows under an order that ends in the feature id, with their place.
 
-    return view.withColumn("place", F.row_number().over(Window.orderBy(*order, "feature_id")))
+    Rows are dealt by range of the order and numbered within each range; each range begins where those before it end.
+    """
+    keys = [*order, F.col("feature_id")]
+    ranged = written(view.repartitionByRange(*keys).withColumn("range_", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("n"))  # one row for each task
+    before = counts.select("range_", (F.sum("n").over(Window.orderBy("range_")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("range_").orderBy(*keys))
+    return ranged.withColumn("place", nth).join(before, "range_").withColumn("place", (F.col("place") + F.col("before")).cast("int")).drop("range_", "before")
 
 
 def notice_mix(view: DataFrame) -> DataFrame:
@@ -97,14 +104,21 @@ def map_colour_state(season: Column, has_status: Column) -> Column:
 
 
 def said_about(reason: Column, summary: Column) -> Column:
-    return F.coalesce(reason, summary, F.lit("Nothing reported"))
+    """(text, quoted): the season's reason, else the summary, else a fixed phrase; quoted if it is in quotation marks."""
+    told = F.coalesce(reason, summary, F.lit("Nothing reported"))
+    return F.struct(told.alias("text"), told.rlike(r'^["“«].*["”»]$').alias("quoted"))
 
 
 def geojson_lines(view: DataFrame) -> DataFrame:
-    """Line features (geometry: array of (lon, lat)) as GeoJSON text."""
+    """Line features (geometry: array of (lon, lat)) as GeoJSON text with colour, whether the status is known, whether the
+    line is only a sketch between two points, and a summary."""
     coordinates = F.transform("geometry", lambda p: F.array(p["lon"], p["lat"]))
     shape = F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates"))
-    told = F.struct("feature_id", "name", F.col("status").isNotNull().alias("known"))
+    known = F.col("status").isNotNull()
+    told = F.struct(
+        "feature_id", "name", known.alias("known"), map_colour_state(F.col("status"), known).alias("colour"), (F.size("geometry") == 2).alias("schematic"),
+        F.concat_ws(": ", "name", F.coalesce("status", F.lit("unknown"))).alias("summary"),
+    )
     return view.filter(F.size("geometry") >= 2).select("feature_id", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), told.alias("properties"))).alias("json"))
 
 
@@ -125,7 +139,11 @@ def source_run_state(runs: DataFrame) -> DataFrame:
     ok = runs.filter("ok").groupBy("source_id").agg(F.max(F.struct("started_at", "run_id")).alias("good"))
     joined = runs.join(ok, "source_id", "left")
     since = F.col("good").isNull() | (F.struct("started_at", "run_id") > F.col("good"))
-    return joined.groupBy("source_id").agg(F.max("started_at").alias("last_fetch_at"), F.max("good.started_at").alias("last_success_at"), F.count_if(~F.col("ok") & since).alias("failures"))
+    error = F.col("error") if "error" in runs.columns else F.lit(None).cast("string")
+    last = F.max(F.when(~F.col("ok") & since, F.struct("started_at", "run_id", error.alias("error"))))["error"]
+    return joined.groupBy("source_id").agg(
+        F.max("started_at").alias("last_fetch_at"), F.max("good.started_at").alias("last_success_at"), F.count_if(~F.col("ok") & since).alias("failures"), last.alias("last_error")
+    )
 
 
 def health(runs: DataFrame, features: DataFrame) -> DataFrame:

@@ -11,31 +11,37 @@ from ..operators import places as pl
 from ..operators import resolve as rs
 from ..operators import season as se
 from ..operators import serve as sv
+from ..operators import status as st
 from ..sources import tables as tb
 from . import jobs
 from .claims_queries import OVERLAP, STATUS, status_of
 from .registry import AS_OF, query
-from .text_queries import CROSS, EXACT, INDEX, NEAR, RING, index_of, strip
+from .text_queries import ALIAS, BUILDING, CROSS, EXACT, INDEX, LOOSE, NEAR, RING, alias, index_of, similar, strip
 
 
 @query(f"""dirf AS (SELECT feature_id, altitude_m, lat, lon, CASE WHEN feature_id % 5 = 0 THEN feature_id + 1 END AS curated, 'Customer#' || lpad(CAST(feature_id AS VARCHAR), 9, '0') AS name FROM feat),
 a AS (SELECT feature_id, curated AS cand_id, 'curated' AS how FROM dirf WHERE curated IN (SELECT cand_id FROM cand)),
-b AS (SELECT d.feature_id, min(c.cand_id) AS cand_id, 'name' AS how FROM dirf d JOIN cand c ON lower(c.name) = lower(d.name) AND abs(c.altitude_m - d.altitude_m) <= 120 WHERE curated IS NULL GROUP BY 1),
+b AS (SELECT * FROM (SELECT d.feature_id, c.cand_id, 'name' AS how, row_number() OVER (PARTITION BY d.feature_id ORDER BY {similar("d.key", "c.key")} DESC, c.cand_id) AS rn
+  FROM (SELECT *, {EXACT.format("name")} AS key FROM dirf WHERE curated IS NULL) d JOIN (SELECT *, {EXACT.format("name")} AS key FROM cand) c
+  ON abs(c.altitude_m - d.altitude_m) <= 120 AND {similar("d.key", "c.key")} >= 88) WHERE rn = 1),
 {NEAR}, p AS (SELECT feature_id, min(cand_id) AS cand_id, 'position' AS how FROM near WHERE abs(fa - ca) <= 120 AND feature_id IN (SELECT feature_id FROM dirf WHERE curated IS NULL) AND feature_id NOT IN (SELECT feature_id FROM b) GROUP BY 1 HAVING count(*) = 1) -- main
-SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM p""")
+SELECT * FROM a UNION ALL SELECT feature_id, cand_id, how FROM b UNION ALL SELECT * FROM p""")
 def match_directory(spark, d):
     f = tb.features(spark, d).withColumns({"curated_id": F.when(F.col("feature_id") % 5 == 0, F.col("feature_id") + 1), "name": F.concat(F.lit("Customer#"), F.lpad(F.col("feature_id").cast("string"), 9, "0"))})
-    return pl.match_directory(f, tb.candidates(spark, d), floor=100.0)
+    return pl.match_directory(f, tb.candidates(spark, d))
 
 
-@query("""f AS (SELECT feature_id, name || ' ' || CAST(feature_id % 60 AS VARCHAR) AS n, CASE WHEN feature_id % 4 = 0 THEN feature_id * 3 END AS pin, altitude_m AS c FROM feat WHERE feature_id <= 300),
-r AS (SELECT p_partkey AS route_id, p_name || ' ' || CAST(p_partkey % 60 AS VARCHAR) AS n, p_size * 90 AS c, CAST(p_size AS DOUBLE) AS s, p_partkey % 9 <> 0 AS i FROM part WHERE p_partkey % 3 = 0),
-m AS (SELECT f.feature_id, f.c AS fc, r.*, CASE WHEN pin = route_id THEN 0 ELSE 1 END AS tier, row_number() OVER (PARTITION BY feature_id ORDER BY route_id) AS rn FROM f JOIN r ON CASE WHEN pin IS NOT NULL THEN pin = route_id ELSE f.n = r.n END) -- main
-SELECT feature_id, route_id, tier, CASE WHEN abs(fc - c) > 250 THEN 'climb differs' WHEN s > 30 THEN 'too long' WHEN NOT i THEN 'leaves the box' END AS reason FROM m WHERE rn = 1""")
+@query(f"""f AS (SELECT feature_id, name || ' ' || CAST(feature_id % 60 AS VARCHAR) AS n, CASE WHEN feature_id % 4 = 0 THEN feature_id + 1 END AS pin, altitude_m AS c FROM feat),
+r AS (SELECT p_partkey AS route_id, p_name || ' ' || CAST(p_partkey % 60 AS VARCHAR) AS n, p_size * 90 AS c, CAST(p_size AS DOUBLE) AS s, p_partkey % 9 <> 0 AS i FROM part),
+k AS (SELECT a.n AS fn, b.n AS rn, {similar("a.n", "b.n")} AS score FROM (SELECT DISTINCT n FROM f) a, (SELECT DISTINCT n FROM r) b WHERE {similar("a.n", "b.n")} >= 84),
+p AS (SELECT f.feature_id, f.c AS fc, r.*, 0 AS tier, 100.0 AS score FROM f JOIN r ON pin = route_id UNION ALL
+  SELECT f.feature_id, f.c, r.*, CASE WHEN f.n = r.n THEN 1 ELSE 2 END, score FROM f JOIN k ON k.fn = f.n JOIN r ON r.n = k.rn WHERE pin IS NULL),
+m AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY tier, score DESC, route_id) AS nth FROM p) -- main
+SELECT feature_id, route_id, tier, CASE WHEN abs(fc - c) > 250 THEN 'climb differs' WHEN s > 30 THEN 'too long' WHEN NOT i THEN 'leaves the box' END AS reason FROM m WHERE nth = 1""")
 def reconcile_route(spark, d):
-    f = tb.features(spark, d).filter("feature_id <= 300").selectExpr("feature_id", "concat(name, ' ', feature_id % 60) AS name", "CASE WHEN feature_id % 4 = 0 THEN feature_id * 3 END AS pinned_id", "altitude_m AS climb_m")
-    r = tb.base(spark, d, "part").filter("p_partkey % 3 = 0").selectExpr("p_partkey AS route_id", "concat(p_name, ' ', p_partkey % 60) AS name", "p_size * 90 AS climb_m", "CAST(p_size AS DOUBLE) AS span_km", "p_partkey % 9 <> 0 AS inside")
-    return pl.reconcile_route(f, r, floor=100.0)
+    f = tb.features(spark, d).selectExpr("feature_id", "concat(name, ' ', feature_id % 60) AS name", "CASE WHEN feature_id % 4 = 0 THEN feature_id + 1 END AS pinned_id", "altitude_m AS climb_m")
+    r = tb.base(spark, d, "part").selectExpr("p_partkey AS route_id", "concat(p_name, ' ', p_partkey % 60) AS name", "p_size * 90 AS climb_m", "CAST(p_size AS DOUBLE) AS span_km", "p_partkey % 9 <> 0 AS inside")
+    return pl.reconcile_route(f, r)
 
 
 @query(f"""l AS (SELECT cand_id AS line_id, CASE WHEN cand_id % 2 = 0 THEN name ELSE 'Twin line ' || CAST(cand_id % 50 AS VARCHAR) END AS name, lat, lon, CAST(cand_id % 12 AS DOUBLE) AS span FROM cand),
@@ -49,14 +55,19 @@ def new_features_from_lines(spark, d):
 
 
 SCOPED = f"""sole AS (SELECT tier, key, min(feature_id) AS owner FROM idx GROUP BY 1, 2 HAVING count(*) = 1),
-asked AS (SELECT p_partkey, 'refuge du ' || p_name || ' ' || CAST(p_partkey % 40 AS VARCHAR) AS mention, CASE WHEN p_partkey % 3 > 0 THEN p_size * 100 END AS alt FROM part),
-m AS (SELECT p_partkey, alt, coalesce(e.owner, t.owner, l.owner) AS fid FROM asked LEFT JOIN sole e ON e.tier = 'exact' AND e.key = {EXACT.format('mention')}
- LEFT JOIN sole t ON t.tier = 'tight' AND t.key = {strip(EXACT.format('mention'), tx.BUILDING_WORDS)} LEFT JOIN sole l ON l.tier = 'loose' AND l.key = {strip(EXACT.format('mention'), tx.LOOSE_WORDS)}),
-told AS (SELECT p_partkey, fid, CASE WHEN fid IS NULL THEN 'no match' WHEN f.altitude_m IS NULL OR alt IS NULL THEN 'altitude unknown' WHEN abs(f.altitude_m - alt) > 200 THEN 'altitude differs' END AS reason FROM m LEFT JOIN feat f ON f.feature_id = fid)"""
+asked AS (SELECT p_partkey, {ALIAS.format(name="p_name", id="p_partkey")} AS mention, CASE WHEN p_partkey % 3 > 0 THEN p_size * 100 END AS alt FROM part),
+m AS (SELECT p_partkey, mention, alt, coalesce(e.owner, t.owner, l.owner) AS fid FROM asked LEFT JOIN sole e ON e.tier = 'exact' AND e.key = {EXACT.format('mention')}
+ LEFT JOIN sole t ON t.tier = 'tight' AND t.key = {strip(EXACT.format('mention'), BUILDING)} LEFT JOIN sole l ON l.tier = 'loose' AND l.key = {strip(EXACT.format('mention'), LOOSE)}),
+lost AS (SELECT DISTINCT mention, {strip(EXACT.format('mention'), LOOSE)} AS m_key FROM m WHERE fid IS NULL), keys AS (SELECT DISTINCT key FROM idx WHERE tier = 'loose'),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, key) AS place FROM (SELECT mention, key, {similar('m_key', 'key')} AS score FROM lost, keys) WHERE score >= 60) WHERE place <= 5),
+owned AS (SELECT mention, score, feature_id, max(score) OVER (PARTITION BY mention) AS best FROM top JOIN idx USING (key) WHERE tier = 'loose'),
+near AS (SELECT mention, CASE WHEN max(score) >= 88 AND min(feature_id) FILTER (score = best) = max(feature_id) FILTER (score = best) THEN min(feature_id) FILTER (score = best) END AS nid FROM owned GROUP BY 1),
+n AS (SELECT p_partkey, alt, coalesce(fid, nid) AS fid FROM m LEFT JOIN near USING (mention)),
+told AS (SELECT p_partkey, fid, CASE WHEN fid IS NULL THEN 'no match' WHEN f.altitude_m IS NULL OR alt IS NULL THEN 'altitude unknown' WHEN abs(f.altitude_m - alt) > 200 THEN 'altitude differs' END AS reason FROM n LEFT JOIN feat f ON f.feature_id = fid)"""
 
 
 def scoped(spark, d):
-    asked = tb.base(spark, d, "part").select("p_partkey", F.concat(F.lit("refuge du "), "p_name", F.lit(" "), (F.col("p_partkey") % 40).cast("string")).alias("mention"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size") * 100).alias("altitude_m"))
+    asked = tb.base(spark, d, "part").select("p_partkey", alias("p_name", "p_partkey").alias("mention"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size") * 100).alias("altitude_m"))
     return rs.scoped_altitude_match(asked, index_of(spark, d), tb.features(spark, d))
 
 
@@ -70,12 +81,6 @@ def match_report(spark, d):
     return pl.match_report(scoped(spark, d))
 
 
-@query()
-def top_candidates(spark, d):
-    asked = tb.base(spark, d, "part").select(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 40).cast("string"), F.lit("b")).alias("mention"))
-    return rs.top_candidates(rs.similar_keys(asked, index_of(spark, d)))
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
 def pending_documents(spark, d):
     docs = tb.base(spark, d, "documents").select("doc_id", F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.lit("2026-01-01").cast("timestamp").alias("fetched_at"), F.when(F.col("doc_id") % 3 == 0, F.lit("2026-01-02").cast("timestamp")).alias("extracted_at"))
@@ -88,19 +93,26 @@ def tracked_with_status(spark, d):
     return sv.tracked(view).select("feature_id")
 
 
-@query(f"{STATUS} -- main\nSELECT f.feature_id, t.status IS DISTINCT FROM 'open' AS exceptional, coalesce(t.claim_id, 'Nothing reported') AS said FROM feat f LEFT JOIN stat t ON t.feature_id = f.feature_id")
+@query(f"""{STATUS}, v AS (SELECT f.feature_id, t.status, t.claim_id, CASE WHEN f.feature_id % 3 = 0 THEN 'in_season' WHEN f.feature_id % 3 = 1 THEN '"said so"' END AS reason,
+  CASE WHEN coalesce(stale_after < $as_of, false) THEN 'old' END AS doubt FROM feat f LEFT JOIN stat t ON t.feature_id = f.feature_id) -- main
+SELECT feature_id, status IS DISTINCT FROM 'open' OR doubt IS NOT NULL AS exceptional, coalesce(reason, claim_id, 'Nothing reported') AS said, coalesce(reason LIKE '"%', false) AS quoted FROM v""")
 def exceptional_and_said(spark, d):
     view = tb.features(spark, d).join(status_of(spark, d), "feature_id", "left")
-    return view.select("feature_id", sv.exceptional(F.col("status"), F.lit(None).cast("string")).alias("exceptional"), sv.said_about(F.lit(None).cast("string"), F.col("claim_id")).alias("said"))
+    reason = F.when(F.col("feature_id") % 3 == 0, "in_season").when(F.col("feature_id") % 3 == 1, '"said so"')
+    doubt = F.when(F.coalesce(st.is_stale(AS_OF), F.lit(False)), "old")
+    told = view.select("feature_id", sv.exceptional(F.col("status"), doubt).alias("exceptional"), sv.said_about(reason, F.col("claim_id")).alias("s"))
+    return told.select("feature_id", "exceptional", F.col("s.text").alias("said"), F.col("s.quoted").alias("quoted"))
 
 
-@query("""SELECT kind, count(*) AS n FROM feat WHERE feature_id % 2 = 0 GROUP BY 1""")
+@query(f"""{STATUS} -- main
+SELECT f.feature_id, coalesce(CASE WHEN t.status IN ('open', 'closed', 'restricted', 'unstaffed') THEN t.status WHEN t.status IS NOT NULL THEN 'unknown' END, 'context') AS colour, t.status IS NOT NULL AS known, f.feature_id % 4 = 0 AS schematic,
+  f.name || ': ' || coalesce(t.status, 'unknown') AS summary, CASE WHEN f.feature_id % 4 = 0 THEN 2 ELSE 3 END AS points FROM feat f LEFT JOIN stat t ON t.feature_id = f.feature_id WHERE f.feature_id % 4 <> 1""")
 def geojson_lines(spark, d):
-    f = tb.features(spark, d).withColumn("status", F.lit("open"))
+    f = tb.features(spark, d).join(status_of(spark, d), "feature_id", "left")
     point = F.struct("lon", "lat")
-    lines = f.withColumn("geometry", F.when(F.col("feature_id") % 2 == 0, F.array(point, point)).otherwise(F.array(point)))
-    told = sv.geojson_lines(lines).join(f.select("feature_id", "kind"), "feature_id")
-    return told.filter(F.get_json_object("json", "$.geometry.type") == "LineString").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    lines = f.withColumn("geometry", F.when(F.col("feature_id") % 4 == 1, F.array(point)).when(F.col("feature_id") % 4 == 0, F.array(point, point)).otherwise(F.array(point, point, point)))
+    read = sv.geojson_lines(lines).select("feature_id", F.from_json("json", "type string, geometry struct<type:string,coordinates:array<array<double>>>, properties struct<colour:string,known:boolean,schematic:boolean,summary:string>").alias("j"))
+    return read.filter("j.geometry.type = 'LineString'").select("feature_id", "j.properties.*", F.size("j.geometry.coordinates").alias("points")).select("feature_id", "colour", "known", "schematic", "summary", "points")
 
 
 MONTHS = "['janvier', 'fevrier', 'mars', 'avril', 'mai', 'juin', 'juillet', 'aout', 'septembre', 'octobre', 'novembre', 'decembre']"

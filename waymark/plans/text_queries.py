@@ -16,6 +16,13 @@ from ..sources import tables as tb
 from .registry import query
 
 FOLD = "replace(lower(strip_accents({0})), 'ß', 'ss')"
+# Fixed values, written out again so that the SQL does not depend on the code that it is held against.
+BUILDING = "refuge|rifugio|refugio|hutte|cabane|capanna|bivouac|bivacco|du|de|des|la|le|les|del|della|di|d|l"
+LOOSE = "refuge|rifugio|refugio|hutte|cabane|bivouac|bivacco|voie|route|via|arete|cresta|couloir|glacier|ghiacciaio|aiguille|mont|monte|pointe|punta|du|de|des|la|le|les|del|della|di|d|l"
+MACHINE = "tph|tc|tcd|tsd|ts|tk|funi|telepherique|telecabine|telesiege|teleski|du|de|des|le|la|les|d"
+DAYS = r"\b(lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche|lunedi|martedi|mercoledi|giovedi|venerdi|sabato|domenica)\b"
+OPENING = r"reouvert|reouverture|rouvre|levee de l'interdiction|levee de l'arrete|retabli|de nouveau accessible|reprise"
+CLOSING = r"fermeture|fermes?\b|interdiction|interdit|interdite|suspendu|inaccessible|non accessible|demontage"
 EXACT = "trim(regexp_replace(regexp_replace(replace(lower(strip_accents({0})), 'ß', 'ss'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -42,12 +49,12 @@ def key_exact(spark, d):
     return tb.base(spark, d, "documents").select("doc_id", tx.key_exact(F.col("text")).alias("key"))
 
 
-@query(f"SELECT doc_id, {strip(EXACT.format('text'), tx.BUILDING_WORDS)} AS key FROM documents")
+@query(f"SELECT doc_id, {strip(EXACT.format('text'), BUILDING)} AS key FROM documents")
 def key_tight(spark, d):
     return tb.base(spark, d, "documents").select("doc_id", tx.key_tight(F.col("text")).alias("key"))
 
 
-@query(f"SELECT doc_id, {strip(EXACT.format('text'), tx.LOOSE_WORDS)} AS key FROM documents")
+@query(f"SELECT doc_id, {strip(EXACT.format('text'), LOOSE)} AS key FROM documents")
 def key_loose(spark, d):
     return tb.base(spark, d, "documents").select("doc_id", tx.key_loose(F.col("text")).alias("key"))
 
@@ -57,7 +64,7 @@ def key_translated(spark, d):
     return tb.base(spark, d, "benchmark").select("item_id", tx.key_translated(F.col("text")).alias("key"))
 
 
-@query(f"SELECT c_custkey, trim(regexp_replace({strip(EXACT.format('c_name'), tx.MACHINE_WORDS)}, '\\s*\\d+$', '')) AS key FROM customer")
+@query(f"SELECT c_custkey, trim(regexp_replace({strip(EXACT.format('c_name'), MACHINE)}, '\\s*\\d+$', '')) AS key FROM customer")
 def key_machine(spark, d):
     return tb.base(spark, d, "customer").select("c_custkey", tx.key_machine(F.col("c_name")).alias("key"))
 
@@ -72,7 +79,7 @@ def collapse_space(spark, d):
     return tb.base(spark, d, "documents").select("doc_id", tx.collapse_space(F.col("text")).alias("flat"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(replace(lower(strip_accents(text)), 'ß', 'ss'), '‘’“”–—', '''''\"\"--'), '{tx.WEEKDAYS}', ' ', 'g'), '\\s+', ' ', 'g')) AS flat FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(replace(lower(strip_accents(text)), 'ß', 'ss'), '‘’“”–—', '''''\"\"--'), '{DAYS}', ' ', 'g'), '\\s+', ' ', 'g')) AS flat FROM documents")
 def fold_typography(spark, d):
     return tb.base(spark, d, "documents").select("doc_id", tx.fold_typography(F.col("text")).alias("flat"))
 
@@ -105,7 +112,7 @@ def titled(spark, d):
 
 @query(f"""{TITLED} -- main
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'opening' WHEN 1 THEN 'closure' WHEN 2 THEN 'closure' WHEN 3 THEN 'opening'
-  ELSE CASE WHEN regexp_matches({FOLD.format('title')}, '{tx.CLOSURE_WORDS}') THEN 'closure' END END AS type FROM head""")
+  ELSE CASE WHEN regexp_matches({FOLD.format('title')}, '{CLOSING}') THEN 'closure' END END AS type FROM head""")
 def classify_title(spark, d):
     return titled(spark, d).select("doc_id", tx.classify_title(F.col("title")).alias("type"))
 
@@ -121,9 +128,10 @@ def decoy_filter(spark, d):
     return tb.base(spark, d, "part").select("p_partkey", tx.is_decoy(name).alias("old"))
 
 
-@query(f"SELECT doc_id, {FOLD.format('text')} LIKE '%fermeture%' OR {FOLD.format('text')} LIKE '%queau%' AS relevant FROM documents")
+@query(f"SELECT source AS page_id, count(*) FILTER (hit) AS kept, count(*) FILTER (NOT hit) AS skipped FROM (SELECT source, coalesce({FOLD.format('text')} LIKE '%fermeture%' OR {FOLD.format('text')} LIKE '%queau%', false) AS hit FROM documents) GROUP BY 1")
 def relevance_gate(spark, d):
-    return tb.base(spark, d, "documents").select("doc_id", tx.fold(F.col("text")).rlike("fermeture|queau").alias("relevant"))
+    links = tb.base(spark, d, "documents").select(F.col("source").alias("page_id"), "text")
+    return do.relevance_gate(links, "text", "fermeture|queau")[1]
 
 
 PROSE = """regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<(script|style|nav|header|footer|aside|form|noscript|iframe|svg)\\b[^>]*>.*?</(script|style|nav|header|footer|aside|form|noscript|iframe|svg)>', ' ', 'gis')"""
@@ -284,17 +292,17 @@ def known_name_dedupe(spark, d):
     return pl.known_name_dedupe(c, c.filter("cand_id % 3 = 0").withColumn("name", F.upper("name"))).select("cand_id")
 
 
-@query(f"SELECT a.feature_id, count(*) AS ways FROM (SELECT feature_id, {EXACT.format('name')} AS k FROM feat) a JOIN (SELECT p_partkey, {EXACT.format('p_name')} AS k FROM part WHERE p_partkey % 11 = 0) b USING (k) GROUP BY 1")
+@query(f"SELECT a.feature_id, count(*) AS ways FROM (SELECT feature_id, {EXACT.format('name')} AS k FROM feat) a JOIN (SELECT p_partkey, {EXACT.format('p_name')} AS k FROM part) b USING (k) GROUP BY 1")
 def match_machines(spark, d):
-    ways = tb.base(spark, d, "part").filter("p_partkey % 11 = 0").selectExpr("p_partkey AS way_id", "concat(p_name, ' ', p_partkey) AS name")
+    ways = tb.base(spark, d, "part").selectExpr("p_partkey AS way_id", "concat(p_name, ' ', p_partkey) AS name")
     return pl.match_machines(tb.features(spark, d), ways).select("feature_id", F.size("ways").cast("long").alias("ways"))
 
 
-@query("""r AS (SELECT feature_id, CASE WHEN feature_id % 7 = 0 THEN -1 WHEN feature_id % 2 = 0 THEN feature_id END AS pin FROM feat WHERE feature_id <= 150) -- main
+@query("""r AS (SELECT feature_id, CASE WHEN feature_id % 7 = 0 THEN -1 WHEN feature_id % 2 = 0 THEN feature_id END AS pin FROM feat) -- main
 SELECT feature_id, CASE WHEN pin IS NOT NULL THEN (SELECT cand_id FROM cand WHERE cand_id = pin) ELSE (SELECT min(cand_id) FROM cand WHERE lower(name) = 'customer#' || lpad(CAST(feature_id AS VARCHAR), 9, '0') OR lower(name) = (SELECT lower(c2.name) FROM cand c2 WHERE c2.cand_id = r.feature_id)) END AS cand_id FROM r""")
 def pinned_or_named(spark, d):
     c = tb.candidates(spark, d)
-    f = tb.features(spark, d).filter("feature_id <= 150").join(c.select(F.col("cand_id").alias("feature_id"), F.col("name").alias("form")), "feature_id", "left")
+    f = tb.features(spark, d).join(c.select(F.col("cand_id").alias("feature_id"), F.col("name").alias("form")), "feature_id", "left")
     pin = F.when(F.col("feature_id") % 7 == 0, F.lit(-1).cast("long")).when(F.col("feature_id") % 2 == 0, F.col("feature_id"))
     f = f.select("feature_id", pin.alias("pinned_id"), F.array(F.lit("nowhere"), F.coalesce("form", F.lit("none"))).alias("forms"))
     return pl.pinned_or_named(f, c)
@@ -318,13 +326,30 @@ def new_features_from_candidates(spark, d):
     return told.groupBy(F.coalesce("reason", F.lit("new")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-INDEX = f"""forms AS (SELECT feature_id, name AS form, 0 AS place FROM feat WHERE feature_id <= 200 UNION ALL SELECT feature_id, 'Refuge du ' || name || ' ' || CAST(feature_id % 40 AS VARCHAR), 1 FROM feat WHERE feature_id <= 200),
-keyed AS (SELECT feature_id, form, place, 'exact' AS tier, {EXACT.format('form')} AS key FROM forms UNION ALL SELECT feature_id, form, place, 'tight', {strip(EXACT.format('form'), tx.BUILDING_WORDS)} FROM forms UNION ALL SELECT feature_id, form, place, 'loose', {strip(EXACT.format('form'), tx.LOOSE_WORDS)} FROM forms),
+ALIAS = "'Refuge du ' || {name} || ' ' || CAST(CASE WHEN {id} % 2 = 0 THEN {id} ELSE {id} % 40 END AS VARCHAR)"
+INDEX = f"""forms AS (SELECT feature_id, name AS form, 0 AS place FROM feat UNION ALL SELECT feature_id, {ALIAS.format(name="name", id="feature_id")}, 1 FROM feat),
+keyed AS (SELECT feature_id, form, place, 'exact' AS tier, {EXACT.format('form')} AS key FROM forms UNION ALL SELECT feature_id, form, place, 'tight', {strip(EXACT.format('form'), BUILDING)} FROM forms UNION ALL SELECT feature_id, form, place, 'loose', {strip(EXACT.format('form'), LOOSE)} FROM forms),
 idx AS (SELECT tier, key, feature_id, arg_min(form, place) AS form FROM keyed WHERE key <> '' GROUP BY 1, 2, 3)"""
 
 
+def alias(name: str, key: str):
+    return F.concat(F.lit("Refuge du "), F.col(name), F.lit(" "), F.expr(f"CAST(CASE WHEN {key} % 2 = 0 THEN {key} ELSE {key} % 40 END AS STRING)"))
+
+
+def ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 100.0::DOUBLE ELSE 100 * (1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))) END)"
+
+
+def similar(a: str, b: str) -> str:
+    """The similarity of two keys in SQL."""
+    words = [f"array_to_string(list_sort(string_split({x}, ' ')), ' ')" for x in (a, b)]
+    sets = [f"list_distinct(string_split({x}, ' '))" for x in (a, b)]
+    overlap = f"100.0::DOUBLE * len(list_intersect({sets[0]}, {sets[1]})) / greatest(len({sets[0]}), len({sets[1]}))"
+    return f"greatest({ratio(a, b)}, {ratio(*words)} * 0.95::DOUBLE, ({overlap}) * 0.95::DOUBLE)"
+
+
 def index_of(spark, d):
-    f = tb.features(spark, d).filter("feature_id <= 200").withColumn("aliases", F.array(F.concat(F.lit("Refuge du "), "name", F.lit(" "), (F.col("feature_id") % 40).cast("string"))))
+    f = tb.features(spark, d).withColumn("aliases", F.array(alias("name", "feature_id")))
     return rs.alias_index(rs.surface_forms(f, aliases="aliases"))
 
 
@@ -333,9 +358,9 @@ def alias_index(spark, d):
     return index_of(spark, d)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT feature_id) AS features FROM (SELECT feature_id FROM feat WHERE feature_id <= 200 UNION ALL SELECT feature_id FROM feat WHERE feature_id <= 200)")
+@query("SELECT count(*) AS n, count(DISTINCT feature_id) AS features FROM (SELECT feature_id FROM feat UNION ALL SELECT feature_id FROM feat)")
 def surface_forms(spark, d):
-    f = tb.features(spark, d).filter("feature_id <= 200").withColumn("aliases", F.array("kind"))
+    f = tb.features(spark, d).withColumn("aliases", F.array("kind"))
     return rs.surface_forms(f, aliases="aliases").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("feature_id").alias("features"))
 
 
@@ -345,18 +370,34 @@ def ambiguous_keys(spark, d):
 
 
 @query(f"""{INDEX}, sole AS (SELECT tier, key, min(feature_id) AS owner FROM idx GROUP BY 1, 2 HAVING count(*) = 1),
-asked AS (SELECT p_partkey, 'REFUGE du ' || p_name || ' ' || CAST(p_partkey % 40 AS VARCHAR) AS mention FROM part) -- main
+asked AS (SELECT p_partkey, upper({ALIAS.format(name="p_name", id="p_partkey")}) AS mention FROM part) -- main
 SELECT p_partkey, coalesce(e.owner, t.owner, l.owner) AS feature_id, CASE WHEN e.owner IS NOT NULL THEN 'exact' WHEN t.owner IS NOT NULL THEN 'tight' WHEN l.owner IS NOT NULL THEN 'loose' END AS tier FROM asked
-LEFT JOIN sole e ON e.tier = 'exact' AND e.key = {EXACT.format('mention')} LEFT JOIN sole t ON t.tier = 'tight' AND t.key = {strip(EXACT.format('mention'), tx.BUILDING_WORDS)} LEFT JOIN sole l ON l.tier = 'loose' AND l.key = {strip(EXACT.format('mention'), tx.LOOSE_WORDS)}""")
+LEFT JOIN sole e ON e.tier = 'exact' AND e.key = {EXACT.format('mention')} LEFT JOIN sole t ON t.tier = 'tight' AND t.key = {strip(EXACT.format('mention'), BUILDING)} LEFT JOIN sole l ON l.tier = 'loose' AND l.key = {strip(EXACT.format('mention'), LOOSE)}""")
 def resolve_exact_tiers(spark, d):
-    asked = tb.base(spark, d, "part").select("p_partkey", F.concat(F.lit("REFUGE du "), "p_name", F.lit(" "), (F.col("p_partkey") % 40).cast("string")).alias("mention"))
+    asked = tb.base(spark, d, "part").select("p_partkey", F.upper(alias("p_name", "p_partkey")).alias("mention"))
     return rs.resolve_exact_tiers(asked, index_of(spark, d)).select("p_partkey", "feature_id", "tier")
 
 
-@query()
+SCORED = f"""asked AS (SELECT DISTINCT p_name || ' ' || CAST(p_partkey % 40 AS VARCHAR) || '$end' AS mention FROM part),
+keyed_m AS (SELECT mention, {strip(EXACT.format('mention'), LOOSE)} AS m_key FROM asked), keys AS (SELECT DISTINCT key FROM idx WHERE tier = 'loose'),
+scored AS (SELECT mention, key, {similar('m_key', 'key')} AS score FROM keyed_m, keys),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, key) AS place FROM scored WHERE score >= 60) WHERE place <= 5)"""
+
+
+def misspelt(spark, d, end: str):
+    return tb.base(spark, d, "part").select(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 40).cast("string"), F.lit(end)).alias("mention")).distinct()
+
+
+@query(f"""{INDEX}, {SCORED.replace("$end", "a")}, owned AS (SELECT mention, score, feature_id, max(score) OVER (PARTITION BY mention) AS best FROM top JOIN idx USING (key) WHERE tier = 'loose'),
+told AS (SELECT mention, max(score) AS score, min(feature_id) FILTER (score = best) AS low, max(feature_id) FILTER (score = best) AS high, count(DISTINCT feature_id) AS n_candidates FROM owned GROUP BY 1) -- main
+SELECT mention, round(score, 6) AS score, n_candidates, CASE WHEN score >= 88 AND low = high THEN low END AS feature_id FROM asked LEFT JOIN told USING (mention)""")
 def resolve_fuzzy(spark, d):
-    asked = tb.base(spark, d, "part").select(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 40).cast("string"), F.lit("a")).alias("mention"))
-    return rs.resolve_fuzzy(asked, index_of(spark, d))
+    return rs.resolve_fuzzy(misspelt(spark, d, "a"), index_of(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"{INDEX}, {SCORED.replace('$end', 'b')} -- main\nSELECT mention, key, round(score, 6) AS score, place FROM top")
+def top_candidates(spark, d):
+    return rs.top_candidates(rs.similar_keys(misspelt(spark, d, "b"), index_of(spark, d))).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT source_id, lower(mention) AS mention, count(*) AS seen_count, min(seen_at) AS first_seen, max(seen_at) AS last_seen FROM ment GROUP BY 1, 2")

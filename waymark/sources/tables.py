@@ -38,7 +38,6 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         base(spark, sf_dir, "supplier")
-        .filter("s_suppkey < 8")
         .selectExpr(
             "s_suppkey AS source_id", "s_name AS name", "CAST(1 + s_nationkey % 9 AS DOUBLE) / 10 AS trust",
             "CAST(180 * (1 + s_nationkey % 4) AS INT) AS interval_min", "CASE WHEN s_suppkey % 2 = 0 THEN 40 END AS retire_after",
@@ -52,7 +51,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         base(spark, sf_dir, "lineitem")
         .withColumn("d", F.to_date("l_shipdate"))
         .selectExpr(
-            "concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS INT)) AS id", "l_partkey AS feature_id", "l_suppkey % 8 AS source_id", "l_orderkey AS document_id",
+            "concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS INT)) AS id", "l_partkey AS feature_id", "l_suppkey AS source_id", "l_orderkey AS document_id",
             "l_orderkey * 8 + l_linenumber AS seq",
             "CASE l_returnflag WHEN 'A' THEN 'closure' WHEN 'R' THEN 'opening' WHEN 'N' THEN 'restriction' END AS type",
             "CASE WHEN l_linestatus = 'F' THEN 'unknown' WHEN l_returnflag = 'A' THEN 'closed' WHEN l_returnflag = 'N' THEN 'restricted' WHEN l_linenumber = 7 THEN 'unstaffed' ELSE 'open' END AS status",
@@ -68,7 +67,6 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         base(spark, sf_dir, "orders")
-        .filter("to_date(o_orderdate) <= DATE'1998-08-02'")
         .selectExpr("o_orderkey AS run_id", "o_custkey % 8 AS source_id", "to_date(o_orderdate) AS started_at", "o_orderstatus <> 'F' AS ok")
     )
 
@@ -88,7 +86,7 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of features by source: two keys from each of two suppliers' views of a part."""
     return base(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").selectExpr(
-        "l_partkey AS feature_id", "l_suppkey % 8 AS source_id", "CASE WHEN l_linenumber = 1 THEN 'beds' ELSE 'phone' END AS key",
+        "l_partkey AS feature_id", "l_suppkey AS source_id", "CASE WHEN l_linenumber = 1 THEN 'beds' ELSE 'phone' END AS key",
         "CASE WHEN l_tax > 0.01D THEN CAST(CAST(l_quantity AS INT) AS STRING) END AS value", "to_date(l_shipdate) AS fetched_at",
     )
 
@@ -107,8 +105,8 @@ feat AS (SELECT p_partkey AS feature_id, p_name AS name, lower(p_type) AS kind,
   p_partkey % 50 <> 7 AS active, CAST(45.72 AS DOUBLE) + CAST((p_partkey * 37) % 330 AS DOUBLE) / 1000 AS lat,
   CAST(6.60 AS DOUBLE) + CAST((p_partkey * 53) % 50 AS DOUBLE) / 1000 AS lon FROM part),
 src AS (SELECT s_suppkey AS source_id, s_name AS name, CAST(1 + s_nationkey % 9 AS DOUBLE) / 10 AS trust,
-  CAST(180 * (1 + s_nationkey % 4) AS INT) AS interval_min, CASE WHEN s_suppkey % 2 = 0 THEN 40 END AS retire_after FROM supplier WHERE s_suppkey < 8),
-stmt AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS INT)) AS id, l_partkey AS feature_id, l_suppkey % 8 AS source_id, l_orderkey AS document_id,
+  CAST(180 * (1 + s_nationkey % 4) AS INT) AS interval_min, CASE WHEN s_suppkey % 2 = 0 THEN 40 END AS retire_after FROM supplier),
+stmt AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS INT)) AS id, l_partkey AS feature_id, l_suppkey AS source_id, l_orderkey AS document_id,
   l_orderkey * 8 + l_linenumber AS seq,
   CASE l_returnflag WHEN 'A' THEN 'closure' WHEN 'R' THEN 'opening' WHEN 'N' THEN 'restriction' END AS type,
   CASE WHEN l_linestatus = 'F' THEN 'unknown' WHEN l_returnflag = 'A' THEN 'closed' WHEN l_returnflag = 'N' THEN 'restricted' WHEN l_linenumber = 7 THEN 'unstaffed' ELSE 'open' END AS status,
@@ -118,11 +116,11 @@ stmt AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, C
   l_discount >= 0.08 AS needs_review, CASE WHEN l_tax < 0.03 THEN CAST(l_shipdate AS DATE) END AS reviewed_at, l_returnflag = 'R' AND l_linestatus = 'F' AS schedule,
   CASE WHEN l_tax >= 0.07 THEN CAST(l_shipdate AS DATE) + (CAST(l_quantity * 10 AS INT) + 1) END AS superseded_at, CAST(NULL AS VARCHAR) AS superseded_by,
   CASE WHEN l_tax >= 0.08 THEN 'unmentioned' END AS retired_reason, CASE WHEN l_linenumber <> 4 THEN l_returnflag || l_linestatus END AS evidence FROM lineitem),
-run AS (SELECT o_orderkey AS run_id, o_custkey % 8 AS source_id, CAST(o_orderdate AS DATE) AS started_at, o_orderstatus <> 'F' AS ok FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1998-08-02'),
+run AS (SELECT o_orderkey AS run_id, o_custkey % 8 AS source_id, CAST(o_orderdate AS DATE) AS started_at, o_orderstatus <> 'F' AS ok FROM orders),
 cand AS (SELECT c_custkey AS cand_id, c_name AS name, CAST(100 * (1 + c_custkey % 50) AS INT) AS altitude_m,
   CAST(45.72 AS DOUBLE) + CAST((c_custkey * 37) % 330 AS DOUBLE) / 1000 + CAST(0.0003 AS DOUBLE) AS lat, CAST(6.60 AS DOUBLE) + CAST((c_custkey * 41) % 50 AS DOUBLE) / 1000 AS lon FROM customer),
 cal AS (SELECT DISTINCT user_id AS entity, event_type AS state, CAST(ts AS DATE) AS day FROM events),
-fact AS (SELECT l_partkey AS feature_id, l_suppkey % 8 AS source_id, CASE WHEN l_linenumber = 1 THEN 'beds' ELSE 'phone' END AS key,
+fact AS (SELECT l_partkey AS feature_id, l_suppkey AS source_id, CASE WHEN l_linenumber = 1 THEN 'beds' ELSE 'phone' END AS key,
   CASE WHEN l_tax > 0.01 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS value, CAST(l_shipdate AS DATE) AS fetched_at FROM lineitem WHERE l_linenumber <= 2),
 ment AS (SELECT o_custkey % 8 AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS mention, CAST(o_orderdate AS DATE) AS seen_at FROM orders JOIN customer ON o_custkey = c_custkey)
 """
