@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions import dates, geo, text
 from waymark.operators import lifecycle, review, season
 from waymark.operators import status as st
+from waymark.plans import jobs
 from waymark.sources import json_sources as js
 from waymark.sources import tables as tb
 from waymark.streaming import incremental as inc
@@ -30,7 +31,7 @@ def one(spark, column):
         ("du 26 au 29 mai 2026", D(2026, 5, 26), D(2026, 5, 29), "same_month"),
         ("du 1/6/26 au 30/9/2026", D(2026, 6, 1), D(2026, 9, 30), "numeric_range"),
         ("du 26 mai 2026 et jusqu’au 29 mai 2026", D(2026, 5, 26), D(2026, 5, 29), "from_until"),
-        ("Ouverture du Vendredi 12 Juin au soir, jusqu'au Mardi 8 Septembre 2026", D(2026, 6, 12), D(2026, 9, 8), "from_until_split"),
+        ("Gardé du Lundi 7 Juillet au matin, jusqu'au Jeudi 3 Septembre 2026", D(2026, 7, 7), D(2026, 9, 3), "from_until_split"),
         ("du 10 décembre jusqu'au 8 avril 2026", D(2025, 12, 10), D(2026, 4, 8), "from_until_split"),
         ("jusqu'au 30 août 2026", None, D(2026, 8, 30), "until"),
         ("gardé jusqu'au 30/08/2026", None, D(2026, 8, 30), "until_numeric"),
@@ -82,14 +83,42 @@ def test_small_parsers(spark):
     counts = one(spark, text.lift_counts(F.lit("Remontées ( 0 / 4 ) Pistes (2/9)")))
     assert tuple(counts["remontees"]) == (0, 4) and tuple(counts["pistes"]) == (2, 9)
     assert one(spark, text.phone_from_text(F.lit("tél. 04.50.12.34.56, merci"))) == "04 50 12 34 56"
-    assert one(spark, text.parse_json_array(F.lit("hm [{\"a\": 1}] ok"), "array<struct<a:int>>"))[0]["a"] == 1
-    assert one(spark, text.parse_json_array(F.lit("none"), "array<struct<a:int>>")) is None
+    read = one(spark, text.parse_json_array(F.lit('hm [{"a": 1}, 3, "x"] ok'), "a int"))
+    assert [i["a"] for i in read["items"]] == [1] and read["error"] is None
+    assert tuple(one(spark, text.parse_json_array(F.lit("none"), "a int"))) == (None, "no array")
+    assert tuple(one(spark, text.parse_json_array(F.lit("[1, {"), "a int")))[1] == "no array" and tuple(one(spark, text.parse_json_array(F.lit("[{]"), "a int")))[1] == "not JSON"
     assert one(spark, text.similarity(F.lit("plan aiguille"), F.lit("aiguille plan"))) == pytest.approx(95.0)
     assert one(spark, text.page_published_at(F.lit('<script type="application/ld+json">{"datePublished": "2026-07-01T10:00:00"}</script>'))) == dt.datetime(2026, 7, 1, 8)
+    pages = '<script type="application/ld+json">{"datePublished": "soon"}</script> "datePublished": "2020-01-01" <script type=\'application/ld+json\'>{"@graph": [{"a": 1}, {"datePublished": "2026-01-01T10:00:00Z"}]}</script>'
+    assert one(spark, text.page_published_at(F.lit(pages))) == dt.datetime(2026, 1, 1, 10)
+    assert [one(spark, season.since_label(F.lit(m).cast("double"))) for m in (None, 1.0, 5.0, 90.0, 1500.0, 5000.0)] == ["never checked", "just now", "5 min ago", "2h ago", "yesterday", "3 days ago"]
+    assert one(spark, text.website_from_tags(F.create_map(F.lit("website"), F.lit("no link"), F.lit("contact:website"), F.lit("https://a.example")))) == "https://a.example"
+    assert one(spark, text.names_an_approach(F.lit("Sentier du lac"))) and one(spark, text.named_elsewhere(F.lit("en Vanoise"))) and not one(spark, text.names_an_approach(F.lit("Cabane")))
     assert one(spark, geo.wkt_line(F.expr("array(array(named_struct('lon', 1D, 'lat', 2D), named_struct('lon', 3D, 'lat', 4D)))"))) == "LINESTRING (1.0 2.0, 3.0 4.0)"
     assert len(one(spark, geo.longest_part(F.expr("array(array(1), array(1, 2, 3), array(4, 5, 6))")))) == 3
 
 
+def test_summaries_and_vocabulary(spark):
+    window = F.struct(F.lit(D(2026, 5, 1)).alias("start"), F.lit(D(2026, 5, 3)).alias("end"))
+    assert one(spark, jobs.english_summary(F.lit("closure"), window, F.lit("Fermé, travaux et éboulement"))) == "Closed 1-3 May 2026 (rockfall, works)"
+    assert one(spark, jobs.english_summary(F.lit("opening"), window, F.lit("travaux finis"))) == "Reopened 1-3 May 2026"
+    known, unseen = jobs.status_vocabulary(spark.createDataFrame([("SERVICED",), ("ODD",), ("ODD",)], "word string"), "word", jobs.HUT_STATES)
+    assert [(r["type"], r["severity"]) for r in known.collect()] == [("opening", 0)] and [tuple(r) for r in unseen.collect()] == [("ODD", 2)]
+
+
+def test_registered_extractors(spark):
+    docs = spark.createDataFrame([(1, 1), (2, 2), (3, 9)], "document_id long, source_id long")
+    claims_, unserved = jobs.run_extractors(docs, {1: lambda d: d.selectExpr("document_id", "'a' AS type"), 2: lambda d: d.selectExpr("document_id", "'b' AS type")})
+    assert {tuple(r) for r in claims_.collect()} == {(1, "a"), (2, "b")} and [r["document_id"] for r in unserved.collect()] == [3]
+
+
+def test_tables_are_scanned_under_their_schemas(spark, tmp_path):
+    for name, schema in tb.SCHEMAS.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
+    claims(spark, [claim(1)]).write.mode("overwrite").parquet(f"{tmp_path}/claims")
+    assert {k: v.count() for k, v in tb.scan_tables(spark, str(tmp_path)).items()} == {k: int(k == "claims") for k in tb.SCHEMAS}
+
+
 def claims(spark, rows):
     names = [c.split(" ")[0] for c in tb.SCHEMAS["claims"].split(", ")]
     return spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], tb.SCHEMAS["claims"])
@@ -163,17 +192,44 @@ def test_json_sources(spark):
     assert [r["report_id"] for r in js.flatten_outings(spark.createDataFrame([(outings,)], "json string"), "2026-07-01").collect()] == [1]
 
 
+def run_stream(spark, folder, parts, schema, function):
+    """One micro-batch for each part, in order."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/in/part{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    stream.writeStream.foreachBatch(function).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [claim(i, feature_id=1 + i % 3, type="closure" if i % 2 else "opening", status="closed" if i % 2 else "open", observed_at=D(2026, 5, 1) + dt.timedelta(days=i * 7 % 11)) for i in range(1, 31)]
     whole = claims(spark, rows)
-    for k in range(3):
-        whole.filter(F.col("seq") % 3 == k).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
-    store = inc.Store(spark, f"{tmp_path}/store", tb.SCHEMAS["claims"])
-    stream = spark.readStream.schema(tb.SCHEMAS["claims"]).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    stream.writeStream.foreachBatch(inc.arrivals(store)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    live = lifecycle.live_after_replacement(whole)
-    batch = live.join(lifecycle.lift_undated_closures(live).select("id"), "id", "left_anti")
-    assert {r["id"] for r in inc.live_now(store).collect()} == {r["id"] for r in batch.collect()}
+    sources = spark.createDataFrame([(1, "s", 0.5, 60, None), (2, "t", 0.4, 60, None)], tb.SCHEMAS["sources"])
+    arrived, retired, told = (inc.Store(spark, f"{tmp_path}/{n}", x) for n, x in (("claims", tb.SCHEMAS["claims"]), ("retired", "id string"), ("status", "feature_id long, status string, claim_id string")))
+    parts = [whole.filter(F.col("seq").between(k * 10 + 1, k * 10 + 10)) for k in range(3)]
+    run_stream(spark, tmp_path, parts, tb.SCHEMAS["claims"], inc.run_claims(arrived, retired, told, sources, "2026-05-20"))
+    batch = lifecycle.settle(whole)
+    assert {r["id"] for r in inc.live_now(arrived, retired).collect()} == {r["id"] for r in batch.collect()}
+    expected = {(r["feature_id"], r["status"], r["claim_id"]) for r in st.current_status(batch, sources, "2026-05-20").collect()}
+    assert {(r["feature_id"], r["status"], r["claim_id"]) for r in inc.status_now(told).collect()} == expected
+
+
+def test_stream_of_sightings_and_absences(spark, tmp_path):
+    df = claims(spark, [claim(k, document_id=k, last_seen_at=D(2026, 5, k)) for k in range(1, 5)])
+    met = [(1, D(2026, 6, 1)), (1, D(2026, 6, 3)), (2, D(2026, 4, 1))]
+    store = inc.Store(spark, f"{tmp_path}/met", "document_id long, seen_at date")
+    run_stream(spark, f"{tmp_path}/a", [spark.createDataFrame([x], store.schema) for x in met], store.schema, inc.run_sightings(store))
+    seen = {r["id"]: r["last_seen_at"] for r in inc.confirm(df, store.all()).collect()}
+    whole = {r["id"]: r["last_seen_at"] for r in inc.confirm(df, spark.createDataFrame(met, store.schema)).collect()}
+    assert seen == whole and sorted(seen.values()) == [D(2026, 5, 2), D(2026, 5, 3), D(2026, 5, 4), D(2026, 6, 3)]
+    schema = "source_id long, started_at date, ok boolean, id string"
+    ids = sorted(seen)
+    days = [spark.createDataFrame([(1, D(2026, 5, k), k != 5, None), *([(1, D(2026, 5, k), True, ids[0])] if k == 7 else [])], schema) for k in range(1, 9)]
+    runs, mentions = inc.Store(spark, f"{tmp_path}/runs", "source_id long, started_at date, n long"), inc.Store(spark, f"{tmp_path}/mentions", "id string, seen_at date")
+    run_stream(spark, f"{tmp_path}/b", days, schema, inc.run_absences(runs, mentions))
+    every = spark.createDataFrame([(k, 1, D(2026, 5, k), k != 5) for k in range(1, 9)], tb.SCHEMAS["runs"])
+    moved = df.withColumn("last_seen_at", F.when(F.col("id") == ids[0], F.lit(D(2026, 5, 7))).otherwise(F.col("last_seen_at")))
+    got = {r["id"]: r["missed"] for r in inc.absences_now(df, runs, mentions).collect()}
+    assert got == {r["id"]: r["missed"] for r in inc.absence_counts(moved, every).collect()} and got[ids[0]] == 1
 
 
 def test_stream_dedup_and_counts(spark, tmp_path):

@@ -150,10 +150,15 @@ def page_links(html: Column) -> Column:
 
 
 def page_published_at(html: Column, zone: str = "Europe/Paris") -> Column:
-    """First datePublished of the page's JSON-LD; times without a zone are local."""
-    raw = F.regexp_extract(html, r'"datePublished"\s*:\s*"([^"]+)"', 1)
-    zoned = raw.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(zoned, F.try_to_timestamp(raw)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(raw), zone))
+    """First datePublished in the page's JSON-LD blocks that is a time; one without a zone is local."""
+    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"""), F.lit(1))
+    found = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r'"datePublished"\s*:\s*"([^"]+)"'), F.lit(1))))
+
+    def read(raw: Column) -> Column:
+        at = F.try_to_timestamp(raw)
+        return F.when(raw.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), at).otherwise(F.to_utc_timestamp(at, zone))
+
+    return F.get(F.filter(F.transform(found, read), lambda t: t.isNotNull()), F.lit(0))
 
 
 def quote_body(title: Column, body: Column, most: int = 2000) -> Column:
@@ -206,9 +211,14 @@ def posted_date(heading: Column) -> Column:
     return F.when(posted.isNotNull(), F.struct(posted.alias("day"), rest.alias("title")))
 
 
-def parse_json_array(text: Column, schema: str) -> Column:
-    """The outermost JSON array in a text with noise around it; null, never empty, if there is none."""
-    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit("")), schema)
+def parse_json_array(text: Column, fields: str) -> Column:
+    """(items, error) of the outermost JSON array in a text with noise around it: its objects, read by `fields`, and else
+    the reason why there are none; what isn't an object is dropped."""
+    raw = F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit(""))
+    parts = F.from_json(raw, "array<string>", {"mode": "PERMISSIVE"})
+    good = raw.isNotNull() & F.try_parse_json(raw).isNotNull() & parts.isNotNull()
+    items = F.transform(F.filter(parts, lambda x: F.ltrim(x).startswith("{")), lambda x: F.from_json(x, fields))
+    return F.struct(F.when(good, items).alias("items"), F.when(raw.isNull(), "no array").when(~good, "not JSON").alias("error"))
 
 
 def lift_counts(text: Column) -> Column:

@@ -135,6 +135,21 @@ def phrase_for_now(as_of) -> Column:
     )
 
 
+def since_label(minutes: Column) -> Column:
+    """The longer wording: just now, minutes and hours ago, yesterday, days ago. Halves round up."""
+    whole = F.floor(minutes + 0.5)
+    hours = F.floor(whole / 60 + 0.5)
+    days = F.floor(hours / 24 + 0.5)
+    return (
+        F.when(minutes.isNull(), "never checked")
+        .when(whole < 2, "just now")
+        .when(whole < 60, F.concat(whole.cast("string"), F.lit(" min ago")))
+        .when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago")))
+        .when(days == 1, "yesterday")
+        .otherwise(F.concat(days.cast("string"), F.lit(" days ago")))
+    )
+
+
 def age_label(minutes: Column) -> Column:
     """Minutes under an hour (at least 1), hours under two days, else days; null is never. Halves round up."""
     hours, days = F.floor(minutes / 60 + 0.5), F.floor(minutes / 1440 + 0.5)

@@ -204,7 +204,7 @@ def purge_source(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query(f"""live AS (SELECT * FROM stmt WHERE {LIVE}),
+SEASON = f"""live AS (SELECT * FROM stmt WHERE {LIVE}),
 now AS (SELECT feature_id,
   arg_max(struct_pack(i := id, t := type), (severity, observed_at, id)) FILTER (type IN ('closure', 'restriction') AND status IN ('closed', 'restricted')) AS stop,
   arg_max(id, (observed_at, id)) FILTER (schedule) AS planned,
@@ -212,7 +212,10 @@ now AS (SELECT feature_id,
   arg_max(id, (observed_at, id)) FILTER (type = 'opening' AND NOT schedule AND status = 'open') AS opened FROM live GROUP BY 1),
 ever AS (SELECT feature_id, arg_max(id, (last_seen_at, id)) FILTER (schedule) AS ever FROM stmt GROUP BY 1),
 b AS (SELECT *, CASE WHEN stop IS NOT NULL THEN 1 WHEN planned IS NOT NULL THEN 2 WHEN unstaffed IS NOT NULL AND opened IS NULL THEN 3 WHEN opened IS NOT NULL THEN 4 WHEN ever IS NOT NULL THEN 5 ELSE 6 END AS branch
-  FROM ever LEFT JOIN now USING (feature_id)) -- main
+  FROM ever LEFT JOIN now USING (feature_id))"""
+
+
+@query(f"""{SEASON} -- main
 SELECT feature_id, branch, CASE branch WHEN 1 THEN CASE WHEN stop.t = 'closure' THEN 'closed' ELSE 'restricted' END WHEN 2 THEN 'open' WHEN 3 THEN 'unstaffed' WHEN 4 THEN 'open' WHEN 5 THEN 'closed' ELSE 'unknown' END AS season,
   CASE branch WHEN 2 THEN 'in_season' WHEN 5 THEN 'out_of_season' END AS reason, CASE branch WHEN 1 THEN stop.i WHEN 2 THEN planned WHEN 3 THEN unstaffed WHEN 4 THEN opened WHEN 5 THEN ever END AS claim_id FROM b""")
 def season_status(spark, d):

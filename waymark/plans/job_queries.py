@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..operators import resolve as rs
 from ..sources import tables as tb
 from . import jobs
-from .claims_queries import ELIGIBLE, LIVE, NOTE, OVERLAP, STATUS
+from .claims_queries import ELIGIBLE, LIVE, NOTE, OVERLAP, SEASON, STATUS, status_of
+from .more_queries import SCOPED
 from .registry import AS_OF, query
-from .text_queries import DICT, FOLD, TITLED, titled
+from .text_queries import DICT, FOLD, INDEX, TITLED, alias, index_of, titled
 
 WORDS = ", ".join(f"CASE WHEN regexp_matches({FOLD.format('title')} || ' ' || {FOLD.format('text')}, '{p}') THEN {f} END" for f, p in DICT)
 
@@ -77,22 +80,121 @@ def readings_to_claims(spark, d):
     return both.groupBy((F.col("document_id") % 4).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count("reason").alias("rejected"))
 
 
-@query(f"""fresh AS (SELECT * FROM stmt WHERE document_id % 6 = 0),
-latest AS (SELECT feature_id, source_id, type, status, evidence, max(reviewed_at) AS carried FROM stmt WHERE document_id % 6 <> 0 AND reviewed_at IS NOT NULL AND superseded_at IS NULL AND trim(evidence) <> '' GROUP BY ALL),
-every AS (SELECT * FROM stmt WHERE document_id % 6 <> 0 UNION ALL SELECT f.* REPLACE (CASE WHEN f.needs_review AND f.reviewed_at IS NULL THEN carried ELSE f.reviewed_at END AS reviewed_at) FROM fresh f LEFT JOIN latest USING (feature_id, source_id, type, status, evidence)),
+def settled(base: str, runs: bool = True) -> str:
+    """The views that follow when the claims of `fresh` arrive at those of `base`: l3 lives on, won are the winners."""
+    cut = "SELECT id FROM l2 JOIN cut USING (source_id) WHERE last_seen_at < cutoff" if runs else "SELECT id FROM l2 WHERE false"
+    return f"""latest AS (SELECT feature_id, source_id, type, status, evidence, max(reviewed_at) AS carried FROM {base} WHERE reviewed_at IS NOT NULL AND superseded_at IS NULL AND trim(evidence) <> '' GROUP BY ALL),
+every AS (SELECT * FROM {base} UNION ALL SELECT f.* REPLACE (CASE WHEN f.needs_review AND f.reviewed_at IS NULL THEN carried ELSE f.reviewed_at END AS reviewed_at) FROM fresh f LEFT JOIN latest USING (feature_id, source_id, type, status, evidence)),
 gone AS (SELECT a.id FROM every a JOIN every b USING (feature_id, source_id, type) WHERE {OVERLAP} AND (b.seq > a.seq OR (b.seq = a.seq AND b.id > a.id)) AND a.observed_at <= b.observed_at),
 l1 AS (SELECT * FROM every WHERE id NOT IN (SELECT id FROM gone)),
 opened AS (SELECT feature_id, source_id, max(observed_at) AS opened_at FROM l1 WHERE type = 'opening' GROUP BY ALL),
 l2 AS (SELECT * FROM l1 a WHERE NOT (type = 'closure' AND valid_from IS NULL AND valid_to IS NULL AND EXISTS (SELECT 1 FROM opened o WHERE o.feature_id = a.feature_id AND o.source_id = a.source_id AND a.observed_at < opened_at))),
 cut AS (SELECT source_id, started_at AS cutoff FROM (SELECT run.*, retire_after, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS place FROM run JOIN src USING (source_id) WHERE ok AND retire_after IS NOT NULL) WHERE place = retire_after),
-l3 AS (SELECT * FROM l2 WHERE id NOT IN (SELECT id FROM l2 JOIN cut USING (source_id) WHERE last_seen_at < cutoff)),
+l3 AS (SELECT * FROM l2 WHERE id NOT IN ({cut})),
 touched AS (SELECT feature_id FROM fresh UNION SELECT feature_id FROM every WHERE id NOT IN (SELECT id FROM l3)),
-won AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY feature_id ORDER BY trust DESC, observed_at DESC, severity DESC, id DESC) AS rn FROM l3 s JOIN src USING (source_id) WHERE {ELIGIBLE}) WHERE rn = 1) -- main
-SELECT f.feature_id, coalesce(w.status, 'unknown') AS status, w.id AS claim_id FROM (SELECT DISTINCT feature_id FROM l3 WHERE feature_id IN (SELECT feature_id FROM touched)) f LEFT JOIN won w ON w.feature_id = f.feature_id""")
+won AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY feature_id ORDER BY trust DESC, observed_at DESC, severity DESC, id DESC) AS rn FROM l3 s JOIN src USING (source_id) WHERE {ELIGIBLE}) WHERE rn = 1)"""
+
+
+TOLD = "SELECT f.feature_id, coalesce(w.status, 'unknown') AS status, w.id AS claim_id FROM (SELECT DISTINCT feature_id FROM l3 WHERE feature_id IN (SELECT feature_id FROM touched)) f LEFT JOIN won w ON w.feature_id = f.feature_id"
+ARRIVED = """arr AS (SELECT o_orderkey AS document_id, o_custkey % 8 AS source_id, o_orderkey % 9973 AS h, CAST(o_orderdate AS DATE) AS met FROM orders WHERE o_orderkey % 6 = 0),
+known AS (SELECT o_orderkey AS document_id, o_custkey % 8 AS source_id, o_orderkey % 9973 AS h FROM orders WHERE o_orderkey % 6 <> 0),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, h ORDER BY met, document_id) AS rn FROM arr) x WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM known WHERE known.source_id = x.source_id AND known.h = x.h)),
+sight AS (SELECT known.document_id, max(arr.met) AS seen FROM arr JOIN known USING (source_id, h) GROUP BY 1),
+base AS (SELECT s.* REPLACE (greatest(s.last_seen_at, sight.seen) AS last_seen_at) FROM (SELECT * FROM stmt WHERE document_id % 6 <> 0) s LEFT JOIN sight ON sight.document_id = s.document_id),
+mine AS (SELECT * FROM stmt WHERE document_id IN (SELECT document_id FROM first)), fresh AS (SELECT * FROM mine WHERE feature_id % 7 <> 0)"""
+
+
+def batch(spark, d):
+    """A sixth of the documents arrives; some repeat a stored one, and a seventh of the features is not resolved."""
+    docs = tb.base(spark, d, "orders").selectExpr("o_orderkey AS document_id", "o_custkey % 8 AS source_id", "CAST(o_orderkey % 9973 AS STRING) AS content_hash", "CAST(to_date(o_orderdate) AS TIMESTAMP) AS fetched_at")
+    c = tb.claims(spark, d)
+    return jobs.ingest_batch(
+        docs.filter("document_id % 6 = 0"), docs.filter("document_id % 6 <> 0"), c.filter("document_id % 6 <> 0"), lambda own: c.join(own.select("document_id"), "document_id", "left_semi"),
+        lambda read: (read.filter("feature_id % 7 <> 0"), read.filter("feature_id % 7 = 0")), tb.runs(spark, d), tb.sources(spark, d), AS_OF,
+    )
+
+
+@query(f"{ARRIVED}, {settled('base')} -- main\n{TOLD}")
 def ingest_batch(spark, d):
+    return batch(spark, d)["status"].select("feature_id", "status", "claim_id")
+
+
+@query(f"""{ARRIVED}, a AS (SELECT source_id, count(*) AS documents FROM arr GROUP BY 1), b AS (SELECT source_id, count(*) AS fresh FROM first GROUP BY 1), c AS (SELECT source_id, count(*) AS claims FROM fresh GROUP BY 1),
+q AS (SELECT source_id, count(*) AS queued FROM mine WHERE feature_id % 7 = 0 GROUP BY 1) -- main
+SELECT source_id, documents, coalesce(fresh, 0) AS fresh, coalesce(claims, 0) AS claims, coalesce(queued, 0) AS queued FROM a LEFT JOIN b USING (source_id) LEFT JOIN c USING (source_id) LEFT JOIN q USING (source_id)""")
+def ingest_counters(spark, d):
+    return batch(spark, d)["counters"]
+
+
+READ_AGAIN = f"""again AS (SELECT s.* REPLACE (s.id || '+' AS id, s.seq + (SELECT max(seq) FROM stmt) AS seq, CAST(o_orderdate AS DATE) AS observed_at) FROM stmt s JOIN orders ON o_orderkey = s.document_id WHERE s.document_id % 7 = 0 AND s.document_id % 35 <> 0 AND s.severity > 0),
+every AS (SELECT * FROM stmt WHERE document_id NOT IN (SELECT document_id FROM again) UNION ALL SELECT * FROM again),
+gone AS (SELECT a.id FROM every a JOIN every b USING (feature_id, source_id, type) WHERE {OVERLAP} AND (b.seq > a.seq OR (b.seq = a.seq AND b.id > a.id)) AND a.observed_at <= b.observed_at),
+alive AS (SELECT * FROM every WHERE id NOT IN (SELECT id FROM gone)),
+opened AS (SELECT feature_id, source_id, max(observed_at) AS opened_at FROM alive WHERE type = 'opening' GROUP BY ALL)"""
+
+
+def read_again(spark, d):
     c = tb.claims(spark, d)
-    _, status = jobs.ingest_batch(c.filter("document_id % 6 <> 0"), c.filter("document_id % 6 = 0"), tb.runs(spark, d), tb.sources(spark, d), AS_OF)
-    return status.select("feature_id", "status", "claim_id")
+    docs = tb.base(spark, d, "orders").selectExpr("o_orderkey AS document_id", "o_custkey % 8 AS source_id", "CAST(to_date(o_orderdate) AS TIMESTAMP) AS fetched_at")
+    read = c.filter("document_id % 7 = 0 and severity > 0").withColumn("id", F.concat("id", F.lit("+")))
+    return jobs.re_extract(docs, lambda own: read.join(own.select("document_id"), "document_id", "left_semi"), c, lambda x: F.when(x["document_id"] % 35 == 0, "unreadable"))
+
+
+@query(f"{READ_AGAIN} -- main\nSELECT id, seq, observed_at FROM alive a WHERE NOT (type = 'closure' AND valid_from IS NULL AND valid_to IS NULL AND EXISTS (SELECT 1 FROM opened o WHERE o.feature_id = a.feature_id AND o.source_id = a.source_id AND a.observed_at < opened_at))")
+def re_extract(spark, d):
+    return read_again(spark, d)[0].select("id", "seq", "observed_at")
+
+
+@query(f"{READ_AGAIN} -- main\nSELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 35 = 0 THEN 'unreadable' END AS error, coalesce(n, 0) AS claims FROM orders LEFT JOIN (SELECT document_id, count(*) AS n FROM again GROUP BY 1) ON document_id = o_orderkey")
+def re_extract_report(spark, d):
+    return read_again(spark, d)[1]
+
+
+@query(f"""{INDEX}, {SCOPED}, x AS (SELECT p_partkey AS id, p_partkey % 6 AS way, (p_partkey // 6) % 2 AS odd, m.fid, told.fid AS near, told.reason, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey - p_partkey % 10 END AS parent
+  FROM part JOIN m USING (p_partkey) JOIN told USING (p_partkey)) -- main
+SELECT id, CASE way WHEN 0 THEN fid WHEN 1 THEN CASE WHEN parent IS NOT NULL THEN id END WHEN 2 THEN id WHEN 3 THEN CASE WHEN odd = 0 THEN id END WHEN 4 THEN CASE WHEN reason IS NULL THEN near END ELSE CASE WHEN odd = 1 THEN parent END END AS feature_id,
+  CASE way WHEN 0 THEN 'general' WHEN 1 THEN 'child' WHEN 2 THEN 'slug' WHEN 3 THEN 'external_id' WHEN 4 THEN 'scoped' ELSE 'site' END AS resolved_by,
+  CASE way WHEN 0 THEN CASE WHEN fid IS NULL THEN 'no match' END WHEN 1 THEN CASE WHEN parent IS NULL THEN 'no such child' END WHEN 3 THEN CASE WHEN odd = 1 THEN 'unknown id' END WHEN 4 THEN reason
+    WHEN 5 THEN CASE WHEN parent IS NULL THEN 'no match' WHEN odd = 0 THEN 'names an approach' END END AS reason FROM x""")
+def resolution_hooks(spark, d):
+    f = tb.features(spark, d).withColumn("name", F.concat_ws(" ", "name", "feature_id"))
+    odd = (F.floor(F.col("feature_id") / 6) % 2).cast("int")
+    own = tb.features(spark, d).select(
+        F.col("feature_id").alias("id"), (F.col("feature_id") % 6).alias("source_id"), "parent_id", F.col("parent_id").alias("site_of"), (F.col("feature_id") * 10).alias("external_ref"),
+        F.when(F.col("feature_id") % 3 > 0, F.col("altitude_m")).alias("altitude_m"), tx.slugify(F.concat_ws(" ", "name", "feature_id")).alias("slug"),
+        F.when(F.col("feature_id") % 6 == 5, F.when(odd == 0, "Sentier du nowhere").otherwise("nowhere at all")).when(F.col("feature_id") % 6 == 1, F.upper(F.concat_ws(" ", "name", "feature_id"))).otherwise(alias("name", "feature_id")).alias("mention"),
+    )
+    policy = spark.createDataFrame([(1, "child"), (2, "slug"), (3, "external_id"), (4, "scoped"), (5, "site")], "source_id long, resolution string")
+    facts = tb.features(spark, d).filter(odd == 0).select(F.lit(3).cast("long").alias("source_id"), (F.col("feature_id") * 10).alias("external_ref"), "feature_id")
+    found, queue = rs.resolution_hooks(own, policy, f, facts, index_of(spark, d))
+    return found.withColumn("reason", F.lit(None).cast("string")).unionByName(queue).select("id", "feature_id", "resolved_by", "reason")
+
+
+@query(f"""{STATUS}, {SEASON}, sea AS (SELECT feature_id, CASE branch WHEN 1 THEN CASE WHEN stop.t = 'closure' THEN 'closed' ELSE 'restricted' END WHEN 2 THEN 'open' WHEN 3 THEN 'unstaffed' WHEN 4 THEN 'open' WHEN 5 THEN 'closed' ELSE 'unknown' END AS season,
+  CASE branch WHEN 2 THEN 'in_season' WHEN 5 THEN 'out_of_season' END AS reason FROM b),
+v AS (SELECT f.*, stat.status, stat.severity, season FROM feat f LEFT JOIN stat ON stat.feature_id = f.feature_id LEFT JOIN sea ON sea.feature_id = f.feature_id WHERE active AND parent_id IS NULL AND (stat.claim_id IS NOT NULL OR reason IS NOT NULL)),
+h AS (SELECT *, CASE WHEN kind LIKE '%small%' THEN 'lifts' WHEN kind LIKE '%economy%' THEN 'huts' ELSE 'routes' END AS ledger FROM v) -- main
+SELECT 'notices' AS ledger, row_number() OVER (ORDER BY severity DESC, name, feature_id) AS place, feature_id, name, status, season FROM v WHERE status IN ('closed', 'restricted') UNION ALL
+SELECT ledger, row_number() OVER (ORDER BY CASE season WHEN 'closed' THEN 0 WHEN 'restricted' THEN 1 WHEN 'open' THEN 2 WHEN 'unstaffed' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END, name, feature_id), feature_id, name, status, season FROM h WHERE ledger = 'lifts' UNION ALL
+SELECT ledger, row_number() OVER (PARTITION BY ledger ORDER BY coalesce(altitude_m, -1) DESC, name, feature_id), feature_id, name, status, season FROM h WHERE ledger <> 'lifts'""")
+def front_ledger(spark, d):
+    return jobs.front_ledger(tb.features(spark, d), tb.claims(spark, d), tb.sources(spark, d), tb.facts(spark, d), AS_OF)[0]
+
+
+@query(f"{STATUS} -- main\nSELECT feature_id, status, claim_id FROM stat")
+def rebuild_status(spark, d):
+    c, s = tb.claims(spark, d), tb.sources(spark, d)
+    return jobs.rebuild_status(c, status_of(spark, d), s, AS_OF)[0].select("feature_id", "status", "claim_id")
+
+
+@query(f"""dec AS (SELECT * REPLACE (CASE WHEN document_id % 4 = 0 THEN $as_of ELSE reviewed_at END AS reviewed_at, CASE WHEN document_id % 4 = 1 THEN $as_of ELSE superseded_at END AS superseded_at,
+  CASE WHEN document_id % 12 = 0 THEN DATE '1999-01-01' ELSE valid_to END AS valid_to) FROM stmt),
+win AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY feature_id ORDER BY trust DESC, observed_at DESC, severity DESC, id DESC) AS rn FROM dec s JOIN src USING (source_id) WHERE {ELIGIBLE}) WHERE rn = 1) -- main
+SELECT f.feature_id, coalesce(w.status, 'unknown') AS status, w.id AS claim_id FROM (SELECT DISTINCT feature_id FROM stmt WHERE document_id % 4 < 2) f LEFT JOIN win w ON w.feature_id = f.feature_id""")
+def review_cycle(spark, d):
+    c = tb.claims(spark, d)
+    decisions = c.filter("document_id % 4 < 2").selectExpr("id AS claim_id", "document_id % 4 = 0 AS accept", "CASE WHEN document_id % 12 = 0 THEN DATE'1999-01-01' END AS valid_to")
+    return jobs.review_cycle(c, decisions, tb.sources(spark, d), AS_OF)[1].select("feature_id", "status", "claim_id")
 
 
 @query(f"""{STATUS}, oth AS (SELECT feature_id, count(*) AS n FROM stmt WHERE {LIVE} AND {NOTE} AND id NOT IN (SELECT claim_id FROM stat WHERE claim_id IS NOT NULL) GROUP BY 1),
@@ -103,10 +205,20 @@ def feature_list(spark, d):
     return listed.select("feature_id", "name", "status", "other_notices", "facts")
 
 
-@query(f"{STATUS} -- main\nSELECT f.feature_id, t.status, (SELECT count(*) FROM stmt s JOIN src USING (source_id) WHERE s.feature_id = 40 AND superseded_at IS NULL) AS history, (SELECT count(*) FROM feat c WHERE c.parent_id = 40) AS children FROM feat f JOIN stat t ON t.feature_id = f.feature_id WHERE f.feature_id = 40")
+ONE = """, n AS (SELECT id, row_number() OVER (ORDER BY severity DESC, observed_at DESC, id DESC) AS p FROM stmt WHERE feature_id = 40 AND {live} AND {note} AND id NOT IN (SELECT claim_id FROM stat WHERE claim_id IS NOT NULL)),
+h AS (SELECT id, row_number() OVER (ORDER BY observed_at DESC, id DESC) AS p FROM stmt WHERE feature_id = 40 AND superseded_at IS NULL AND superseded_by IS NULL),
+l AS (SELECT id FROM stmt WHERE feature_id = 40 AND retired_reason = 'unmentioned' AND feature_id NOT IN (SELECT feature_id FROM stat WHERE status <> 'unknown') ORDER BY last_seen_at DESC, id DESC LIMIT 1)"""
+
+
+@query(f"""{STATUS}{ONE.format(live=LIVE, note=NOTE)} -- main
+SELECT f.feature_id, t.status, (SELECT string_agg(id, ',' ORDER BY p) FROM h WHERE p <= 50) AS history, (SELECT string_agg(id, ',' ORDER BY p) FROM n) AS notices, (SELECT string_agg(CAST(feature_id AS VARCHAR) || name, ',' ORDER BY feature_id) FROM feat c WHERE c.parent_id = 40) AS children,
+  (SELECT string_agg(DISTINCT key, ',' ORDER BY key) FROM fact JOIN src USING (source_id) WHERE feature_id = 40 AND value IS NOT NULL) AS facts, (SELECT id FROM l) AS last_report FROM feat f JOIN stat t ON t.feature_id = f.feature_id WHERE f.feature_id = 40""")
 def feature_detail(spark, d):
     one = jobs.feature_detail(tb.features(spark, d), tb.claims(spark, d), tb.sources(spark, d), tb.facts(spark, d), AS_OF, 40)
-    return one.select("feature_id", "status", F.size("history").cast("long").alias("history"), F.size("children").cast("long").alias("children"))
+    return one.select(
+        "feature_id", "status", F.array_join("history.id", ",").alias("history"), F.array_join("notices.id", ",").alias("notices"),
+        F.array_join(F.transform("children", lambda x: F.concat(x["child"].cast("string"), x["name"])), ",").alias("children"), F.array_join("fact_values.key", ",").alias("facts"), "last_report",
+    )
 
 
 @query("SELECT source_id, count(*) AS claims, count(*) FILTER (last_seen_at > observed_at) AS confirmed, count(superseded_at) AS retired, any_value(r.n) AS runs FROM stmt LEFT JOIN (SELECT source_id, count(*) AS n FROM run GROUP BY 1) r USING (source_id) GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -16,6 +16,8 @@ from ..operators import season as se
 from ..operators import serve as sv
 from ..operators import status as st
 from ..operators.common import first_by
+from ..sources.shared import written
+from ..streaming.incremental import confirm
 
 # Raw words of sources and what they mean (type, status, severity).
 HUT_STATES = {"SERVICED": ("opening", "open", 0), "UNSERVICED": ("opening", "unstaffed", 1), "CLOSED": ("closure", "closed", 2)}
@@ -28,6 +30,25 @@ def _meaning(column, table: dict) -> tuple:
     return F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)).cast("int")
 
 
+# What folded words of a closure mean in English.
+GLOSSES = [("eboulement|chute de pierres", "rockfall"), ("avalanche", "avalanche"), ("travaux", "works"), ("crue|inondation", "flood"), ("vent", "wind")]
+
+
+def english_summary(kind: Column, window: Column, text_: Column) -> Column:
+    """Act and window in English; a closure also says why, as far as its words are in the lexicon."""
+    act = F.when(kind == "opening", "Reopened ").otherwise("Closed ")
+    told = F.concat(act, F.coalesce(se.describe_window(window["start"], window["end"]), F.lit("without dates")))
+    why = text.glosses(text_, GLOSSES)
+    return F.when((kind == "closure") & (F.size(why) > 0), F.concat(told, F.lit(" ("), F.array_join(why, ", "), F.lit(")"))).otherwise(told)
+
+
+def status_vocabulary(items: DataFrame, column: str, table: dict) -> tuple[DataFrame, DataFrame]:
+    """(items with type, status, severity by their raw word; words outside the table with their counts, not guessed at)."""
+    kind, status, severity = _meaning(F.col(column), table)
+    told = items.withColumns({"type": kind, "status": status, "severity": severity})
+    return told.filter("type is not null"), do.unknown_values(items, column, list(table))
+
+
 def notices_to_claims(notices: DataFrame, dictionary: list[tuple[int, str]]) -> DataFrame:
     """Notices (doc_id, title, text): the title decides the type, title and body name the features, the first window of
     the title, else of the body, dates the claim; an undated one is unknown. One claim for each feature."""
@@ -44,7 +65,7 @@ def notices_to_claims(notices: DataFrame, dictionary: list[tuple[int, str]]) ->
         F.col("w.end").alias("valid_to"),
         F.col("w.rule").alias("date_rule"),
         F.when(F.col("w").isNotNull(), 0.9).otherwise(0.6).alias("confidence"),
-        F.concat(F.when(F.col("type") == "opening", "Reopened ").otherwise("Closed "), F.coalesce(se.describe_window(F.col("w.start"), F.col("w.end")), F.lit("without dates"))).alias("summary"),
+        english_summary(F.col("type"), F.col("w"), F.concat_ws(" ", "title", "text")).alias("summary"),
     )
     return rv.widen_single_day_opening(rv.demote_unbounded(claims))
 
@@ -157,23 +178,66 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def re_extract(docs: DataFrame, extractor: Callable[[DataFrame], DataFrame], stored: DataFrame) -> DataFrame:
-    """Stored claims after one extractor has read all stored documents again; a dry run is the plan without a write."""
-    return li.supersede_by_document(stored, extractor(docs))
+def run_extractors(docs: DataFrame, registry: dict[int, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
+    """(claims of all registered sources, documents of sources without an extractor). Each extractor gets its source's
+    documents only and returns claims with equal columns."""
+    claims = None
+    for source, extract in sorted(registry.items()):
+        own = extract(docs.filter(F.col("source_id") == source))
+        claims = own if claims is None else claims.unionByName(own)
+    return claims, sv.unserved_sources(docs, sorted(registry))
+
 
+def re_extract(docs: DataFrame, extractor: Callable[[DataFrame], DataFrame], stored: DataFrame, check: Callable[[DataFrame], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(claims after one extractor has read all stored documents again, report of every document: claims, error).
 
-def ingest_batch(stored: DataFrame, arrived: DataFrame, runs: DataFrame, sources: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """(live claims, status) after a batch: reviews are inherited, replaced and lifted claims retire, the unmentioned retire,
-    and the status of touched features is computed again."""
+    Nothing is fetched, and a claim is as old as its document (observed_at from fetched_at). check gives a reason against a
+    document, or null: one that can't be read records it, keeps its stored claims and doesn't stop the rest. The report
+    alone, without the first table being written, is a dry run.
+    """
+    judged = docs.withColumn("error", check(docs) if check else F.lit(None).cast("string"))
+    seen = judged.select("document_id", F.to_date("fetched_at").alias("seen_"))
+    read = extractor(judged.filter("error is null").drop("error")).join(seen, "document_id").withColumn("observed_at", F.col("seen_")).drop("seen_")
+    read = written(read.select(*stored.columns), "read_again")
+    counts = read.groupBy("document_id").agg(F.count(F.lit(1)).alias("claims"))
+    report = judged.select("document_id", "error").join(counts, "document_id", "left").withColumn("claims", F.coalesce("claims", F.lit(0)))
+    return li.supersede_by_document(stored, read), report
+
+
+def apply_claims(stored: DataFrame, arrived: DataFrame, sources: DataFrame, as_of, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(live claims, status of touched features) after claims have arrived: reviews are inherited before anything is
+    replaced, replaced and lifted claims retire, and with runs the unmentioned. Every step reads what the last has written."""
     reviewed = li.inherit_review(arrived, stored).drop("review_note").select(*stored.columns)
-    every = stored.unionByName(reviewed)
-    live = li.live_after_replacement(every)
-    live = live.join(li.lift_undated_closures(live).select("id"), "id", "left_anti")
-    live = live.join(li.retire_unmentioned(live, runs, sources).select("id"), "id", "left_anti")
+    every = written(li.append_statements(stored, reviewed), "every")
+    live = li.settle(every, runs, sources)
     touched = st.touched_features(arrived, every.join(live.select("id"), "id", "left_anti"))
     return live, st.current_status(live.join(touched, "feature_id", "left_semi"), sources, as_of)
 
 
+def ingest_batch(
+    docs: DataFrame, stored_docs: DataFrame, stored: DataFrame, extract: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    runs: DataFrame, sources: DataFrame, as_of,
+) -> dict[str, DataFrame]:
+    """One batch from fetched documents to status: documents, live, status, queue, counters.
+
+    Of documents (document_id, source_id, content_hash, fetched_at) with equal source and content the earliest is kept; a
+    repeat of a stored one is a sighting that confirms its claims. New documents are extracted and resolved; what finds no
+    feature goes to the queue. Then reviews, replacement, lifting, retirement and status as in apply_claims.
+    """
+    keys = ["source_id", "content_hash"]
+    known = stored_docs.select(*keys, F.col("document_id").alias("known_id"))
+    first = written(li.keep_first_document(docs, keys, F.col("fetched_at"), F.col("document_id")).join(known.select(*keys).distinct(), keys, "left_anti"), "fresh")
+    sightings = docs.join(known, keys).select(F.col("known_id").alias("document_id"), F.to_date("fetched_at").alias("seen_at"))
+    confirmed = written(confirm(stored, sightings).select(*stored.columns), "confirmed")
+    claims, queue = resolve(extract(first))
+    claims = written(claims.select(*stored.columns), "claims")
+    live, status = apply_claims(confirmed, claims, sources, as_of, runs)
+    counters = docs.groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"))
+    for name, rows in (("fresh", first), ("claims", claims), ("queued", queue)):
+        counters = counters.join(rows.groupBy("source_id").agg(F.count(F.lit(1)).alias(name)), "source_id", "left")
+    return {"documents": first, "live": live, "status": status, "queue": queue, "counters": counters.fillna(0)}
+
+
 def feature_list(features: DataFrame, claims: DataFrame, sources: DataFrame, facts: DataFrame, as_of) -> DataFrame:
     """The list that readers see: status, season, other notices, doubt and number of facts of each active feature."""
     status = st.current_status(claims, sources, as_of)
@@ -187,16 +251,62 @@ def feature_list(features: DataFrame, claims: DataFrame, sources: DataFrame, fac
 
 
 def feature_detail(features: DataFrame, claims: DataFrame, sources: DataFrame, facts: DataFrame, as_of, feature_id: int) -> DataFrame:
-    """One feature of the list with its history and children as arrays of bounded size."""
-    own = claims.filter(F.col("feature_id") == feature_id)
-    listed = feature_list(features, claims.filter(F.col("feature_id") == feature_id), sources, facts, as_of).filter(F.col("feature_id") == feature_id)
-    history = st.feature_history(own, sources).groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("history"))
-    children = features.filter(F.col("parent_id") == feature_id).agg(F.sort_array(F.collect_list("feature_id")).alias("children"))
-    return listed.join(history, "feature_id", "left").crossJoin(F.broadcast(children))
-
-
-def rebuild_status(claims: DataFrame, sources: DataFrame, as_of) -> DataFrame:
-    return st.current_status(claims, sources, as_of)
+    """One feature of the list with its history, other notices, children, facts and last report; each array holds what one
+    feature has, in order."""
+    own, me = claims.filter(F.col("feature_id") == feature_id), F.col("feature_id") == feature_id
+    status = st.current_status(own, sources, as_of)
+    listed = feature_list(features, own, sources, facts, as_of).filter(me)
+
+    def listed_as(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+        return rows.filter(me).groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+    parts = [
+        listed_as(st.feature_history(own, sources), "history", "place", "id"),
+        listed_as(st.other_notices(own, status, as_of), "notices", "place", "id"),
+        listed_as(features.filter("parent_id is not null").select(F.col("parent_id").alias("feature_id"), F.col("feature_id").alias("child"), "name"), "children", "child", "name"),
+        listed_as(fa.merge_fact_values(facts.filter(me), sources), "fact_values", "key", "value"),
+        st.last_reported(own, status).select("feature_id", F.col("id").alias("last_report")),
+    ]
+    for part in parts:
+        listed = listed.join(part, "feature_id", "left")
+    return listed
+
+
+def front_ledger(features: DataFrame, claims: DataFrame, sources: DataFrame, facts: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(rows of the front page by ledger and place, mix of notices): tracked features of the list in four ledgers."""
+    status = st.current_status(claims, sources, as_of).select("feature_id", "severity", "claim_id")
+    listed = feature_list(features, claims, sources, facts, as_of).join(features.select("feature_id", "kind", "parent_id", "altitude_m"), "feature_id").join(status, "feature_id", "left")
+    view = written(sv.tracked(listed), "tracked")
+    height = F.desc(F.coalesce("altitude_m", F.lit(-1)))
+    ledgers = {
+        "notices": sv.ledger(view.filter("status in ('closed', 'restricted')"), F.desc("severity"), F.col("name")),
+        "lifts": sv.ledger(view.filter("kind like '%small%'"), sv.season_rank(F.col("season")), F.col("name")),
+        "huts": sv.ledger(view.filter("kind like '%economy%'"), height, F.col("name")),
+        "routes": sv.ledger(view.filter("kind not like '%small%' and kind not like '%economy%'"), height, F.col("name")),
+    }
+    rows = None
+    for name, ledger in ledgers.items():
+        own = ledger.select(F.lit(name).alias("ledger"), "place", "feature_id", "name", "status", "season")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows, sv.notice_mix(view)
+
+
+def rebuild_status(claims: DataFrame, stored_status: DataFrame, sources: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(status of every feature that has a claim, stored rows whose claim is gone), from all claims."""
+    every = st.distinct_features(claims)
+    return every.join(st.current_status(claims, sources, as_of), "feature_id", "left"), st.orphan_status(stored_status, claims)
+
+
+def review_cycle(claims: DataFrame, decisions: DataFrame, sources: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(claims after the decisions, status of the features that these are about): accepted ones are reviewed, after their
+    override, rejected ones are superseded, and both are computed again."""
+    overrides = [c for c in ("valid_from", "valid_to", "status") if c in decisions.columns]
+    if overrides:
+        given = decisions.filter("accept").select("claim_id", *(F.col(c) if c in overrides else F.lit(None).cast(claims.schema[c].dataType).alias(c) for c in ("valid_from", "valid_to", "status")))
+        claims = rv.apply_override(claims, given).select(*claims.columns)
+    decided = written(rv.apply_decisions(claims, decisions, as_of).select(*claims.columns), "decided")
+    about = claims.join(decisions.select(F.col("claim_id").alias("id")), "id", "left_semi").select("feature_id").distinct()
+    return decided, st.current_status(decided.join(about, "feature_id", "left_semi"), sources, as_of)
 
 
 def run_counters(runs: DataFrame, stored: DataFrame) -> DataFrame:
@@ -217,8 +327,6 @@ def facts_from_directory(candidates: DataFrame, matches: DataFrame, keys: tuple[
 
 def manual_write(stored: DataFrame, staged: DataFrame, sources: DataFrame, as_of) -> DataFrame:
     """Status after hand-written claims: those that pass the check are appended, replace and lift, and their features are computed again."""
-    ok = rv.manual_claim_check(staged).filter("reject_reason is null").select(*stored.columns)
-    every = li.append_statements(stored, ok)
-    live = li.live_after_replacement(every)
-    live = live.join(li.lift_undated_closures(live).select("id"), "id", "left_anti")
+    ok = written(rv.manual_claim_check(staged).filter("reject_reason is null").select(*stored.columns), "checked")
+    live = li.settle(written(li.append_statements(stored, ok), "every"))
     return st.current_status(live.join(ok.select("feature_id").distinct(), "feature_id", "left_semi"), sources, as_of)

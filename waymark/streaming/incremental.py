@@ -3,10 +3,12 @@ each batch appends to under its number, so that a batch that is run again replac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lifecycle import lift_undated_closures, live_after_replacement
+from ..operators.lifecycle import settle
+from ..operators.status import current_status
+from ..sources.shared import written
 
 
 def dedup_within(stream: DataFrame, keys: list[str], event_time: str, delay: str = "7 days") -> DataFrame:
@@ -27,9 +29,14 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder, schema
 
+    def numbered(self) -> DataFrame:
+        """All rows with the number of their batch."""
+        schema = f"{self.schema}, batch long"
+        return self.spark.read.schema(schema).option("basePath", self.folder).parquet(f"{self.folder}/batch=*") if self._any() else self.spark.createDataFrame([], schema)
+
     def before(self, batch: int) -> DataFrame:
         """Rows of earlier batches."""
-        return self.spark.read.schema(f"{self.schema}, batch long").option("basePath", self.folder).parquet(f"{self.folder}/batch=*").filter(F.col("batch") < batch).drop("batch") if self._any() else self.spark.createDataFrame([], self.schema)
+        return self.numbered().filter(F.col("batch") < batch).drop("batch")
 
     def _any(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -53,21 +60,64 @@ def new_documents(store: Store):
     return run
 
 
-def arrivals(store: Store):
-    """foreachBatch function: claims are stored in arrival order; replacement is decided over the store."""
+def run_claims(arrived: Store, retired: Store, status: Store, sources: DataFrame, as_of):
+    """foreachBatch function: claims replace and lift the stored live ones of their features and sources, and the status of
+    their features is computed again.
+
+    Stores: the claims as they arrive, the ids that each batch retires, the status rows that it computes. A batch reads the
+    live claims of its features only; arrival order inside it is the order of seq. Run again, it finds the same.
+    """
 
     def run(df: DataFrame, batch: int) -> None:
-        store.put(df, batch)
+        arrived.put(df, batch)
+        fresh = arrived.spark.read.schema(arrived.schema).parquet(f"{arrived.folder}/batch={batch}")
+        live = arrived.before(batch).join(retired.before(batch).select("id"), "id", "left_anti").join(fresh.select("feature_id").distinct(), "feature_id", "left_semi")
+        every = written(live.select(*fresh.columns).unionByName(fresh), "every")
+        left = settle(every)
+        retired.put(every.join(left.select("id"), "id", "left_anti").select("id"), batch)
+        status.put(current_status(left, sources, as_of).select(*[f.split()[0] for f in status.schema.split(", ")]), batch)
 
     return run
 
 
-def live_now(store: Store) -> DataFrame:
-    """Claims of the store that no later arrival replaces and no opening lifts; equal to the batch operators by construction.
+def live_now(arrived: Store, retired: Store) -> DataFrame:
+    """Claims of the store that nothing has retired; equal to replacement and lifting over all of them in arrival order."""
+    return arrived.all().join(retired.all().select("id"), "id", "left_anti")
+
+
+def status_now(status: Store) -> DataFrame:
+    """The latest stored status row of each feature; of batches, the last one counts."""
+    place = F.row_number().over(Window.partitionBy("feature_id").orderBy(F.desc("batch")))
+    return status.numbered().withColumn("place", place).filter("place = 1").drop("place", "batch")
+
+
+def run_sightings(store: Store):
+    """foreachBatch function: the last time that each document (document_id, seen_at) was met again; confirm(claims,
+    store.all()) then moves last_seen_at and changes nothing else."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        store.put(df.groupBy("document_id").agg(F.max("seen_at").alias("seen_at")), batch)
+
+    return run
 
-    A late claim with an older observation is stored and retires nothing newer."""
-    live = live_after_replacement(store.all())
-    return live.join(lift_undated_closures(live).select("id"), "id", "left_anti")
+
+def run_absences(runs: Store, mentions: Store):
+    """foreachBatch function over events (source_id, started_at, ok, id): a row with an id mentions a claim, one without is
+    a run. Successful runs are summed by source and day, mentions to the last one of each claim, which sets it to zero."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        events = written(df, "events")
+        runs.put(events.filter("id is null and ok").groupBy("source_id", "started_at").agg(F.count(F.lit(1)).alias("n")), batch)
+        mentions.put(events.filter("id is not null").groupBy("id").agg(F.max("started_at").alias("seen_at")), batch)
+
+    return run
+
+
+def absences_now(claims: DataFrame, runs: Store, mentions: Store) -> DataFrame:
+    """(id, missed) of claims from the stores."""
+    seen = mentions.all().groupBy("id").agg(F.max("seen_at").alias("seen_at"))
+    moved = claims.join(seen, "id", "left").withColumn("last_seen_at", F.greatest("last_seen_at", "seen_at")).drop("seen_at")
+    return _missed(moved, runs.all().groupBy("source_id", "started_at").agg(F.sum("n").alias("n")))
 
 
 def confirm(claims: DataFrame, sightings: DataFrame) -> DataFrame:
@@ -79,7 +129,10 @@ def confirm(claims: DataFrame, sightings: DataFrame) -> DataFrame:
 def absence_counts(claims: DataFrame, runs: DataFrame) -> DataFrame:
     """(id, missed): successful runs of a claim's source after it was last seen. Runs are counted once for each source
     and day, then joined on the source, so that claims never meet single runs."""
-    by_day = runs.filter("ok").groupBy("source_id", "started_at").agg(F.count(F.lit(1)).alias("n"))
+    return _missed(claims, runs.filter("ok").groupBy("source_id", "started_at").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _missed(claims: DataFrame, by_day: DataFrame) -> DataFrame:
     total = by_day.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("started_at", "n"))).alias("days"))
     missed = F.aggregate(F.filter("days", lambda x: x["started_at"] > F.col("last_seen_at")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     return claims.join(total, "source_id", "left").select("id", F.coalesce(missed, F.lit(0)).alias("missed"))
