@@ -427,6 +427,64 @@ def test_chain_prefers_collinear_blocks():
     assert substring_dedup.chain([(0, 50, 12), (30, 0, 12)], 20) == []
 
 
+def test_language_equals_brute_force(spark):
+    """Profiles and distances counted with dictionaries of strings."""
+    size, learned = 30, [("x", "the cat and the dog in the house"), ("x", "then the other"), ("y", "der hund und das haus"), ("y", "Über dem Haus"), (None, "nichts"), ("x", None)]
+    asked = ["the house and", "das Haus!", "", "123", None, "ÜBER the", "zzz qqq", "aé aé b"]
+
+    def counts(texts):
+        found = Counter()
+        for t in texts:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                found.update(w)
+            run = " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+            if run.strip():
+                found.update(run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1))
+        return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], [ord(c) for c in x[0].ljust(3, chr(0))]))][:size]
+
+    profiles = {k: counts([t for label, t in learned if label == k and t]) for k in ("x", "y")}
+    expected = []
+    for t in asked:
+        own = counts([t or ""])
+        if not own:
+            expected.append(("und", 0.0))
+            continue
+        far = {k: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(own)) for k, p in profiles.items()}
+        best, second = sorted(far.items(), key=lambda x: (x[1], x[0]))
+        expected.append((best[0], 1 - best[1] / second[1]))
+    taught = language_id.learn_profiles(spark.createDataFrame(learned, "label string, text string"), size)
+    rows = language_id.predict_language(table(spark, asked), taught, size=size).collect()
+    assert {r["doc_id"]: (r["lang_pred"], pytest.approx(r["score"])) for r in rows} == dict(enumerate(expected))
+
+
+def test_fuzzy_passages_with_scattered_changes(spark):
+    """Runs of 52 words with two to four words changed are found from either side."""
+    r, other = random.Random(17), passage_words(9)
+    passage, texts = other()[:52], []
+    for changes in (0, 2, 3, 4):
+        w = list(passage)
+        for k in range(changes):
+            w[(k + 1) * 52 // (changes + 1)] = f"new{k}x{changes}"
+        texts.append(other()[: r.randrange(20, 70)] + w + other())
+    got = {x["doc_id"]: (x["ref_id"], x["n_matched"]) for x in substring_dedup.shared_passages(table(spark, [" ".join(t) for t in texts])).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 0, 2: 0, 3: 0} and all(v[1] >= 45 for v in got.values())
+
+
+def test_list_expression_equals_the_rules(spark):
+    """The emitted CASE WHEN against the same rules applied in Python."""
+    c = quality_rules.Condition
+    rules = [(c("words", 12.0, True), c("symbol_share", 0.05, True)), (c("words", 5.0, False),), (c("word_length", 4.0, True),)]
+    texts = ["## ab " * 9, "a b", "longer words everywhere stand here", "one two six ten red big", "", None]
+    stats = quality_rules.text_statistics(table(spark, texts))
+    got = {r["doc_id"]: r["rule"] for r in stats.select("doc_id", quality_rules.list_expression(rules, quality_rules.features()).alias("rule")).collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        chars = sum(map(len, w))
+        value = {"words": len(w), "symbol_share": sum(x in "#*$%&|<>" for x in t or "") / max(chars, 1), "word_length": chars / max(len(w), 1)}
+        fired = next((k for k, rule in enumerate(rules, 1) if all((value[x.feature] >= x.threshold) == x.at_least for x in rule)), None)
+        assert got[i] == fired, t
+
+
 def test_language_and_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in common.documents(spark, folder).collect()}

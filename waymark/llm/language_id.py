@@ -10,7 +10,8 @@ Profiles travel in the task closure: languages x profile entries, independent of
 Defined cases: null texts and texts without a letter give `und` and score 0; so does every text when nothing was
 learned. Equal n-gram counts rank by code point, equal distances go to the language first in the alphabet. Null
 languages are not learned from. Repeated rows are judged one by one. The score is 1 - nearest / second nearest
-distance, with the largest possible distance as second where there is one language only.
+distance, with the largest possible distance as second where there is one language only. Very long texts are counted
+whole; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

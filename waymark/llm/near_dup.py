@@ -247,9 +247,10 @@ def _decided(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     """(id, key, n_shingles, least: the least row of the component, null where there are no shingles) for each row of df."""
     rows, classes, links = near_dup_classes(df, id_col, text_col, **how)
     roots = components(links, "a", "b")
-    named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("least")).select(F.col("root").alias("r"), "least")
-    told = materialize(named.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "least"), "named")
+    named = materialize(classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("weight")).select(F.col("root").alias("r"), "least", "weight")
+    told = hot_join(named, materialize(least, "least"), "root", "r", "weight").select(F.col("cls").alias("c"), "least")
+    told = materialize(told, "told")
     return rows.join(told, F.col("cls") == F.col("c"), "left").select("id", "key", "n_shingles", "least")
 
 

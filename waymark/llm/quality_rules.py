@@ -5,10 +5,14 @@ of the labelled rows by FOIL gain, pruned on the rest, kept if its precision the
 taken away before the next rule is sought. Labelled rows are first counted by Spark into cells of equal threshold
 outcomes; only these counts reach the driver, at most `max_labelled` of them (the bound of the sample of labelled rows,
 taken by hash of the id; 200,000 unless said otherwise). The list is emitted as one ordered `CASE WHEN` expression.
+Its size is a parameter of the method: at most `max_rules` rules (12) of at most `max_conditions` conditions (4), each of
+a precision of at least `precision` (0.97) on `min_rows` (4) bad rows or more; as many tries without such a rule end it.
 
 Defined cases: a null text has no words and fails the base rule. Without labels, or with labels of one class only, the
 list is empty and the base rule decides alone. Null or unmatched label ids and null labels are not learned from. Several
-labels for one id each count. Repeated rows are judged one by one. Rows of an empty table: none.
+labels for one id each count. Repeated rows are judged one by one. Very long texts are counted whole. Of equal gains the
+condition first in the order of features and thresholds is taken. Rows of an empty table: none. Columns of df with the
+names of the statistics are replaced; the dropping form leaves all columns as they are.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ ones. Only the leaves between are counted again, and only the sums above their b
 
 Edits of a document are applied in order, in the task that has the document. Defined cases: null and empty texts count
 0 tokens, and a null list has no edits. Offsets outside the text are clipped to it, an end before the start counts as
-the start, and a null new text is empty. Repeated rows are counted one by one.
+the start, and a null new text is empty. Very long texts are counted whole, and repeated rows one by one. An empty table
+gives no rows. These are column functions; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
