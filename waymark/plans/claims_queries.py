@@ -452,9 +452,10 @@ RUNSTATE = """good AS (SELECT source_id, max(started_at) AS gs, arg_max(run_id,
 state AS (SELECT source_id, max(started_at) AS last_fetch_at, max(gs) AS last_success_at, count(*) FILTER (NOT ok AND (gs IS NULL OR (started_at, run_id) > (gs, gr))) AS failures FROM run LEFT JOIN good USING (source_id) GROUP BY 1)"""
 
 
-@query(f"{RUNSTATE} -- main\nSELECT source_id, last_fetch_at, last_success_at, failures FROM state")
+@query(f"""{RUNSTATE}, err AS (SELECT source_id, 'run ' || CAST(arg_max(run_id, (started_at, run_id)) AS VARCHAR) AS last_error FROM run LEFT JOIN good USING (source_id) WHERE NOT ok AND (gs IS NULL OR (started_at, run_id) > (gs, gr)) GROUP BY 1) -- main
+SELECT source_id, last_fetch_at, last_success_at, failures, last_error FROM state LEFT JOIN err USING (source_id)""")
 def source_run_state(spark, d):
-    return sv.source_run_state(tb.runs(spark, d))
+    return sv.source_run_state(tb.runs(spark, d).withColumn("error", F.concat(F.lit("run "), F.col("run_id").cast("string"))))
 
 
 @query(f"{RUNSTATE} -- main\nSELECT source_id FROM src LEFT JOIN state USING (source_id) WHERE last_fetch_at IS NULL OR epoch(last_fetch_at::TIMESTAMP) + interval_min * least(pow(2, coalesce(failures, 0)), 8) * 60 <= epoch($as_of::TIMESTAMP)")
