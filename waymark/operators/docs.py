@@ -40,22 +40,23 @@ def passages_in_documents(passages: DataFrame, docs: DataFrame, words: int = 8)
     split = split.withColumn("n", F.least(F.lit(words), F.size("w") - 2))
     bodies = docs.select("doc_id", collapse_space(F.col("text")).alias("body"))
 
-    def grams(w: Column, n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(n, F.array_join(F.slice(w, i + 1, n), " ")))
+    def grams(hashes: str, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.xxhash64(n, F.slice(hashes, i + 1, n)))
 
-    inner = F.slice("w", 2, F.size("w") - 2)
-    asked = split.filter("n > 0").select("item_id", F.explode(F.array_distinct(grams(inner, F.col("n")))).alias("gram"))
+    inner = split.filter("n > 0").withColumn("h", F.transform(F.slice("w", 2, F.size("w") - 2), lambda x: F.xxhash64(x)))
+    asked = inner.select("item_id", F.explode(F.array_distinct(grams("h", F.col("n")))).alias("gram"))
     lengths = sorted(r["n"] for r in split.filter("n > 0").select("n").distinct().collect())  # at most `words` numbers
-    w = F.split("body", " ")
-    runs = F.array_distinct(F.flatten(F.array(*(F.when(F.size(w) >= n, grams(w, F.lit(n))).otherwise(F.array().cast("array<bigint>")) for n in lengths)))) if lengths else F.array().cast("array<bigint>")
+    nothing = F.array().cast("array<bigint>")
+    runs = [F.when(F.size("h") >= n, grams("h", F.lit(n))).otherwise(nothing) for n in lengths]
     # characters in place of words where there are no inner ones; shorter than three, every document is a candidate by its letters
     short = split.filter("n <= 0").select("item_id", "passage")
     three = _pieces(F.col("passage"))
     asked = asked.unionByName(short.select("item_id", F.explode(three).alias("gram")))
     needed = asked.select("gram").distinct()
     sizes = sorted(r["k"] for r in short.select(F.least(F.lit(3), F.length("passage")).alias("k")).distinct().collect())
-    parts = [runs, *(_pieces(F.col("body"), k) for k in sizes)]
-    posts = bodies.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("gram")).join(needed, "gram", "left_semi")
+    parts = [*runs, *(_pieces(F.col("body"), k) for k in sizes), nothing]
+    hashed = bodies.withColumn("w", F.split("body", " ")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    posts = hashed.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("gram")).join(needed, "gram", "left_semi")
     posts = written(posts, "posts")
     counts = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # a run that no document has rules its passage out
