@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ratio import weighted_ratio
+
 # Letters and their base letters, word lists of name keys, decoys, and typographic signs.
 ACCENTS = {
     "a": "àáâãäåāăą", "c": "çćčĉċ", "d": "ď", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭį", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň",
@@ -240,13 +242,5 @@ def tri_state(value: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """0 to 100: the best of the edit ratio, that of sorted words times 0.95, and word overlap times 0.95."""
-
-    def ratio(x: Column, y: Column) -> Column:
-        longest = F.greatest(F.length(x), F.length(y))
-        return F.when(longest == 0, 100.0).otherwise(100 * (1 - F.levenshtein(x, y) / longest))
-
-    wa, wb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    ordered = [F.array_join(F.array_sort(F.split(x, " ")), " ") for x in (a, b)]
-    overlap = 100.0 * F.size(F.array_intersect(wa, wb)) / F.greatest(F.size(wa), F.size(wb))
-    return F.greatest(ratio(a, b), ratio(*ordered) * 0.95, overlap * 0.95)
+    """0 to 100 for two keys: their weighted ratio."""
+    return weighted_ratio(a, b)

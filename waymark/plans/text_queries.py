@@ -336,16 +336,44 @@ def alias(name: str, key: str):
     return F.concat(F.lit("Refuge du "), F.col(name), F.lit(" "), F.expr(f"CAST(CASE WHEN {key} % 2 = 0 THEN {key} ELSE {key} % 40 END AS STRING)"))
 
 
-def ratio(a: str, b: str) -> str:
-    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 100.0::DOUBLE ELSE 100 * (1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))) END)"
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence in SQL, for an a of up to 62 characters: a bit for each of its places."""
+    places = f"list_sum(list_transform(range(length({a})), lambda i: CASE WHEN {a}[i + 1] = c THEN 1::BIGINT << i ELSE 0 END))::BIGINT"
+    full = f"((1::BIGINT << length({a})) - 1)"
+    left = f"list_reduce(list_transform(string_split({b}, ''), lambda c: {places}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}, {full})"
+    return f"(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE length({a}) - bit_count({left}) END)"
 
 
-def similar(a: str, b: str) -> str:
-    """The similarity of two keys in SQL."""
-    words = [f"array_to_string(list_sort(string_split({x}, ' ')), ' ')" for x in (a, b)]
-    sets = [f"list_distinct(string_split({x}, ' '))" for x in (a, b)]
-    overlap = f"100.0::DOUBLE * len(list_intersect({sets[0]}, {sets[1]})) / greatest(len({sets[0]}), len({sets[1]}))"
-    return f"greatest({ratio(a, b)}, {ratio(*words)} * 0.95::DOUBLE, ({overlap}) * 0.95::DOUBLE)"
+def ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} = {b} THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {lcs(a, b)} / (length({a}) + length({b})) END)"
+
+
+def stretch(a: str, b: str) -> str:
+    """The best ratio of a to a stretch of the longer b."""
+    window = f"substr({b}, greatest(k, 0) + 1, least(k + length({a}), length({b})) - greatest(k, 0))"
+    each = f"list_transform([{window}], lambda w: 200.0::DOUBLE * {lcs(a, 'w')} / (length({a}) + length(w)))[1]"
+    return f"list_max(list_transform(range(1 - length({a}), length({b})), lambda k: {each}))"
+
+
+def similar(a: str, b: str, floor: int = 60) -> str:
+    """The weighted ratio of two keys in SQL where it is `floor` or more, else something below; keys whose words repeat, or
+    that are over 62 characters long, are not in the given tables."""
+    wa, wb = (f"list_sort(list_distinct(string_split({x}, ' ')))" for x in (a, b))
+    pair = f"""{{'s': CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END, 'l': CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END,
+  'x': array_to_string({wa}, ' '), 'y': array_to_string({wb}, ' '), 'both': array_to_string(list_sort(list_intersect({wa}, {wb})), ' '),
+  'own': array_to_string(list_filter({wa}, lambda w: NOT list_contains({wb}, w)), ' '), 'other': array_to_string(list_filter({wb}, lambda w: NOT list_contains({wa}, w)), ' ')}}"""
+    gap = "(CASE WHEN p.both = '' THEN 0 ELSE 1 END)"
+    total = f"(2 * (length(p.both) + {gap}) + length(p.own) + length(p.other))"
+    parts = ", ".join(f"CASE WHEN p.both = '' THEN 0 ELSE 100 - 100.0::DOUBLE * (1 + length(p.{x})) / (2 * length(p.both) + 1 + length(p.{x})) END" for x in ("own", "other"))
+    sets = f"(CASE WHEN p.both <> '' AND (p.own = '' OR p.other = '') THEN 100 ELSE greatest(100 - 100.0::DOUBLE * (length(p.own) + length(p.other) - 2 * {lcs('p.own', 'p.other')}) / {total}, {parts}) END)"
+    scale = "(CASE WHEN length(p.l) <= 8 * length(p.s) THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END)"
+    known = "len(list_filter(string_split(p.s, ''), lambda c: contains(p.l, c)))"
+    xs, ys = ("(CASE WHEN length(p.x) <= length(p.y) THEN p.%s ELSE p.%s END)" % tuple(z) for z in ("xy", "yx"))
+    wide = f"""CASE WHEN p.both <> '' AND length(p.s) <= 10 THEN greatest({ratio('p.s', 'p.l')}, CASE WHEN contains(p.l, p.s) THEN 100 * {scale} ELSE 95 * {scale} END)
+ WHEN p.both = '' AND {scale} * 200 * {known} / (length(p.s) + {known}) < {floor} THEN {ratio('p.s', 'p.l')}
+ ELSE greatest({ratio('p.s', 'p.l')}, {scale} * {stretch('p.s', 'p.l')}, CASE WHEN p.both <> '' THEN 95 * {scale} ELSE 0.95::DOUBLE * {scale} * {stretch(xs, ys)} END) END"""
+    near = f"greatest({ratio('p.s', 'p.l')}, 0.95::DOUBLE * {ratio('p.x', 'p.y')}, 0.95::DOUBLE * {sets})"
+    return f"(list_transform([{pair}], lambda p: CASE WHEN p.s = p.l THEN 100.0::DOUBLE WHEN length(p.l) < 1.5 * length(p.s) THEN {near} ELSE {wide} END)[1])"
 
 
 def index_of(spark, d):
