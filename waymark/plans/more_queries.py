@@ -21,9 +21,10 @@ from .text_queries import ALIAS, BUILDING, CROSS, EXACT, INDEX, LOOSE, NEAR, RIN
 
 @query(f"""dirf AS (SELECT feature_id, altitude_m, lat, lon, CASE WHEN feature_id % 5 = 0 THEN feature_id + 1 END AS curated, 'Customer#' || lpad(CAST(feature_id AS VARCHAR), 9, '0') AS name FROM feat),
 a AS (SELECT feature_id, curated AS cand_id, 'curated' AS how FROM dirf WHERE curated IN (SELECT cand_id FROM cand)),
-b AS (SELECT * FROM (SELECT d.feature_id, c.cand_id, 'name' AS how, row_number() OVER (PARTITION BY d.feature_id ORDER BY {similar("d.key", "c.key", 88)} DESC, c.cand_id) AS rn
-  FROM (SELECT *, {EXACT.format("name")} AS key FROM dirf WHERE curated IS NULL) d JOIN (SELECT *, {EXACT.format("name")} AS key FROM cand) c
-  ON abs(c.altitude_m - d.altitude_m) <= 120 AND {similar("d.key", "c.key", 88)} >= 88) WHERE rn = 1),
+close AS MATERIALIZED (SELECT d.feature_id, c.cand_id, d.key AS dk, c.key AS ck FROM (SELECT *, {EXACT.format("name")} AS key FROM dirf WHERE curated IS NULL) d
+  JOIN (SELECT *, {EXACT.format("name")} AS key FROM cand) c ON abs(c.altitude_m - d.altitude_m) <= 120),
+scored AS MATERIALIZED (SELECT *, {similar("dk", "ck", 88)} AS score FROM close),
+b AS (SELECT * FROM (SELECT feature_id, cand_id, 'name' AS how, row_number() OVER (PARTITION BY feature_id ORDER BY score DESC, cand_id) AS rn FROM scored WHERE score >= 88) WHERE rn = 1),
 {NEAR}, p AS (SELECT feature_id, min(cand_id) AS cand_id, 'position' AS how FROM near WHERE abs(fa - ca) <= 120 AND feature_id IN (SELECT feature_id FROM dirf WHERE curated IS NULL) AND feature_id NOT IN (SELECT feature_id FROM b) GROUP BY 1 HAVING count(*) = 1) -- main
 SELECT * FROM a UNION ALL SELECT feature_id, cand_id, how FROM b UNION ALL SELECT * FROM p""")
 def match_directory(spark, d):
@@ -33,7 +34,8 @@ def match_directory(spark, d):
 
 @query(f"""f AS (SELECT feature_id, name || ' ' || CAST(feature_id % 60 AS VARCHAR) AS n, CASE WHEN feature_id % 4 = 0 THEN feature_id + 1 END AS pin, altitude_m AS c FROM feat),
 r AS (SELECT p_partkey AS route_id, p_name || ' ' || CAST(p_partkey % 60 AS VARCHAR) AS n, p_size * 90 AS c, CAST(p_size AS DOUBLE) AS s, p_partkey % 9 <> 0 AS i FROM part),
-k AS (SELECT a.n AS fn, b.n AS rn, {similar("a.n", "b.n", 84)} AS score FROM (SELECT DISTINCT n FROM f) a, (SELECT DISTINCT n FROM r) b WHERE {similar("a.n", "b.n", 84)} >= 84),
+ab AS MATERIALIZED (SELECT a.n AS fn, b.n AS rn FROM (SELECT DISTINCT n FROM f) a, (SELECT DISTINCT n FROM r) b),
+k0 AS MATERIALIZED (SELECT fn, rn, {similar("fn", "rn", 84)} AS score FROM ab), k AS (SELECT * FROM k0 WHERE score >= 84),
 p AS (SELECT f.feature_id, f.c AS fc, r.*, 0 AS tier, 100.0 AS score FROM f JOIN r ON pin = route_id UNION ALL
   SELECT f.feature_id, f.c, r.*, CASE WHEN f.n = r.n THEN 1 ELSE 2 END, score FROM f JOIN k ON k.fn = f.n JOIN r ON r.n = k.rn WHERE pin IS NULL),
 m AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY tier, score DESC, route_id) AS nth FROM p) -- main
@@ -59,7 +61,7 @@ asked AS (SELECT p_partkey, {ALIAS.format(name="p_name", id="p_partkey")} AS men
 m AS (SELECT p_partkey, mention, alt, coalesce(e.owner, t.owner, l.owner) AS fid FROM asked LEFT JOIN sole e ON e.tier = 'exact' AND e.key = {EXACT.format('mention')}
  LEFT JOIN sole t ON t.tier = 'tight' AND t.key = {strip(EXACT.format('mention'), BUILDING)} LEFT JOIN sole l ON l.tier = 'loose' AND l.key = {strip(EXACT.format('mention'), LOOSE)}),
 lost AS (SELECT DISTINCT mention, {strip(EXACT.format('mention'), LOOSE)} AS m_key FROM m WHERE fid IS NULL), keys AS (SELECT DISTINCT key FROM idx WHERE tier = 'loose'),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, key) AS place FROM (SELECT mention, key, {similar('m_key', 'key')} AS score FROM lost, keys) WHERE score >= 60) WHERE place <= 5),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, key) AS place FROM (SELECT mention, key, {similar('m_key', 'key', 88)} AS score FROM lost, keys) WHERE score >= 88) WHERE place <= 5),
 owned AS (SELECT mention, score, feature_id, max(score) OVER (PARTITION BY mention) AS best FROM top JOIN idx USING (key) WHERE tier = 'loose'),
 near AS (SELECT mention, CASE WHEN max(score) >= 88 AND min(feature_id) FILTER (score = best) = max(feature_id) FILTER (score = best) THEN min(feature_id) FILTER (score = best) END AS nid FROM owned GROUP BY 1),
 n AS (SELECT p_partkey, alt, coalesce(fid, nid) AS fid FROM m LEFT JOIN near USING (mention)),

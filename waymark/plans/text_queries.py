@@ -373,7 +373,8 @@ def similar(a: str, b: str, floor: int = 60) -> str:
  WHEN p.both = '' AND {scale} * 200 * {known} / (length(p.s) + {known}) < {floor} THEN {ratio('p.s', 'p.l')}
  ELSE greatest({ratio('p.s', 'p.l')}, {scale} * {stretch('p.s', 'p.l')}, CASE WHEN p.both <> '' THEN 95 * {scale} ELSE 0.95::DOUBLE * {scale} * {stretch(xs, ys)} END) END"""
     near = f"greatest({ratio('p.s', 'p.l')}, 0.95::DOUBLE * {ratio('p.x', 'p.y')}, 0.95::DOUBLE * {sets})"
-    return f"(list_transform([{pair}], lambda p: CASE WHEN p.s = p.l THEN 100.0::DOUBLE WHEN length(p.l) < 1.5 * length(p.s) THEN {near} ELSE {wide} END)[1])"
+    edits = " AND ".join(f"{w} * (1 - levenshtein({x}, {y})::DOUBLE / (length({x}) + length({y}))) < {floor}" for w, x, y in ((100, "p.s", "p.l"), (95, "p.x", "p.y")))  # never below the ratio
+    return f"(list_transform([{pair}], lambda p: CASE WHEN p.s = p.l THEN 100.0::DOUBLE WHEN p.both = '' AND length(p.l) < 1.5 * length(p.s) AND {edits} THEN 0 WHEN length(p.l) < 1.5 * length(p.s) THEN {near} ELSE {wide} END)[1])"
 
 
 def index_of(spark, d):
@@ -406,14 +407,14 @@ def resolve_exact_tiers(spark, d):
     return rs.resolve_exact_tiers(asked, index_of(spark, d)).select("p_partkey", "feature_id", "tier")
 
 
-SCORED = f"""asked AS (SELECT DISTINCT p_name || ' ' || CAST(p_partkey % 40 AS VARCHAR) || '$end' AS mention FROM part),
+SCORED = f"""asked AS (SELECT DISTINCT p_name || ' ' || CAST(p_partkey % 4 AS VARCHAR) || '$end' AS mention FROM part),
 keyed_m AS (SELECT mention, {strip(EXACT.format('mention'), LOOSE)} AS m_key FROM asked), keys AS (SELECT DISTINCT key FROM idx WHERE tier = 'loose'),
 scored AS (SELECT mention, key, {similar('m_key', 'key')} AS score FROM keyed_m, keys),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, key) AS place FROM scored WHERE score >= 60) WHERE place <= 5)"""
 
 
 def misspelt(spark, d, end: str):
-    return tb.base(spark, d, "part").select(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 40).cast("string"), F.lit(end)).alias("mention")).distinct()
+    return tb.base(spark, d, "part").select(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 4).cast("string"), F.lit(end)).alias("mention")).distinct()
 
 
 @query(f"""{INDEX}, {SCORED.replace("$end", "a")}, owned AS (SELECT mention, score, feature_id, max(score) OVER (PARTITION BY mention) AS best FROM top JOIN idx USING (key) WHERE tier = 'loose'),
