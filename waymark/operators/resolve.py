@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import key_exact, key_loose, key_tight, names_an_approach, slugify
+from ..sources.shared import written
 from .similar import similar_pairs
 
 TIERS = (("exact", key_exact), ("tight", key_tight), ("loose", key_loose))
@@ -59,8 +60,9 @@ def top_candidates(pairs: DataFrame, most: int = 5) -> DataFrame:
 
 
 def resolve_fuzzy(mentions: DataFrame, index: DataFrame, accept: float = 88.0, tier: str = "loose") -> DataFrame:
-    """One row for each mention: feature_id if all owners of the best keys are one feature and the score is accepted."""
-    top = top_candidates(similar_keys(mentions, index, tier=tier))
+    """One row for each mention: feature_id if all owners of the best keys are one feature and the score is accepted; and
+    the keys that came into question, best first."""
+    top = written(top_candidates(similar_keys(mentions, index, tier=tier)), "top")
     owners = top.join(index.filter(F.col("tier") == tier).select("key", "feature_id"), "key")
     best = owners.withColumn("best", F.max("score").over(Window.partitionBy("mention"))).groupBy("mention").agg(
         F.max("best").alias("score"),
@@ -69,7 +71,21 @@ def resolve_fuzzy(mentions: DataFrame, index: DataFrame, accept: float = 88.0, t
         F.count_distinct("feature_id").alias("n_candidates"),
     )
     told = best.withColumn("feature_id", F.when((F.col("score") >= accept) & (F.col("low") == F.col("high")), F.col("low"))).drop("low", "high")
-    return mentions.select("mention").distinct().join(told, "mention", "left")
+    keys = top.groupBy("mention").agg(F.sort_array(F.collect_list(F.struct("place", "key", "score"))).alias("candidates"))  # five at most
+    return mentions.select("mention").distinct().join(told, "mention", "left").join(keys, "mention", "left")
+
+
+def resolve_chain(mentions: DataFrame, index: DataFrame, accept: float = 88.0) -> DataFrame:
+    """Mentions with feature_id, tier, score and candidates: the exact tiers, and for what these leave, a similar key of at
+    least `accept` whose owners are one feature. A tie between features resolves to none of them."""
+    exact = resolve_exact_tiers(mentions, index)
+    near = written(resolve_fuzzy(exact.filter("feature_id is null and mention is not null"), index, accept), "near")
+    near = near.select(F.col("mention").alias("asked_"), F.col("feature_id").alias("near_"), F.col("score").alias("near_score_"), "candidates")
+    joined = exact.join(near, F.col("mention") == F.col("asked_"), "left")
+    by_name = F.col("feature_id").isNull() & F.col("near_").isNotNull()
+    return joined.withColumns(
+        {"tier": F.when(by_name, "similar").otherwise(F.col("tier")), "score": F.when(by_name, F.col("near_score_")).otherwise(F.col("score")), "feature_id": F.coalesce("feature_id", "near_")}
+    ).drop("asked_", "near_", "near_score_")
 
 
 def join_by_external_id(claims: DataFrame, facts: DataFrame) -> DataFrame:
@@ -100,15 +116,8 @@ def attribute_to_site(mentions: DataFrame) -> DataFrame:
 
 
 def scoped_altitude_match(mentions: DataFrame, index: DataFrame, features: DataFrame, tolerance: int = 200, accept: float = 88.0) -> DataFrame:
-    """Matches by the exact tiers, else by a similar name of at least `accept`, whose altitude is known on both sides and
-    close enough; each failure has its reason."""
-    exact = resolve_exact_tiers(mentions, index)
-    near = resolve_fuzzy(exact.filter("feature_id is null"), index, accept).select(F.col("mention").alias("asked_"), F.col("feature_id").alias("near_"), F.col("score").alias("near_score_"))
-    joined = exact.join(near, F.col("mention") == F.col("asked_"), "left")
-    by_name = F.col("feature_id").isNull() & F.col("near_").isNotNull()
-    told = joined.withColumns(
-        {"tier": F.when(by_name, "similar").otherwise(F.col("tier")), "score": F.when(by_name, F.col("near_score_")).otherwise(F.col("score")), "feature_id": F.coalesce("feature_id", "near_")}
-    ).drop("asked_", "near_", "near_score_")
+    """Matches by the chain whose altitude is known on both sides and close enough; each failure has its reason."""
+    told = resolve_chain(mentions, index, accept)
     found = told.join(features.select("feature_id", F.col("altitude_m").alias("own_altitude")), "feature_id", "left")
     reason = (
         F.when(F.col("feature_id").isNull(), "no match")
@@ -118,42 +127,50 @@ def scoped_altitude_match(mentions: DataFrame, index: DataFrame, features: DataF
     return found.withColumn("reason", reason)
 
 
-def resolution_hooks(claims: DataFrame, policy: DataFrame, features: DataFrame, facts: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims with feature_id and resolved_by, queue): each source's own way from a claim to its feature.
+def resolution_hooks(claims: DataFrame, policy: DataFrame, features: DataFrame, facts: DataFrame, index: DataFrame, accept: float = 88.0) -> tuple[DataFrame, DataFrame]:
+    """(claims with feature_id, resolved_by and attributed_by, queue with reason and candidates): each source's own way from
+    a claim to its feature.
 
     policy: (source_id, resolution), a source without one resolves by name. The ways, by what a claim carries: `child`
     (parent_id, mention), `slug` (slug), `external_id` (external_ref), `scoped` (mention, altitude_m), `site` (mention,
-    site_of: an unresolved mention goes to the page's own feature, unless it names an approach to it), `general` (mention).
-    What no way resolves is in the queue with its reason.
+    site_of), `general` (mention).
+
+    A site's mention that names an approach is queued before any lookup: it often holds the place's own name, and would be
+    filed on the place. What is left goes by the chain of exact tiers and similar names, and what the chain leaves, to the
+    page's own feature. What no way resolves is in the queue with its reason and the keys that came into question.
     """
     told = claims.join(policy, "source_id", "left").withColumn("resolution", F.coalesce("resolution", F.lit("general")))
+    told = written(told, "claims")
 
     def of(*ways: str) -> DataFrame:
         return told.filter(F.col("resolution").isin(*ways))
 
-    names = [*told.columns, "feature_id", "reason"]
-    plain = resolve_exact_tiers(of("general", "site"), index).withColumn("reason", F.when(F.col("feature_id").isNull(), "no match"))
-    approach = names_an_approach(F.col("mention"))
+    none = {"candidates": F.lit(None).cast("array<struct<place:int,key:string,score:double>>"), "attributed_by": F.lit(None).cast("string")}
+    names = [*told.columns, "feature_id", "reason", *none]
+    approach = (F.col("resolution") == "site") & F.coalesce(names_an_approach(F.col("mention")), F.lit(False))
+    named = of("general", "site")
+    kept_off = named.filter(approach).withColumns({"feature_id": F.lit(None).cast(features.schema["feature_id"].dataType), "reason": F.lit("names an approach"), **none})
+    chained = resolve_chain(named.filter(~approach), index, accept)
     at_site = (F.col("resolution") == "site") & F.col("feature_id").isNull() & F.col("site_of").isNotNull()
-    plain = plain.withColumns(
-        {"reason": F.when(at_site, F.when(approach, "names an approach")).otherwise(F.col("reason")), "feature_id": F.when(at_site & ~approach, F.col("site_of")).otherwise(F.col("feature_id"))}
-    )
+    chained = chained.withColumns({"attributed_by": F.when(at_site, "site"), "feature_id": F.when(at_site, F.col("site_of")).otherwise(F.col("feature_id"))})
+    chained = chained.withColumn("reason", F.when(F.col("feature_id").isNull(), "no match"))
     child, _ = resolve_child(of("child"), features)
     slugs = features.select(slugify(F.col("name")).alias("slug"), "feature_id").groupBy("slug").agg(F.min("feature_id").alias("feature_id"), F.count(F.lit(1)).alias("owners")).filter("owners = 1").drop("owners")
-    scoped = scoped_altitude_match(of("scoped"), index, features)
+    scoped = scoped_altitude_match(of("scoped"), index, features, accept=accept).withColumn("attributed_by", none["attributed_by"])
     scoped = scoped.withColumn("feature_id", F.when(F.col("reason").isNull(), F.col("feature_id")))
     parts = [
-        plain,
-        child.withColumn("reason", F.when(F.col("feature_id").isNull(), "no such child")),
-        of("slug").join(slugs, "slug", "left").withColumn("reason", F.when(F.col("feature_id").isNull(), "no such slug")),
-        join_by_external_id(of("external_id"), facts).withColumn("reason", F.when(F.col("feature_id").isNull(), "unknown id")),
+        kept_off,
+        chained,
+        child.withColumns({"reason": F.when(F.col("feature_id").isNull(), "no such child"), **none}),
+        of("slug").join(slugs, "slug", "left").withColumns({"reason": F.when(F.col("feature_id").isNull(), "no such slug"), **none}),
+        join_by_external_id(of("external_id"), facts).withColumns({"reason": F.when(F.col("feature_id").isNull(), "unknown id"), **none}),
         scoped,
     ]
     out = parts[0].select(*names)
     for part in parts[1:]:
         out = out.unionByName(part.select(*names))
-    out = out.withColumnRenamed("resolution", "resolved_by")
-    return out.filter("feature_id is not null").drop("reason"), out.filter("feature_id is null")
+    out = written(out.withColumnRenamed("resolution", "resolved_by"), "resolved")
+    return out.filter("feature_id is not null").drop("reason", "candidates"), out.filter("feature_id is null")
 
 
 def open_mentions(mentions: DataFrame) -> DataFrame:

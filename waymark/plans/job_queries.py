@@ -9,9 +9,8 @@ from ..operators import resolve as rs
 from ..sources import tables as tb
 from . import jobs
 from .claims_queries import ELIGIBLE, LIVE, NOTE, OVERLAP, SEASON, STATUS, status_of
-from .more_queries import SCOPED
 from .registry import AS_OF, query
-from .text_queries import DICT, FOLD, INDEX, TITLED, alias, index_of, titled
+from .text_queries import BUILDING, DICT, EXACT, FOLD, LOOSE, TITLED, similar, strip, titled
 
 WORDS = ", ".join(f"CASE WHEN regexp_matches({FOLD.format('title')} || ' ' || {FOLD.format('text')}, '{p}') THEN {f} END" for f, p in DICT)
 
@@ -150,24 +149,57 @@ def re_extract_report(spark, d):
     return read_again(spark, d)[1]
 
 
-@query(f"""{INDEX}, {SCOPED}, x AS (SELECT p_partkey AS id, p_partkey % 6 AS way, (p_partkey // 6) % 2 AS odd, m.fid, told.fid AS near, told.reason, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey - p_partkey % 10 END AS parent
-  FROM part JOIN m USING (p_partkey) JOIN told USING (p_partkey)) -- main
-SELECT id, CASE way WHEN 0 THEN fid WHEN 1 THEN CASE WHEN parent IS NOT NULL THEN id END WHEN 2 THEN id WHEN 3 THEN CASE WHEN odd = 0 THEN id END WHEN 4 THEN CASE WHEN reason IS NULL THEN near END ELSE CASE WHEN odd = 1 THEN parent END END AS feature_id,
-  CASE way WHEN 0 THEN 'general' WHEN 1 THEN 'child' WHEN 2 THEN 'slug' WHEN 3 THEN 'external_id' WHEN 4 THEN 'scoped' ELSE 'site' END AS resolved_by,
-  CASE way WHEN 0 THEN CASE WHEN fid IS NULL THEN 'no match' END WHEN 1 THEN CASE WHEN parent IS NULL THEN 'no such child' END WHEN 3 THEN CASE WHEN odd = 1 THEN 'unknown id' END WHEN 4 THEN reason
-    WHEN 5 THEN CASE WHEN parent IS NULL THEN 'no match' WHEN odd = 0 THEN 'names an approach' END END AS reason FROM x""")
-def resolution_hooks(spark, d):
-    f = tb.features(spark, d).withColumn("name", F.concat_ws(" ", "name", "feature_id"))
-    odd = (F.floor(F.col("feature_id") / 6) % 2).cast("int")
-    own = tb.features(spark, d).select(
-        F.col("feature_id").alias("id"), (F.col("feature_id") % 6).alias("source_id"), "parent_id", F.col("parent_id").alias("site_of"), (F.col("feature_id") * 10).alias("external_ref"),
-        F.when(F.col("feature_id") % 3 > 0, F.col("altitude_m")).alias("altitude_m"), tx.slugify(F.concat_ws(" ", "name", "feature_id")).alias("slug"),
-        F.when(F.col("feature_id") % 6 == 5, F.when(odd == 0, "Sentier du nowhere").otherwise("nowhere at all")).when(F.col("feature_id") % 6 == 1, F.upper(F.concat_ws(" ", "name", "feature_id"))).otherwise(alias("name", "feature_id")).alias("mention"),
-    )
+# A claim for each feature, with mentions of five kinds: as listed, misspelt, with two neighbours' names, a path to it, and of nothing.
+KINDS = {
+    0: "'Refuge du ' || p_name || ' ' || p_partkey", 1: "'Refuge du ' || p_name || 'e ' || p_partkey", 2: "p_name",
+    3: "'Voie de la ' || p_name || ' ' || p_partkey", 4: "'zzzz ' || p_size || 'qqqq'",
+}
+KIND = "(p_partkey // 6) % 5"
+MENTION = f"CASE {KIND} " + " ".join(f"WHEN {k} THEN {x}" for k, x in KINDS.items()) + " END"
+HOOKS = f"""ask AS (SELECT p_partkey AS id, p_partkey % 6 AS way, {KIND} AS kind, {MENTION} AS mention, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey - p_partkey % 10 END AS parent, p_partkey * 10 AS ref,
+  CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size * 100 AS INT) END AS alt FROM part),
+forms2 AS (SELECT p_partkey AS fid, 'Refuge du ' || p_name || ' ' || p_partkey AS form FROM part WHERE p_partkey % 50 <> 7),
+kx AS (SELECT k, min(fid) AS fid, count(DISTINCT fid) AS n FROM (SELECT fid, {EXACT.format('form')} AS k FROM forms2) GROUP BY 1),
+kl AS (SELECT k, min(fid) AS fid, count(DISTINCT fid) AS n FROM (SELECT fid, {strip(EXACT.format('form'), LOOSE)} AS k FROM forms2) GROUP BY 1),
+open_ AS (SELECT *, {EXACT.format('mention')} AS me, {strip(EXACT.format('mention'), BUILDING)} AS mt, {strip(EXACT.format('mention'), LOOSE)} AS ml FROM ask WHERE way IN (0, 4) OR (way = 5 AND kind <> 3)),
+step AS (SELECT o.*, coalesce(CASE WHEN kx.n = 1 THEN kx.fid END, CASE WHEN kt.n = 1 THEN kt.fid END, CASE WHEN kl.n = 1 THEN kl.fid END) AS fid FROM open_ o
+  LEFT JOIN kx ON kx.k = me LEFT JOIN kl kt ON kt.k = mt LEFT JOIN kl ON kl.k = ml),
+lost AS MATERIALIZED (SELECT DISTINCT mention, ml FROM step WHERE fid IS NULL),
+near AS MATERIALIZED (SELECT mention, k, kl.fid AS low, n, {similar('ml', 'k', 88)} AS score FROM lost, kl),
+best AS (SELECT mention, CASE WHEN count(*) = 1 AND min(n) = 1 THEN min(low) END AS fid FROM (SELECT *, max(score) OVER (PARTITION BY mention) AS top FROM near WHERE score >= 88) WHERE score = top GROUP BY 1),
+chain AS (SELECT step.* EXCLUDE (fid), coalesce(step.fid, best.fid) AS fid FROM step LEFT JOIN best USING (mention)),
+out_ AS (
+  SELECT id, 'site' AS by_, CAST(NULL AS BIGINT) AS fid, 'names an approach' AS reason, CAST(NULL AS VARCHAR) AS att FROM ask WHERE way = 5 AND kind = 3
+  UNION ALL SELECT id, 'general', fid, CASE WHEN fid IS NULL THEN 'no match' END, NULL FROM chain WHERE way = 0
+  UNION ALL SELECT id, 'site', coalesce(fid, parent), CASE WHEN coalesce(fid, parent) IS NULL THEN 'no match' END, CASE WHEN fid IS NULL AND parent IS NOT NULL THEN 'site' END FROM chain WHERE way = 5
+  UNION ALL SELECT id, 'scoped', CASE WHEN abs(p_size * 100 - alt) <= 200 THEN fid END, CASE WHEN fid IS NULL THEN 'no match' WHEN alt IS NULL THEN 'altitude unknown' WHEN abs(p_size * 100 - alt) > 200 THEN 'altitude differs' END, NULL FROM chain LEFT JOIN part ON p_partkey = fid WHERE way = 4
+  UNION ALL SELECT id, 'child', CASE WHEN kind = 0 AND parent IS NOT NULL THEN id END, CASE WHEN kind <> 0 OR parent IS NULL THEN 'no such child' END, NULL FROM ask WHERE way = 1
+  UNION ALL SELECT id, 'slug', CASE WHEN kind = 0 THEN id END, CASE WHEN kind <> 0 THEN 'no such slug' END, NULL FROM ask WHERE way = 2
+  UNION ALL SELECT id, 'external_id', CASE WHEN kind < 3 THEN id END, CASE WHEN kind >= 3 THEN 'unknown id' END, NULL FROM ask WHERE way = 3)"""
+
+
+def named_features(spark, d):
+    """All features under a name of their own."""
+    return tb.features(spark, d).withColumn("name", F.concat(F.lit("Refuge du "), "name", F.lit(" "), F.col("feature_id").cast("string")))
+
+
+def hooked(spark, d):
+    """(claims, policy, features, facts, index) of the query below."""
+    f = named_features(spark, d)
+    mention = F.expr(MENTION.replace("//", "DIV").replace("p_size", "CAST(p_size AS INT)"))
+    own = tb.base(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), (F.col("p_partkey") % 6).alias("source_id"), mention.alias("mention"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_partkey") - F.col("p_partkey") % 10).alias("parent_id"),
+        (F.col("p_partkey") * 10).alias("external_ref"), F.when(F.col("p_partkey") % 4 > 0, (F.col("p_size") * 100).cast("int")).alias("altitude_m"),
+    ).withColumns({"site_of": F.col("parent_id"), "slug": tx.slugify(F.col("mention"))})
     policy = spark.createDataFrame([(1, "child"), (2, "slug"), (3, "external_id"), (4, "scoped"), (5, "site")], "source_id long, resolution string")
-    facts = tb.features(spark, d).filter(odd == 0).select(F.lit(3).cast("long").alias("source_id"), (F.col("feature_id") * 10).alias("external_ref"), "feature_id")
-    found, queue = rs.resolution_hooks(own, policy, f, facts, index_of(spark, d))
-    return found.withColumn("reason", F.lit(None).cast("string")).unionByName(queue).select("id", "feature_id", "resolved_by", "reason")
+    facts = f.filter("(feature_id div 6) % 5 < 3").select(F.lit(3).cast("long").alias("source_id"), (F.col("feature_id") * 10).alias("external_ref"), "feature_id")
+    return own, policy, f, facts, rs.alias_index(rs.surface_forms(f.filter("active")))
+
+
+@query(f"{HOOKS} -- main\nSELECT id, fid AS feature_id, by_ AS resolved_by, reason, att AS attributed_by FROM out_")
+def resolution_hooks(spark, d):
+    found, queue = rs.resolution_hooks(*hooked(spark, d))
+    return found.withColumn("reason", F.lit(None).cast("string")).unionByName(queue.drop("candidates")).select("id", "feature_id", "resolved_by", "reason", "attributed_by")
 
 
 @query(f"""{STATUS}, {SEASON}, sea AS (SELECT feature_id, CASE branch WHEN 1 THEN CASE WHEN stop.t = 'closure' THEN 'closed' ELSE 'restricted' END WHEN 2 THEN 'open' WHEN 3 THEN 'unstaffed' WHEN 4 THEN 'open' WHEN 5 THEN 'closed' ELSE 'unknown' END AS season,

@@ -327,7 +327,7 @@ def new_features_from_candidates(spark, d):
 
 
 ALIAS = "'Refuge du ' || {name} || ' ' || CAST(CASE WHEN {id} % 2 = 0 THEN {id} ELSE {id} % 40 END AS VARCHAR)"
-INDEX = f"""forms AS (SELECT feature_id, name AS form, 0 AS place FROM feat UNION ALL SELECT feature_id, {ALIAS.format(name="name", id="feature_id")}, 1 FROM feat),
+INDEX = f"""forms AS (SELECT feature_id, name AS form, 0 AS place FROM feat WHERE active UNION ALL SELECT feature_id, {ALIAS.format(name="name", id="feature_id")}, 1 FROM feat WHERE active),
 keyed AS (SELECT feature_id, form, place, 'exact' AS tier, {EXACT.format('form')} AS key FROM forms UNION ALL SELECT feature_id, form, place, 'tight', {strip(EXACT.format('form'), BUILDING)} FROM forms UNION ALL SELECT feature_id, form, place, 'loose', {strip(EXACT.format('form'), LOOSE)} FROM forms),
 idx AS (SELECT tier, key, feature_id, arg_min(form, place) AS form FROM keyed WHERE key <> '' GROUP BY 1, 2, 3)"""
 
@@ -378,7 +378,7 @@ def similar(a: str, b: str, floor: int = 60) -> str:
 
 
 def index_of(spark, d):
-    f = tb.features(spark, d).withColumn("aliases", F.array(alias("name", "feature_id")))
+    f = tb.features(spark, d).filter("active").withColumn("aliases", F.array(alias("name", "feature_id")))
     return rs.alias_index(rs.surface_forms(f, aliases="aliases"))
 
 
@@ -421,7 +421,7 @@ def misspelt(spark, d, end: str):
 told AS (SELECT mention, max(score) AS score, min(feature_id) FILTER (score = best) AS low, max(feature_id) FILTER (score = best) AS high, count(DISTINCT feature_id) AS n_candidates FROM owned GROUP BY 1) -- main
 SELECT mention, round(score, 6) AS score, n_candidates, CASE WHEN score >= 88 AND low = high THEN low END AS feature_id FROM asked LEFT JOIN told USING (mention)""")
 def resolve_fuzzy(spark, d):
-    return rs.resolve_fuzzy(misspelt(spark, d, "a"), index_of(spark, d)).withColumn("score", F.round("score", 6))
+    return rs.resolve_fuzzy(misspelt(spark, d, "a"), index_of(spark, d)).select("mention", F.round("score", 6).alias("score"), "n_candidates", "feature_id")
 
 
 @query(f"{INDEX}, {SCORED.replace('$end', 'b')} -- main\nSELECT mention, key, round(score, 6) AS score, place FROM top")
