@@ -106,12 +106,6 @@ def test_summaries_and_vocabulary(spark):
     assert [(r["type"], r["severity"]) for r in known.collect()] == [("opening", 0)] and [tuple(r) for r in unseen.collect()] == [("ODD", 2)]
 
 
-def test_registered_extractors(spark):
-    docs = spark.createDataFrame([(1, 1), (2, 2), (3, 9)], "document_id long, source_id long")
-    claims_, unserved = jobs.run_extractors(docs, {1: lambda d: d.selectExpr("document_id", "'a' AS type"), 2: lambda d: d.selectExpr("document_id", "'b' AS type")})
-    assert {tuple(r) for r in claims_.collect()} == {(1, "a"), (2, "b")} and [r["document_id"] for r in unserved.collect()] == [3]
-
-
 def test_tables_are_scanned_under_their_schemas(spark, tmp_path):
     for name, schema in tb.SCHEMAS.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")

@@ -109,6 +109,7 @@ def validate_claims(raw: DataFrame, docs: DataFrame, types: tuple[str, ...], sta
     """Raw claims with the first reason that rejects each; null passes."""
     joined = raw.join(docs.select("document_id", collapse_space(F.col("text")).alias("body")), "document_id", "left")
     quote, mention = collapse_space(F.col("evidence")), collapse_space(F.col("mention"))
+    said = collapse_space(F.coalesce("dates_text", F.lit(""))) if "dates_text" in raw.columns else F.lit("")
     reason = (
         F.when(F.coalesce(quote, F.lit("")) == "", "no evidence")
         .when(~F.coalesce(F.contains("body", quote), F.lit(False)), "evidence not in document")
@@ -116,6 +117,7 @@ def validate_claims(raw: DataFrame, docs: DataFrame, types: tuple[str, ...], sta
         .when(F.col("status").isNull() | ~F.col("status").isin(*statuses), "unknown status")
         .when(F.coalesce(mention, F.lit("")) == "", "no mention")
         .when(~F.contains(fold(F.col("body")), fold(mention)), "mention not in document")
+        .when((said != "") & ~F.contains(quote, said), "dates outside the evidence")
         .when(F.col("severity").isNull() | ~F.col("severity").between(0, 3), "severity out of range")
     )
     return joined.withColumn("reject_reason", reason).drop("body")

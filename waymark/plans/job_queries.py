@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import resolve as rs
 from ..sources import tables as tb
-from . import jobs
+from . import extraction, jobs
 from .claims_queries import ELIGIBLE, LIVE, NOTE, OVERLAP, SEASON, STATUS, status_of
 from .registry import AS_OF, query
 from .text_queries import BUILDING, DICT, EXACT, FOLD, LOOSE, TITLED, similar, strip, titled
@@ -67,16 +67,18 @@ def reports_to_claims(spark, d):
     return jobs.reports_to_claims(reports, "2024-02-01").select("route", "valid_from", "valid_to")
 
 
-@query("""SELECT doc_id % 4 AS kind, count(*) AS n, count(reason) AS rejected FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'evidence not in document' WHEN 1 THEN 'unknown status' END AS reason FROM documents WHERE length(trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g'))) > 0) GROUP BY 1""")
+@query("""SELECT doc_id AS document_id, CASE doc_id % 4 WHEN 0 THEN 'evidence not in document' WHEN 1 THEN 'unknown status' WHEN 2 THEN 'dates outside the evidence' END AS reason, CASE WHEN doc_id % 4 = 3 THEN DATE '2026-05-01' END AS valid_from,
+  CASE WHEN doc_id % 4 = 3 THEN DATE '2026-05-03' END AS valid_to FROM documents""")
 def readings_to_claims(spark, d):
-    docs = tb.base(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    docs = tb.base(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("La voie est fermée du 1 au 3 mai. "), "text").alias("text"))
     readings = docs.select(
-        "document_id", F.when(F.col("document_id") % 4 == 0, F.lit("never said 123")).otherwise(F.substring("text", 1, 30)).alias("evidence"), F.substring("text", 1, 10).alias("mention"), F.lit("closure").alias("type"),
-        F.when(F.col("document_id") % 4 == 1, "ajar").otherwise("closed").alias("status"), F.lit(2).alias("severity"), F.lit("du 1 au 3 mai").alias("dates_text"), F.lit(2026).alias("year"),
+        "document_id", F.when(F.col("document_id") % 4 == 0, F.lit("never said 123")).otherwise("fermée du 1 au 3 mai").alias("evidence"), F.lit("La voie").alias("mention"), F.lit("closure").alias("type"),
+        F.when(F.col("document_id") % 4 == 1, "ajar").otherwise("closed").alias("status"), F.lit(2).alias("severity"), F.when(F.col("document_id") % 4 == 2, "le 9 mai").otherwise("du 1 au 3 mai").alias("dates_text"), F.lit(2026).alias("year"),
     )
     ok, rejected = jobs.readings_to_claims(readings, docs, ("closure",), ("closed",))
-    both = ok.select("document_id", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("document_id", F.col("reject_reason").alias("reason")))
-    return both.groupBy((F.col("document_id") % 4).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count("reason").alias("rejected"))
+    none = F.lit(None).cast("date")
+    both = ok.select("document_id", F.lit(None).cast("string").alias("reason"), "valid_from", "valid_to").unionByName(rejected.select("document_id", F.col("reject_reason").alias("reason"), none.alias("valid_from"), none.alias("valid_to")))
+    return both
 
 
 def settled(base: str, runs: bool = True) -> str:
@@ -100,16 +102,41 @@ known AS (SELECT o_orderkey AS document_id, o_custkey % 8 AS source_id, o_orderk
 first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, h ORDER BY met, document_id) AS rn FROM arr) x WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM known WHERE known.source_id = x.source_id AND known.h = x.h)),
 sight AS (SELECT known.document_id, max(arr.met) AS seen FROM arr JOIN known USING (source_id, h) GROUP BY 1),
 base AS (SELECT s.* REPLACE (greatest(s.last_seen_at, sight.seen) AS last_seen_at) FROM (SELECT * FROM stmt WHERE document_id % 6 <> 0) s LEFT JOIN sight ON sight.document_id = s.document_id),
-mine AS (SELECT * FROM stmt WHERE document_id IN (SELECT document_id FROM first)), fresh AS (SELECT * FROM mine WHERE feature_id % 7 <> 0)"""
+mine AS (SELECT document_id || '/' || concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS INT)) || '/' || CASE l_returnflag WHEN 'A' THEN 'closure' ELSE 'opening' END || '/' || l_partkey AS id,
+  l_partkey AS feature_id, source_id, document_id, epoch(met)::BIGINT * 1000 AS came, CASE l_returnflag WHEN 'A' THEN 'closure' ELSE 'opening' END AS type, CASE l_returnflag WHEN 'A' THEN 'closed' WHEN 'R' THEN 'open' ELSE 'unstaffed' END AS status,
+  CASE l_returnflag WHEN 'A' THEN 2 WHEN 'R' THEN 0 ELSE 1 END AS severity, met, l_linenumber % 7 AS kind, CASE l_linenumber % 7 WHEN 5 THEN 'Voie de la ' ELSE 'Refuge du ' END || p_name || ' ' || l_partkey AS evidence
+  FROM lineitem JOIN first ON document_id = l_orderkey JOIN part ON p_partkey = l_partkey WHERE source_id <> 3),
+fresh AS (SELECT id, feature_id, source_id, document_id, came + row_number() OVER (PARTITION BY document_id ORDER BY id) AS seq, type, status, severity, met AS observed_at, met AS last_seen_at, CAST(NULL AS DATE) AS valid_from, CAST(NULL AS DATE) AS valid_to,
+  false AS needs_review, CAST(NULL AS DATE) AS reviewed_at, false AS schedule, CAST(NULL AS DATE) AS superseded_at, CAST(NULL AS VARCHAR) AS superseded_by, CAST(NULL AS VARCHAR) AS retired_reason, evidence
+  FROM mine WHERE kind <> 6 AND NOT (kind = 5 AND source_id = 5))"""
 
 
 def batch(spark, d):
-    """A sixth of the documents arrives; some repeat a stored one, and a seventh of the features is not resolved."""
-    docs = tb.base(spark, d, "orders").selectExpr("o_orderkey AS document_id", "o_custkey % 8 AS source_id", "CAST(o_orderkey % 9973 AS STRING) AS content_hash", "CAST(to_date(o_orderdate) AS TIMESTAMP) AS fetched_at")
-    c = tb.claims(spark, d)
+    """A sixth of the documents arrives, some repeating a stored one. Each lists entries in JSON, which the registered job of
+    its source reads (source 3 has none); the mentions are names, paths to a place, and names of nothing."""
+    name = F.concat(F.when(F.col("l_linenumber") % 7 == 5, "Voie de la ").otherwise("Refuge du "), "p_name", F.lit(" "), F.col("l_partkey").cast("string"))
+    entry = F.struct(
+        F.expr("concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS INT))").alias("ref"), F.when(F.col("l_linenumber") % 7 == 6, "qqqq xxxx").otherwise(name).alias("name"),
+        F.expr("CASE l_returnflag WHEN 'A' THEN 'Fermé' WHEN 'R' THEN 'ouvert' END").alias("state"), F.lit(False).alias("guarded"),
+    )
+    items = tb.base(spark, d, "lineitem").join(tb.base(spark, d, "part").select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
+    content = items.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("content"))
+    docs = tb.base(spark, d, "orders").selectExpr("o_orderkey AS document_id", "o_custkey % 8 AS source_id", "CAST(o_orderkey % 9973 AS STRING) AS content_hash", "CAST(to_date(o_orderdate) AS TIMESTAMP) AS fetched_at", "'' AS title")
+    docs = docs.join(content, "document_id", "left")
+    policy = spark.createDataFrame([(k, "wiki" if k != 3 else "unheard of") for k in range(8)], "source_id long, job string")
+    ways = spark.createDataFrame([(5, "site")], "source_id long, resolution string")
+    f = named_features(spark, d)
+    index = rs.alias_index(rs.surface_forms(f))
+
+    def resolve(raw):
+        given = {"site_of": F.lit(None).cast("long"), "parent_id": F.lit(None).cast("long"), "altitude_m": F.lit(None).cast("int"), "slug": F.lit(None).cast("string"), "external_ref": F.col("ref")}
+        facts = spark.createDataFrame([], "source_id long, external_ref string, feature_id long")
+        found, queue = rs.resolution_hooks(raw.drop("feature_id").withColumns(given), ways, f, facts, index)
+        return extraction.statements(found), queue
+
     return jobs.ingest_batch(
-        docs.filter("document_id % 6 = 0"), docs.filter("document_id % 6 <> 0"), c.filter("document_id % 6 <> 0"), lambda own: c.join(own.select("document_id"), "document_id", "left_semi"),
-        lambda read: (read.filter("feature_id % 7 <> 0"), read.filter("feature_id % 7 = 0")), tb.runs(spark, d), tb.sources(spark, d), AS_OF,
+        docs.filter("document_id % 6 = 0"), docs.filter("document_id % 6 <> 0"), tb.claims(spark, d).filter("document_id % 6 <> 0"),
+        lambda own: extraction.extract(own, policy, extraction.Setting(AS_OF))[0], resolve, tb.runs(spark, d), tb.sources(spark, d), AS_OF,
     )
 
 
@@ -119,12 +146,20 @@ def ingest_batch(spark, d):
 
 
 @query(f"""{ARRIVED}, a AS (SELECT source_id, count(*) AS documents FROM arr GROUP BY 1), b AS (SELECT source_id, count(*) AS fresh FROM first GROUP BY 1), c AS (SELECT source_id, count(*) AS claims FROM fresh GROUP BY 1),
-q AS (SELECT source_id, count(*) AS queued FROM mine WHERE feature_id % 7 = 0 GROUP BY 1) -- main
+q AS (SELECT source_id, count(*) AS queued FROM mine WHERE kind = 6 OR (kind = 5 AND source_id = 5) GROUP BY 1) -- main
 SELECT source_id, documents, coalesce(fresh, 0) AS fresh, coalesce(claims, 0) AS claims, coalesce(queued, 0) AS queued FROM a LEFT JOIN b USING (source_id) LEFT JOIN c USING (source_id) LEFT JOIN q USING (source_id)""")
 def ingest_counters(spark, d):
     return batch(spark, d)["counters"]
 
 
+@query("SELECT o_orderkey AS document_id, o_custkey % 8 AS source_id FROM orders WHERE o_custkey % 8 IN (3, 6)")
+def extractor_registry(spark, d):
+    """Documents that no registered job reads: of a source with a job that isn't registered, and of one without any."""
+    docs = tb.base(spark, d, "orders").selectExpr("o_orderkey AS document_id", "o_custkey % 8 AS source_id", "'' AS title", "'[]' AS content", "CAST(to_date(o_orderdate) AS TIMESTAMP) AS fetched_at")
+    policy = spark.createDataFrame([(k, sorted(extraction.REGISTRY)[k] if k != 3 else "unheard of") for k in (0, 1, 2, 3, 4, 5, 7)], "source_id long, job string")
+    return extraction.extract(docs, policy, extraction.Setting(AS_OF))[1]
+
+
 READ_AGAIN = f"""again AS (SELECT s.* REPLACE (s.id || '+' AS id, s.seq + (SELECT max(seq) FROM stmt) AS seq, CAST(o_orderdate AS DATE) AS observed_at) FROM stmt s JOIN orders ON o_orderkey = s.document_id WHERE s.document_id % 7 = 0 AND s.document_id % 35 <> 0 AND s.severity > 0),
 every AS (SELECT * FROM stmt WHERE document_id NOT IN (SELECT document_id FROM again) UNION ALL SELECT * FROM again),
 gone AS (SELECT a.id FROM every a JOIN every b USING (feature_id, source_id, type) WHERE {OVERLAP} AND (b.seq > a.seq OR (b.seq = a.seq AND b.id > a.id)) AND a.observed_at <= b.observed_at),
@@ -253,9 +288,18 @@ def feature_detail(spark, d):
     )
 
 
-@query("SELECT source_id, count(*) AS claims, count(*) FILTER (last_seen_at > observed_at) AS confirmed, count(superseded_at) AS retired, any_value(r.n) AS runs FROM stmt LEFT JOIN (SELECT source_id, count(*) AS n FROM run GROUP BY 1) r USING (source_id) GROUP BY 1")
+@query("""day_ AS (SELECT source_id, day, count(*) FILTER (w = 'd') AS d, count(*) FILTER (w = 'c') AS c, count(*) FILTER (w = 'u') AS u, count(*) FILTER (w = 's') AS s, count(*) FILTER (w = 'r') AS r FROM (
+  SELECT 1 + o_custkey % 8 AS source_id, CAST(o_orderdate AS DATE) AS day, 'd' AS w FROM orders UNION ALL SELECT source_id, observed_at, 'c' FROM stmt UNION ALL SELECT source_id, seen_at, 'u' FROM ment
+  UNION ALL SELECT source_id, last_seen_at, 's' FROM stmt WHERE last_seen_at > observed_at UNION ALL SELECT source_id, superseded_at, 'r' FROM stmt WHERE superseded_at IS NOT NULL) GROUP BY 1, 2),
+began AS (SELECT source_id, started_at, max(run_id) AS run_id FROM run GROUP BY 1, 2),
+at_ AS (SELECT day_.*, run_id FROM day_ ASOF LEFT JOIN began ON began.source_id = day_.source_id AND began.started_at <= day_.day),
+n AS (SELECT source_id, run_id, sum(d) AS documents, sum(c) AS claims, sum(u) AS unresolved, sum(s) AS confirmed, sum(r) AS retired FROM at_ GROUP BY 1, 2) -- main
+SELECT run.source_id, run.run_id, coalesce(documents, 0)::BIGINT AS documents, coalesce(claims, 0)::BIGINT AS claims, coalesce(unresolved, 0)::BIGINT AS unresolved, coalesce(confirmed, 0)::BIGINT AS confirmed, coalesce(retired, 0)::BIGINT AS retired
+FROM run LEFT JOIN n ON n.source_id = run.source_id AND n.run_id = run.run_id
+UNION ALL SELECT source_id, run_id, documents::BIGINT, claims::BIGINT, unresolved::BIGINT, confirmed::BIGINT, retired::BIGINT FROM n WHERE run_id IS NULL""")
 def run_counters(spark, d):
-    return jobs.run_counters(tb.runs(spark, d), tb.claims(spark, d))
+    docs = tb.base(spark, d, "orders").selectExpr("1 + o_custkey % 8 AS source_id", "to_date(o_orderdate) AS fetched_at")
+    return jobs.run_counters(tb.runs(spark, d), docs, tb.claims(spark, d), tb.mentions(spark, d))
 
 
 @query("SELECT id, greatest(last_seen_at, observed_at + 40) AS last_seen_at FROM stmt WHERE document_id % 2 = 0 UNION ALL SELECT id, last_seen_at FROM stmt WHERE document_id % 2 = 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -21,6 +21,7 @@ from ..streaming.incremental import confirm
 
 # Raw words of sources and what they mean (type, status, severity).
 HUT_STATES = {"SERVICED": ("opening", "open", 0), "UNSERVICED": ("opening", "unstaffed", 1), "CLOSED": ("closure", "closed", 2)}
+WARDEN_HEADING = "periode de gardiennage"
 WIKI_STATES = {"ferme": ("closure", "closed", 2), "detruit": ("closure", "closed", 3), "ouvert": ("opening", "open", 0)}
 
 
@@ -144,16 +145,45 @@ def booking_to_claims(days: DataFrame, as_of, states: tuple[str, ...] = ("availa
     )
 
 
+def season_lines(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, block, place, line, year) with flat, label and rest: what stands before a colon labels its line; a
+    label alone labels the lines of its block after it, up to the next one. The heading of a block is no label."""
+    flat, cut = text.fold(F.trim("line")), F.instr("line", ":")
+    label = F.trim(F.when(cut > 0, F.substr(F.col("line"), F.lit(1), cut - 1)))
+    rest = F.trim(F.when(cut > 0, F.substr(F.col("line"), cut + 1)).otherwise(F.col("line")))
+    heading = F.regexp_replace(flat, r"[\s:.-]+$", "") == WARDEN_HEADING
+    own = lines.withColumns({"flat": flat, "rest": rest, "own": F.when(text.fold(label) != WARDEN_HEADING, F.nullif(label, F.lit("")))}).filter((F.col("flat") != "") & ~heading)
+    dated = F.col("flat").rlike(r"^(ouverture|fermeture)")
+    before = Window.partitionBy("doc_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = F.last(F.when((F.col("rest") == "") & ~dated, F.col("own")), True).over(before)
+    return own.withColumn("label", F.when(dated, carried).otherwise(F.coalesce("own", carried)))
+
+
+def open_close_pairs(lines: DataFrame) -> DataFrame:
+    """(doc_id, block, label, valid_from, valid_to) from lines of season_lines: the last opening and the last closing line of
+    a block and label are one season if they are in order. Labelled seasons of one block stay apart."""
+    window = dates.extract_date_window(F.col("line"))
+    read = lines.filter(F.col("flat").rlike(r"^(ouverture|fermeture)")).withColumns({"opens": F.startswith("flat", F.lit("ouverture")), "w": window})
+    ends = read.groupBy("doc_id", "block", "label").agg(
+        F.max_by("w.start", F.when(F.col("opens") & F.col("w.start").isNotNull(), F.col("place"))).alias("valid_from"),
+        F.max_by("w.end", F.when(~F.col("opens") & F.col("w.end").isNotNull(), F.col("place"))).alias("valid_to"),
+    )
+    return ends.filter("valid_from < valid_to")
+
+
 def warden_seasons_to_claims(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, block, place, line) to warden seasons: both ends on one line, or an opening line and a closing line of one block."""
-    window = F.coalesce(dates.extract_date_window(F.col("line")), dates.extract_coarse_window(F.col("line"), F.col("year")))
-    read = lines.withColumn("w", window).filter("w is not null").withColumn("flat", text.fold(F.col("line")))
-    whole = read.filter("w.start < w.end").select("doc_id", F.col("w.start").alias("valid_from"), F.col("w.end").alias("valid_to"), (F.col("w.rule") == "coarse").alias("approximate"))
-    ends = read.filter("w.start is null or w.end is null or w.start = w.end").groupBy("doc_id", "block").agg(
-        F.min(F.when(F.col("flat").rlike("ouvert"), F.coalesce("w.start", "w.end"))).alias("valid_from"), F.max(F.when(F.col("flat").rlike("fermet"), F.coalesce("w.end", "w.start"))).alias("valid_to")
+    """Lines (doc_id, block, place, line, year) to warden seasons: both ends on one line, by their days or in words, or an
+    opening line and a closing line of one block and label."""
+    read = season_lines(lines)
+    said = F.when(text.fold(F.col("rest")).rlike(r"\b(du|dal) "), F.col("rest")).otherwise(F.concat(F.lit("du "), "rest"))
+    window, coarse = dates.extract_date_window(said), dates.extract_coarse_window(F.col("rest"), F.col("year"))
+    whole = read.filter(~F.col("flat").rlike(r"^(ouverture|fermeture)") & (F.col("rest") != "")).withColumns({"w": window, "c": coarse})
+    days = F.coalesce(F.col("w.start") < F.col("w.end"), F.lit(False))
+    whole = whole.filter(days | F.col("c").isNotNull()).select(
+        "doc_id", "label", F.when(days, F.col("w.start")).otherwise(F.col("c.start")).alias("valid_from"), F.when(days, F.col("w.end")).otherwise(F.col("c.end")).alias("valid_to"), (~days).alias("approximate")
     )
-    pairs = ends.filter("valid_from < valid_to").select("doc_id", "valid_from", "valid_to", F.lit(False).alias("approximate"))
-    return whole.unionByName(pairs).select("*", F.lit("opening").alias("type"), F.lit("open").alias("status"), F.lit(True).alias("wardened"))
+    pairs = open_close_pairs(read).select("doc_id", "label", "valid_from", "valid_to", F.lit(False).alias("approximate"))
+    return whole.unionByName(pairs).select("*", F.lit("opening").alias("type"), F.lit("open").alias("status"), F.lit(0).alias("severity"), F.lit(True).alias("wardened"))
 
 
 def reports_to_claims(reports: DataFrame, as_of, days: int = 30) -> DataFrame:
@@ -171,23 +201,6 @@ def readings_to_claims(readings: DataFrame, docs: DataFrame, types: tuple[str, .
     return rv.demote_undated(claims), checked.filter("reject_reason is not null")
 
 
-#: Source to extraction job; a source without one is skipped and reported by unserved_sources.
-REGISTRY: dict[str, Callable[..., DataFrame]] = {
-    "notices": notices_to_claims, "digests": digest_to_claims, "live_board": live_board_to_claims, "calendar": calendar_to_claims, "timetable": timetable_to_claims,
-    "wiki": wiki_states_to_claims, "availability": availability_to_claims, "booking": booking_to_claims, "wardens": warden_seasons_to_claims, "reports": reports_to_claims,
-}
-
-
-def run_extractors(docs: DataFrame, registry: dict[int, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
-    """(claims of all registered sources, documents of sources without an extractor). Each extractor gets its source's
-    documents only and returns claims with equal columns."""
-    claims = None
-    for source, extract in sorted(registry.items()):
-        own = extract(docs.filter(F.col("source_id") == source))
-        claims = own if claims is None else claims.unionByName(own)
-    return claims, sv.unserved_sources(docs, sorted(registry))
-
-
 def re_extract(docs: DataFrame, extractor: Callable[[DataFrame], DataFrame], stored: DataFrame, check: Callable[[DataFrame], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(claims after one extractor has read all stored documents again, report of every document: claims, error).
 
@@ -309,13 +322,28 @@ def review_cycle(claims: DataFrame, decisions: DataFrame, sources: DataFrame, as
     return decided, st.current_status(decided.join(about, "feature_id", "left_semi"), sources, as_of)
 
 
-def run_counters(runs: DataFrame, stored: DataFrame) -> DataFrame:
-    """(source_id, claims, confirmed, retired) over a source's claims: seen after they were observed, and superseded."""
-    return stored.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("claims"), F.count_if(F.col("last_seen_at") > F.col("observed_at")).alias("confirmed"), F.count_if(F.col("superseded_at").isNotNull()).alias("retired")
-    ).join(runs.groupBy("source_id").agg(F.count(F.lit(1)).alias("runs")), "source_id", "left")
-
+def run_counters(runs: DataFrame, documents: DataFrame, claims: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(run_id, source_id, documents, claims, unresolved, confirmed, retired): what each run brought, zeros included.
 
+    documents (source_id, fetched_at), claims, mentions (source_id, seen_at) belong to the last run of their source up to
+    their day, of several on one day to the one with the largest id; what came before any run has a null run_id. All is
+    counted by source and day first, so that only days are ordered, however many rows a source has.
+    """
+    names = ("documents", "claims", "unresolved", "confirmed", "retired")
+    parts = (
+        (documents, "fetched_at"), (claims, "observed_at"), (mentions, "seen_at"), (claims.filter("last_seen_at > observed_at"), "last_seen_at"), (claims.filter("superseded_at is not null"), "superseded_at"),
+    )
+    days = None
+    for name, (rows, at) in zip(names, parts, strict=True):
+        one = rows.groupBy("source_id", F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n")).select("source_id", "day", F.lit(name).alias("what"), "n")
+        days = one if days is None else days.unionByName(one)
+    by_day = days.groupBy("source_id", "day").pivot("what", list(names)).agg(F.sum("n"))
+    started = runs.groupBy("source_id", F.to_date("started_at").alias("day")).agg(F.max("run_id").alias("run_id"))
+    so_far = Window.partitionBy("source_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = by_day.join(started, ["source_id", "day"], "full").withColumn("run_id", F.last("run_id", True).over(so_far))
+    counted = placed.groupBy("source_id", "run_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+    rest = runs.select("source_id", "run_id").join(counted.filter("run_id is not null"), ["source_id", "run_id"], "left")
+    return rest.unionByName(counted.filter("run_id is null")).fillna(0, list(names))
 
 
 def facts_from_directory(candidates: DataFrame, matches: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -162,18 +162,41 @@ def timetable_to_claims(spark, d):
     return jobs.timetable_to_claims(pages).select("doc_id", "valid_from", "valid_to")
 
 
-@query("""SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS valid_from, CAST(o_orderdate AS DATE) + 60 AS valid_to FROM orders""")
-def warden_seasons_to_claims(spark, d):
-    a, b = F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 60)
+# Each fourth order has two labelled pairs in one block, a pair without label, a season on one line, or one in words.
+SEASONS = """o AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS kind, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 60 AS b FROM orders)"""
+PAIRS = """SELECT doc_id, 'Printemps' AS label, a AS valid_from, a + 9 AS valid_to FROM o WHERE kind = 0
+UNION ALL SELECT doc_id, 'Été', a + 20, b FROM o WHERE kind = 0 UNION ALL SELECT doc_id, NULL, a, b FROM o WHERE kind = 1"""
 
-    def full(c):
+
+def season_text(spark, d):
+    a = F.to_date("o_orderdate")
+
+    def full(days):
+        c = F.date_add(a, days)
         return F.concat_ws(" ", F.dayofmonth(c).cast("string"), month_name(c), F.year(c).cast("string"))
 
-    o = tb.base(spark, d, "orders")
-    pair = F.array(F.concat(F.lit("Ouverture à partir du "), full(a)), F.concat(F.lit("Fermeture jusqu'au "), full(b)))
-    whole = F.array(F.concat(F.lit("Gardé du "), full(a), F.lit(" au "), full(b)))
-    lines = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("block"), F.year(a).alias("year"), F.posexplode(F.when(F.col("o_orderkey") % 2 == 0, pair).otherwise(whole)).alias("place", "line"))
-    return jobs.warden_seasons_to_claims(lines).select("doc_id", "valid_from", "valid_to")
+    def opens(start, end):
+        return F.concat(F.lit("Ouverture du refuge le "), full(start)), F.concat(F.lit("Fermeture du refuge le "), full(end), F.lit(" à 7h"))
+
+    kind = F.col("o_orderkey") % 4
+    apart = F.array(F.lit("Période de gardiennage :"), F.lit("Printemps :"), *opens(0, 9), F.lit(""), F.lit("Été :"), *opens(20, 60))
+    lines = F.when(kind == 0, apart).when(kind == 1, F.array(*opens(0, 60))).when(kind == 2, F.array(F.concat(F.lit("Été : "), full(0), F.lit(" au "), full(60)))).otherwise(
+        F.array(F.lit("Fermeture annuelle inconnue"), F.lit("Période de gardiennage : De mi juin à fin septembre"))
+    )
+    o = tb.base(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("block"), F.year(a).alias("year"), F.posexplode(lines).alias("place", "line"))
+    return o
+
+
+@query(f"{SEASONS} -- main\n{PAIRS}")
+def open_close_pairs(spark, d):
+    return jobs.open_close_pairs(jobs.season_lines(season_text(spark, d))).select("doc_id", "label", "valid_from", "valid_to")
+
+
+@query(f"""{SEASONS} -- main
+SELECT *, false AS approximate FROM ({PAIRS}) UNION ALL SELECT doc_id, 'Été', a, b, false FROM o WHERE kind = 2
+UNION ALL SELECT doc_id, NULL, make_date(year(a), 6, 20), make_date(year(a), 9, 21), true FROM o WHERE kind = 3""")
+def warden_seasons_to_claims(spark, d):
+    return jobs.warden_seasons_to_claims(season_text(spark, d)).select("doc_id", "label", "valid_from", "valid_to", "approximate")
 
 
 @query("""SELECT season, title, min(s) AS "start", max(e) AS "end" FROM (SELECT o_custkey % 5 AS season, lower(o_orderpriority) AS title, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 9 AS e FROM orders) GROUP BY 1, 2""")

@@ -20,10 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written once to the shared folder and read back; by: a column whose values get folders of their own."""
     path = f"{shared_folder(df.sparkSession)}/waymark/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

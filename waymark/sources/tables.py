@@ -67,7 +67,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         base(spark, sf_dir, "orders")
-        .selectExpr("o_orderkey AS run_id", "o_custkey % 8 AS source_id", "to_date(o_orderdate) AS started_at", "o_orderstatus <> 'F' AS ok")
+        .crossJoin(F.broadcast(base(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("suppliers"))))
+        .selectExpr("o_orderkey AS run_id", "1 + o_custkey % suppliers AS source_id", "to_date(o_orderdate) AS started_at", "o_orderstatus <> 'F' AS ok")
     )
 
 
@@ -116,7 +117,7 @@ stmt AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, C
   l_discount >= 0.08 AS needs_review, CASE WHEN l_tax < 0.03 THEN CAST(l_shipdate AS DATE) END AS reviewed_at, l_returnflag = 'R' AND l_linestatus = 'F' AS schedule,
   CASE WHEN l_tax >= 0.07 THEN CAST(l_shipdate AS DATE) + (CAST(l_quantity * 10 AS INT) + 1) END AS superseded_at, CAST(NULL AS VARCHAR) AS superseded_by,
   CASE WHEN l_tax >= 0.08 THEN 'unmentioned' END AS retired_reason, CASE WHEN l_linenumber <> 4 THEN l_returnflag || l_linestatus END AS evidence FROM lineitem),
-run AS (SELECT o_orderkey AS run_id, o_custkey % 8 AS source_id, CAST(o_orderdate AS DATE) AS started_at, o_orderstatus <> 'F' AS ok FROM orders),
+run AS (SELECT o_orderkey AS run_id, 1 + o_custkey % (SELECT count(*) FROM supplier) AS source_id, CAST(o_orderdate AS DATE) AS started_at, o_orderstatus <> 'F' AS ok FROM orders),
 cand AS (SELECT c_custkey AS cand_id, c_name AS name, CAST(100 * (1 + c_custkey % 50) AS INT) AS altitude_m,
   CAST(45.72 AS DOUBLE) + CAST((c_custkey * 37) % 330 AS DOUBLE) / 1000 + CAST(0.0003 AS DOUBLE) AS lat, CAST(6.60 AS DOUBLE) + CAST((c_custkey * 41) % 50 AS DOUBLE) / 1000 AS lon FROM customer),
 cal AS (SELECT DISTINCT user_id AS entity, event_type AS state, CAST(ts AS DATE) AS day FROM events),
