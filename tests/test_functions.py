@@ -198,16 +198,17 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [claim(i, feature_id=1 + i % 3, type="closure" if i % 2 else "opening", status="closed" if i % 2 else "open", observed_at=D(2026, 5, 1) + dt.timedelta(days=i * 7 % 11)) for i in range(1, 31)]
     whole = claims(spark, rows)
     sources = spark.createDataFrame([(1, "s", 0.5, 60, None), (2, "t", 0.4, 60, None)], tb.SCHEMAS["sources"])
-    arrived, retired, told = (inc.Store(spark, f"{tmp_path}/{n}", x) for n, x in (("claims", tb.SCHEMAS["claims"]), ("retired", "id string"), ("status", "feature_id long, status string, claim_id string")))
-    parts = [whole.filter(F.col("seq").between(k * 10 + 1, k * 10 + 10)) for k in range(3)]
-    run_stream(spark, tmp_path, parts, tb.SCHEMAS["claims"], inc.run_claims(arrived, retired, told, sources, "2026-05-20"))
+    live, told = (inc.Buckets(spark, f"{tmp_path}/{n}", x, "feature_id", 8) for n, x in (("claims", tb.SCHEMAS["claims"]), ("status", "feature_id long, status string, claim_id string")))
+    parts = [whole.filter(F.col("seq").between(k * 5 + 1, k * 5 + 5)) for k in range(6)]
+    run_stream(spark, tmp_path, parts, tb.SCHEMAS["claims"], inc.run_claims(live, told, sources, "2026-05-20"))
     batch = lifecycle.settle(whole)
-    assert {r["id"] for r in inc.live_now(arrived, retired).collect()} == {r["id"] for r in batch.collect()}
+    assert {r["id"] for r in live.all().collect()} == {r["id"] for r in batch.collect()}
     expected = {(r["feature_id"], r["status"], r["claim_id"]) for r in st.current_status(batch, sources, "2026-05-20").collect()}
-    assert {(r["feature_id"], r["status"], r["claim_id"]) for r in inc.status_now(told).collect()} == expected
+    assert {(r["feature_id"], r["status"], r["claim_id"]) for r in told.all().collect()} == expected
+    assert len(live._batches("maps")) == 2 and len(live._batches("data")) <= 3  # what no map needs is gone
 
 
-def test_stream_of_sightings_and_absences(spark, tmp_path):
+def test_stream_of_sightings(spark, tmp_path):
     df = claims(spark, [claim(k, document_id=k, last_seen_at=D(2026, 5, k)) for k in range(1, 5)])
     met = [(1, D(2026, 6, 1)), (1, D(2026, 6, 3)), (2, D(2026, 4, 1))]
     store = inc.Store(spark, f"{tmp_path}/met", "document_id long, seen_at date")
@@ -215,15 +216,6 @@ def test_stream_of_sightings_and_absences(spark, tmp_path):
     seen = {r["id"]: r["last_seen_at"] for r in inc.confirm(df, store.all()).collect()}
     whole = {r["id"]: r["last_seen_at"] for r in inc.confirm(df, spark.createDataFrame(met, store.schema)).collect()}
     assert seen == whole and sorted(seen.values()) == [D(2026, 5, 2), D(2026, 5, 3), D(2026, 5, 4), D(2026, 6, 3)]
-    schema = "source_id long, started_at date, ok boolean, id string"
-    ids = sorted(seen)
-    days = [spark.createDataFrame([(1, D(2026, 5, k), k != 5, None), *([(1, D(2026, 5, k), True, ids[0])] if k == 7 else [])], schema) for k in range(1, 9)]
-    runs, mentions = inc.Store(spark, f"{tmp_path}/runs", "source_id long, started_at date, n long"), inc.Store(spark, f"{tmp_path}/mentions", "id string, seen_at date")
-    run_stream(spark, f"{tmp_path}/b", days, schema, inc.run_absences(runs, mentions))
-    every = spark.createDataFrame([(k, 1, D(2026, 5, k), k != 5) for k in range(1, 9)], tb.SCHEMAS["runs"])
-    moved = df.withColumn("last_seen_at", F.when(F.col("id") == ids[0], F.lit(D(2026, 5, 7))).otherwise(F.col("last_seen_at")))
-    got = {r["id"]: r["missed"] for r in inc.absences_now(df, runs, mentions).collect()}
-    assert got == {r["id"]: r["missed"] for r in inc.absence_counts(moved, every).collect()} and got[ids[0]] == 1
 
 
 def test_stream_dedup_and_counts(spark, tmp_path):
