@@ -72,3 +72,14 @@ def test_counters_belong_to_the_run_before(spark):
     seen = spark.createDataFrame([(5, D(2026, 1, 2))], "source_id long, seen_at date")
     got = {(r["source_id"], r["run_id"]): (r["documents"], r["claims"], r["unresolved"], r["confirmed"], r["retired"]) for r in jobs.run_counters(runs, docs, claims, seen).collect()}
     assert got == {(5, 1): (1, 1, 1, 0, 0), (5, 2): (0, 0, 0, 0, 0), (5, 3): (1, 1, 0, 1, 1), (6, 4): (0, 0, 0, 0, 0), (6, None): (1, 0, 0, 0, 0)}
+
+
+def test_rows_at_any_depth(spark):
+    from waymark.sources.json_sources import explode_nested_rows
+
+    row = lambda t, **more: {"title": t, "start": "2026-06-01", "end": "2026-06-05", **more}
+    deep = [{"season": "ete", "a": {"b": [{"c": {"rows": [row("Deep"), row("DEEP", start="2026-05-30")]}}]}}, row("Top"), {"hidden": True, "rows": [row("Gone")]}, [[[[row("Lists", season="printemps", subtitle="S")]]]]]
+    blocks = [json.dumps(deep), json.dumps({"rows": [row("Alone"), row("No day", start=None), row("Odd", start="soon"), {"title": "Holder", "rows": [row("Inside", hidden=True)]}]}), "no json", None, "[]", "3"]
+    got = sorted((r["season"] or "", r["title"], r["subtitle"], r["start"], r["end"]) for r in explode_nested_rows(spark.createDataFrame([(b,) for b in blocks], "json string")).collect())
+    a, b = D(2026, 6, 1), D(2026, 6, 5)
+    assert got == [("", "alone", "", a, b), ("", "top", "", a, b), ("ete", "deep", "", D(2026, 5, 30), b), ("printemps", "lists", "s", a, b)]

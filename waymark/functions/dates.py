@@ -63,20 +63,21 @@ def _date(flat: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
     return F.try_to_date(F.concat_ws("-", _year(y), F.lpad(_month(m), 2, "0"), F.lpad(d, 2, "0")))
 
 
-def date_rules(flat: Column) -> list[Column]:
+def date_rules(flat: Column, french: Column, italian: Column, numeric: Column) -> list[Column]:
     """One nullable window for each rule, most specific first, over text from fold_typography.
 
-    The first match of a rule counts. A rule that names an impossible date gives null, so that a later one may apply.
+    The first match of a rule counts. A rule that names an impossible date gives null, so that a later one may apply. Rules
+    are tried only where the text holds a day before a month's name of their language, or days with slashes.
     """
     out = []
-    for words, months, mark in ((FRENCH, MONTHS_FR, ""), (ITALIAN, MONTHS_IT, ":it")):
+    for words, months, mark, named in ((FRENCH, MONTHS_FR, "", french), (ITALIAN, MONTHS_IT, ":it", italian)):
         for name, shape, start, end in RULES + ((BARE_SINGLE,) if mark else ()):
             pattern = _pattern(shape, words, months)
             a = _date(flat, pattern, start) if start else F.lit(None).cast("date")
             b = _date(flat, pattern, end) if end else F.lit(None).cast("date")
             if name == "from_until_split":  # a season over New Year starts in the year before
                 a = F.when(a > b, F.add_months(a, -12)).otherwise(a)
-            fits = flat.rlike(pattern) & (a.isNotNull() if start else F.lit(True)) & (b.isNotNull() if end else F.lit(True))
+            fits = (numeric if "N" in shape else named) & flat.rlike(pattern) & (a.isNotNull() if start else F.lit(True)) & (b.isNotNull() if end else F.lit(True))
             out.append(F.when(fits, F.struct(a.alias("start"), b.alias("end"), F.lit(name + mark).alias("rule"))))
     return out
 
@@ -84,7 +85,15 @@ def date_rules(flat: Column) -> list[Column]:
 def extract_date_window(text: Column) -> Column:
     """(start, end, rule) by the first rule that gives a real window; null without one. Both ends count."""
     # bound once: as one flat expression the rules would outgrow a generated method
-    return F.get(F.transform(F.array(fold_typography(text)), lambda flat: F.coalesce(*date_rules(flat))), F.lit(0))
+    return F.get(F.transform(F.array(fold_typography(text)), _first_window), F.lit(0))
+
+
+def _first_window(flat: Column) -> Column:
+    def holds(months: tuple[str, ...]) -> Column:
+        return flat.rlike(rf"\d(?:\s*er)?\s+(?:{'|'.join(months)})")
+
+    seen = F.struct(holds(MONTHS_FR).alias("french"), holds(MONTHS_IT).alias("italian"), flat.rlike(r"\d/\d{1,2}/\d{2}").alias("numeric"))
+    return F.get(F.transform(F.array(seen), lambda x: F.when(x["french"] | x["italian"] | x["numeric"], F.coalesce(*date_rules(flat, x["french"], x["italian"], x["numeric"])))), F.lit(0))
 
 
 def assume_year(text: Column, year: Column) -> Column:

@@ -199,6 +199,23 @@ def warden_seasons_to_claims(spark, d):
     return jobs.warden_seasons_to_claims(season_text(spark, d)).select("doc_id", "label", "valid_from", "valid_to", "approximate")
 
 
+# Rows at five depths of one block for each customer: a hidden one, one without a day, and a season inside a season.
+@query("""o AS (SELECT o_custkey AS id, lower(o_orderpriority) AS title, CAST(o_orderdate AS DATE) AS s, o_orderkey % 5 AS depth FROM orders) -- main
+SELECT id, CASE depth WHEN 4 THEN 'inner' ELSE 'outer' END AS season, title, min(s) AS "start", max(s + 9) AS "end" FROM o WHERE depth <> 3 GROUP BY ALL""")
+def explode_nested_rows(spark, d):
+    from ..sources.json_sources import explode_nested_rows as explode
+
+    start = F.to_date("o_orderdate")
+    row = F.struct(F.col("o_orderpriority").alias("title"), F.date_format(start, "yyyy-MM-dd").alias("start"), F.date_format(F.date_add(start, 9), "yyyy-MM-dd").alias("end"))
+    o = tb.base(spark, d, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 5).alias("depth"), row.alias("row"))
+    at = [F.collect_list(F.when(F.col("depth") == k, F.col("row"))) for k in range(5)]
+    b = o.groupBy("id").agg(*(a.alias(f"r{k}") for k, a in enumerate(at)))
+    deep = F.struct(F.lit("inner").alias("season"), F.struct(F.array(F.struct(F.col("r4").alias("rows"))).alias("tables")).alias("page"))
+    hidden = F.struct(F.lit(True).alias("hidden"), F.col("r3").alias("rows"))
+    block = F.struct(F.lit("outer").alias("season"), F.col("r0").alias("top"), F.struct(F.col("r1").alias("rows"), F.array(F.struct(F.col("r2").alias("list"))).alias("more"), hidden.alias("aside")).alias("x"), F.array(deep).alias("y"), F.lit("no date").alias("title"))
+    return explode(b.select("id", F.to_json(F.array(block)).alias("json")), carry=("id",)).select("id", "season", "title", "start", "end")
+
+
 @query("""SELECT season, title, min(s) AS "start", max(e) AS "end" FROM (SELECT o_custkey % 5 AS season, lower(o_orderpriority) AS title, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 9 AS e FROM orders) GROUP BY 1, 2""")
 def calendar_to_claims(spark, d):
     from ..sources.json_sources import explode_nested_rows

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def _yes_no(c: Column) -> Column:
     return F.when(c == "oui", True).when(c == "non", False)
@@ -58,15 +60,33 @@ def flatten_outings(envelopes: DataFrame, as_of, column: str = "json", days: int
     return rows.withColumn("severity", known[F.col("rating")]).filter(F.col("severity").isNotNull() & F.col("day").between(F.date_sub(at, days), at))
 
 
-BLOCKS = "array<struct<hidden:boolean,season:string,rows:array<struct<hidden:boolean,title:string,subtitle:string,start:string,end:string>>>>"
-
-
-def explode_nested_rows(blocks: DataFrame, column: str = "json") -> DataFrame:
-    """Shown rows of shown tables with a start day, each (season, title, subtitle) once regardless of case."""
-    t = blocks.select(F.explode(F.from_json(column, BLOCKS)).alias("t")).filter("not coalesce(t.hidden, false)")
-    r = t.select(F.col("t.season").alias("season"), F.explode("t.rows").alias("r")).filter("not coalesce(r.hidden, false)")
-    rows = r.select("season", "r.title", "r.subtitle", F.try_to_date("r.start").alias("start"), F.try_to_date("r.end").alias("end")).filter("start is not null")
-    return rows.groupBy("season", F.lower("title").alias("title"), F.lower("subtitle").alias("subtitle")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+def explode_nested_rows(blocks: DataFrame, column: str = "json", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (season, title, subtitle, start, end) at any depth of JSON blocks, each season, title and subtitle once
+    regardless of case; `carry` names columns of blocks that keep rows apart and stay.
+
+    A row is an object with a title and a start day. What stands inside a hidden object is hidden, and a season holds for
+    all inside it, up to the next one. Each step takes the parts of all objects and arrays of one depth, until none is left;
+    what can't be parsed gives nothing.
+    """
+    level, rows = blocks.select(*carry, F.try_parse_json(column).alias("v"), F.lit(None).cast("string").alias("season")), None
+
+    def told(name: str, kind: str = "string"):
+        return F.try_variant_get("v", f"$.{name}", kind)
+
+    def parts(v):
+        return F.coalesce(v.try_cast("array<variant>"), F.map_values(v.try_cast("map<string,variant>")))
+
+    while True:
+        shown = level.filter(F.col("v").isNotNull() & ~F.coalesce(told("hidden", "boolean"), F.lit(False))).withColumn("season", F.coalesce(told("season"), "season"))
+        shown = written(shown, "level")
+        own = shown.select(*carry, "season", told("title").alias("title"), told("subtitle").alias("subtitle"), F.try_to_date(told("start")).alias("start"), F.try_to_date(told("end")).alias("end"))
+        own = own.filter("title is not null and start is not null")
+        rows = own if rows is None else rows.unionByName(own)
+        level = shown.select(*carry, "season", F.explode(parts(F.col("v"))).alias("v")).filter(parts(F.col("v")).isNotNull())
+        if level.isEmpty():
+            break
+    keys = [*carry, "season", F.lower("title").alias("title"), F.lower(F.coalesce("subtitle", F.lit(""))).alias("subtitle")]
+    return rows.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def classify_osm_tags(elements: DataFrame) -> DataFrame:
