@@ -57,3 +57,19 @@ def test_a_tie_between_features_resolves_to_none_and_keeps_its_candidates(spark,
     assert told["Mulets"]["feature_id"] is None and [c["key"] for c in told["Mulets"]["candidates"]][:2] == ["grands mulets", "petits mulets"]
     assert told["Mulets"]["candidates"][0]["score"] == told["Mulets"]["candidates"][1]["score"] == 90.0
     assert told["Grand Mulets"]["feature_id"] == 4 and told["Grand Mulets"]["tier"] == "similar"
+
+
+def test_rings_with_many_edges_and_exceptions(spark):
+    import math
+
+    from waymark.operators import places
+
+    circle = [{"lat": 46 + 0.2 * math.sin(k / 50 * math.pi), "lon": 7 + 0.3 * math.cos(k / 50 * math.pi)} for k in range(100)]
+    square = [{"lat": 45.9, "lon": 7.1}, {"lat": 46.1, "lon": 7.1}, {"lat": 46.1, "lon": 8.0}, {"lat": 45.9, "lon": 8.0}]
+    rings = spark.createDataFrame([("circle", circle), ("square", square)], "ring_id string, ring array<struct<lat:double,lon:double>>")
+    points = [(1, 46.0, 7.0), (2, 46.01, 7.2), (3, 46.05, 7.9), (4, 47.0, 7.0), (5, 46.0, 6.9), (6, 46.0, 7.05)]
+    told = spark.createDataFrame([(5, None), (4, "square")], "id long, ring_id string")
+    got = sorted(tuple(r) for r in places.rings_of_points(spark.createDataFrame(points, "id long, lat double, lon double"), rings, "id", told).collect())
+    assert got == [(1, "circle"), (2, "circle"), (2, "square"), (3, "square"), (4, "square"), (6, "circle")]
+    lines = spark.createDataFrame([(1, square[:3]), (2, [])], "id long, line array<struct<lat:double,lon:double>>")
+    assert [(r["id"], r["lat"], r["lon"]) for r in places.line_midpoints(lines).collect()] == [(1, 46.1, 7.1)]

@@ -37,7 +37,7 @@ def patch_config(sources: DataFrame, patches: DataFrame, new_sources: DataFrame)
 
 def licence_gate(facts: DataFrame, licences: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Facts that may be published: licensed source, known key, a value."""
-    return facts.filter(F.col("value").isNotNull() & F.col("key").isin(*keys)).join(F.broadcast(licences.filter("licence is not null").select("source_id", "licence")), "source_id")
+    return facts.filter(F.col("value").isNotNull() & F.col("key").isin(*keys)).join(licences.filter("licence is not null").select("source_id", "licence"), "source_id")
 
 
 def merge_fact_values(facts: DataFrame, sources: DataFrame) -> DataFrame:

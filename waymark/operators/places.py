@@ -64,6 +64,34 @@ def point_in_polygon(points: DataFrame, ring: list[tuple[float, float]]) -> Data
     return points.filter(box).filter(crossings % 2 == 1)
 
 
+def rings_of_points(points: DataFrame, rings: DataFrame, point_id: str, exceptions: DataFrame | None = None, band: float = 0.05) -> DataFrame:
+    """(point_id, ring_id) of points (lat, lon) and each ring of a table (ring_id, ring: array of lat, lon) that holds them.
+
+    Rings of any number and size are cut into edges, and each edge is posted to the bands of latitude that it passes; points
+    meet the edges of their own band, and a ring with an odd number of edges to the east holds the point. exceptions
+    (point_id, ring_id) say where a point belongs whatever its position; a null ring_id says nowhere.
+    """
+    at = F.posexplode("ring").alias("place", "a")
+    following = F.coalesce(F.get("ring", F.col("place") + 1), F.get("ring", F.lit(0)))
+    edges = rings.select("ring_id", "ring", at).select("ring_id", F.col("a.lat").alias("y1"), F.col("a.lon").alias("x1"), following["lat"].alias("y2"), following["lon"].alias("x2")).filter("y1 != y2")
+    bands = F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band))
+    posted = edges.withColumn("band", F.explode(bands))
+    asked = points.select(point_id, "lat", "lon", F.floor(F.col("lat") / band).alias("own_band"))
+    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    met = asked.join(posted, (F.col("own_band") == F.col("band")) & crosses)
+    inside = met.groupBy(point_id, "ring_id").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select(point_id, "ring_id")
+    if exceptions is None:
+        return inside
+    told = exceptions.select(point_id, "ring_id")
+    return inside.join(told.select(point_id), point_id, "left_anti").unionByName(told.filter("ring_id is not null").join(points.select(point_id), point_id, "left_semi"))
+
+
+def line_midpoints(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Lines with lat and lon of their middle vertex, by which a line counts as inside or outside."""
+    middle = F.get(F.col(line), F.floor(F.size(line) / 2).cast("int"))
+    return lines.filter(F.size(line) > 0).withColumns({"lat": middle["lat"], "lon": middle["lon"]})
+
+
 def known_name_dedupe(candidates: DataFrame, features: DataFrame) -> DataFrame:
     """Candidates that share no folded name with a known feature."""
     known = features.select(key_exact(F.col("name")).alias("key")).distinct()

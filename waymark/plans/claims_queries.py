@@ -103,7 +103,7 @@ SELECT feature_id, coalesce(stale_after < $as_of, false) AS stale,
   CASE WHEN coalesce(stale_after < $as_of, false) THEN 'old' WHEN claim_id IS NOT NULL AND (last_seen_at IS NULL OR epoch(last_seen_at::TIMESTAMP) + coalesce(interval_min, 1440) * 120 < epoch($as_of::TIMESTAMP)) THEN 'unchecked' END AS doubt
 FROM stat LEFT JOIN src USING (source_id)""")
 def stale_overdue_doubt(spark, d):
-    joined = status_of(spark, d).join(F.broadcast(tb.sources(spark, d).select("source_id", "interval_min")), "source_id", "left")
+    joined = status_of(spark, d).join(tb.sources(spark, d).select("source_id", "interval_min"), "source_id", "left")
     flags = joined.select("feature_id", st.is_stale(AS_OF).alias("stale"), st.is_overdue(AS_OF).alias("overdue"))
     return flags.withColumn("doubt", st.doubt(F.col("stale"), F.col("overdue")))
 

@@ -30,11 +30,11 @@ def digest_to_claims(spark, d):
     return jobs.digest_to_claims(docs, [*DICT, (7, "ouverte"), (8, "ing")])
 
 
-@query("""items AS (SELECT source_id AS sector, id AS lift, status = 'unknown' AS p, status = 'open' AS o FROM stmt WHERE type <> 'restriction' AND document_id % 5 = 0),
+@query("""items AS (SELECT source_id AS sector, id AS lift, status = 'unknown' AS p, status = 'open' AS o FROM stmt WHERE type <> 'restriction'),
 sec AS (SELECT sector, NULL AS lift, CASE WHEN bool_and(p) THEN 'unknown' WHEN count(*) FILTER (o) = 0 THEN 'closed' WHEN bool_and(o) THEN 'open' ELSE 'restricted' END AS status FROM items GROUP BY 1) -- main
 SELECT sector, lift, status FROM sec UNION ALL SELECT sector, lift, CASE WHEN p THEN 'unknown' WHEN o THEN 'open' ELSE 'closed' END FROM items""")
 def live_board_to_claims(spark, d):
-    items = tb.claims(spark, d).filter("document_id % 5 = 0").selectExpr("source_id AS sector", "id AS lift", "CASE WHEN type = 'restriction' THEN 'trail' ELSE 'lift' END AS kind", "status = 'unknown' AS is_pending", "status = 'open' AS is_open")
+    items = tb.claims(spark, d).selectExpr("source_id AS sector", "id AS lift", "CASE WHEN type = 'restriction' THEN 'trail' ELSE 'lift' END AS kind", "status = 'unknown' AS is_pending", "status = 'open' AS is_open")
     return jobs.live_board_to_claims(items).select("sector", "lift", "status")
 
 

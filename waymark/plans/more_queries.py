@@ -134,11 +134,11 @@ def assume_year(spark, d):
     return w.select("o_orderkey", "w.start", "w.end")
 
 
-@query("""SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) + 9 AS "start", CAST(date_trunc('month', o_orderdate + INTERVAL 1 MONTH) AS DATE) + 20 AS "end" FROM orders WHERE month(o_orderdate) < 12""")
+@query("""SELECT o_orderkey, CASE WHEN month(o_orderdate) < 12 THEN CAST(date_trunc('month', o_orderdate) AS DATE) + 9 END AS "start", CASE WHEN month(o_orderdate) < 12 THEN CAST(date_trunc('month', o_orderdate + INTERVAL 1 MONTH) AS DATE) + 20 END AS "end" FROM orders""")
 def extract_coarse_window(spark, d):
     a = F.to_date("o_orderdate")
     phrase = F.concat(F.lit("gardé début "), month_name(a), F.lit(" à fin "), month_name(F.add_months(a, 1)))
-    w = tb.base(spark, d, "orders").filter(F.month(a) < 12).select("o_orderkey", da.extract_coarse_window(phrase, F.year(a)).alias("w"))
+    w = tb.base(spark, d, "orders").select("o_orderkey", da.extract_coarse_window(phrase, F.year(a)).alias("w"))
     return w.select("o_orderkey", "w.start", "w.end")
 
 

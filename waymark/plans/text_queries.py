@@ -247,9 +247,9 @@ def pairs_within(spark, d):
     return p.select("feature_id", F.col("r_cand_id").alias("cand_id"), F.round("metres", 4).alias("metres"))
 
 
-@query(f"SELECT cand_id FROM cand b WHERE NOT EXISTS (SELECT 1 FROM feat a WHERE a.feature_id % 20 = 0 AND abs(a.lat - b.lat) < 0.0014 AND abs(a.lon - b.lon) < 0.0029 AND sqrt(pow((a.lat - b.lat) * 111000.0, 2) + pow((a.lon - b.lon) * 111000.0 * cos(radians(b.lat)), 2)) < 150)")
+@query(f"SELECT cand_id FROM cand b WHERE NOT EXISTS (SELECT 1 FROM feat a WHERE abs(a.lat - b.lat) < 0.0014 AND abs(a.lon - b.lon) < 0.0029 AND sqrt(pow((a.lat - b.lat) * 111000.0, 2) + pow((a.lon - b.lon) * 111000.0 * cos(radians(b.lat)), 2)) < 150)")
 def radius_dedupe(spark, d):
-    return pl.radius_dedupe(tb.candidates(spark, d), tb.features(spark, d).filter("feature_id % 20 = 0")).select("cand_id")
+    return pl.radius_dedupe(tb.candidates(spark, d), tb.features(spark, d)).select("cand_id")
 
 
 @query(f"{NEAR} -- main\nSELECT feature_id, min(cand_id) AS cand_id, round(min(m), 4) AS metres FROM near WHERE abs(fa - ca) <= 120 GROUP BY 1 HAVING count(*) = 1")
@@ -274,6 +274,21 @@ def point_in_polygon(spark, d):
     return pl.point_in_polygon(tb.features(spark, d), RING).select("feature_id")
 
 
+# A country for each nation: a box in a grid of five columns, with a dent that goes to no one and a vertex on each side.
+COUNTRY = """box AS (SELECT n_nationkey AS ring_id, 45.7195 + (n_nationkey // 5) * 0.067 AS y, 6.5995 + (n_nationkey % 5) * 0.01 AS x FROM nation),
+held AS (SELECT p.feature_id, b.ring_id FROM feat p JOIN box b ON p.lat > b.y AND p.lat < b.y + 0.067 AND p.lon > b.x AND p.lon < b.x + 0.01 WHERE NOT (p.lat > b.y + 0.02 AND p.lat < b.y + 0.04 AND p.lon > b.x + 0.004))"""
+
+
+@query(f"{COUNTRY} -- main\nSELECT feature_id, ring_id FROM held WHERE feature_id % 9 <> 0 UNION ALL SELECT feature_id, feature_id % 25 FROM feat WHERE feature_id % 18 = 0")
+def rings_of_points(spark, d):
+    y, x = "45.7195D + (n_nationkey div 5) * 0.067D", "6.5995D + (n_nationkey % 5) * 0.01D"
+    corners = [(0, 0), (0, 0.003), (0, 0.01), (0.02, 0.01), (0.02, 0.004), (0.04, 0.004), (0.04, 0.01), (0.067, 0.01), (0.067, 0), (0.03, 0)]
+    ring = F.array(*(F.struct((F.expr(y) + a).alias("lat"), (F.expr(x) + b).alias("lon")) for a, b in corners))
+    rings = tb.base(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("ring_id"), ring.alias("ring"))
+    told = tb.features(spark, d).filter("feature_id % 9 = 0").select("feature_id", F.when(F.col("feature_id") % 2 == 0, F.col("feature_id") % 25).alias("ring_id"))
+    return pl.rings_of_points(tb.features(spark, d), rings, "feature_id", told)
+
+
 @query("SELECT kind, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max, round(sqrt(pow((max(lat) - min(lat)) * 111.0, 2) + pow((max(lon) - min(lon)) * 111.0 * 0.7, 2)), 6) AS span_km FROM feat GROUP BY 1")
 def line_extent(spark, d):
     e = pl.line_extent(tb.features(spark, d), ["kind"])
@@ -317,12 +332,12 @@ def waypoint_line(spark, d):
 
 
 @query(f"""geo AS (SELECT *, CASE cand_id % 3 WHEN 0 THEN 'hut' ELSE 'shop' END AS kind FROM cand),
-known AS (SELECT * FROM feat WHERE feature_id % 20 = 0) -- main
+known AS (SELECT * FROM feat) -- main
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT (({CROSS}) % 2 = 1) THEN 'outside' WHEN kind <> 'hut' THEN 'kind'
  WHEN EXISTS (SELECT 1 FROM known a WHERE abs(a.lat - b.lat) < 0.0014 AND abs(a.lon - b.lon) < 0.0029 AND sqrt(pow((a.lat - b.lat) * 111000.0, 2) + pow((a.lon - b.lon) * 111000.0 * cos(radians(b.lat)), 2)) < 150) THEN 'too near' ELSE 'new' END AS reason FROM geo b) GROUP BY 1""")
 def new_features_from_candidates(spark, d):
     c = tb.candidates(spark, d).withColumn("kind", F.when(F.col("cand_id") % 3 == 0, "hut").otherwise("shop"))
-    told = pl.new_features_from_candidates(c, tb.features(spark, d).filter("feature_id % 20 = 0"), RING, ["hut"])
+    told = pl.new_features_from_candidates(c, tb.features(spark, d), RING, ["hut"])
     return told.groupBy(F.coalesce("reason", F.lit("new")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -509,7 +524,7 @@ def first_claim_wins(spark, d):
     return do.first_claim_wins(s, ["kind"]).select("doc_id", "sentence")
 
 
-@query("SELECT user_id, event_id, reports FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS reports FROM events WHERE event_type = 'click') WHERE rn = 1")
+@query("SELECT user_id, event_type, event_id, reports FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id, event_type) AS reports FROM events) WHERE rn = 1")
 def newest_report(spark, d):
-    e = tb.base(spark, d, "events").filter("event_type = 'click'").withColumn("reports", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
-    return li.first_by(e, ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "reports")
+    e = tb.base(spark, d, "events").withColumn("reports", F.count(F.lit(1)).over(Window.partitionBy("user_id", "event_type")))
+    return li.first_by(e, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", "reports")

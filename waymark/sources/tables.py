@@ -85,9 +85,9 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of features by source: two keys from each of two suppliers' views of a part."""
-    return base(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").selectExpr(
-        "l_partkey AS feature_id", "l_suppkey AS source_id", "CASE WHEN l_linenumber = 1 THEN 'beds' ELSE 'phone' END AS key",
+    """Facts of features by source: a key from each supplier's view of a part."""
+    return base(spark, sf_dir, "lineitem").selectExpr(
+        "l_partkey AS feature_id", "l_suppkey AS source_id", "CASE l_linenumber % 3 WHEN 1 THEN 'beds' WHEN 2 THEN 'phone' ELSE 'site' END AS key",
         "CASE WHEN l_tax > 0.01D THEN CAST(CAST(l_quantity AS INT) AS STRING) END AS value", "to_date(l_shipdate) AS fetched_at",
     )
 
@@ -121,7 +121,7 @@ run AS (SELECT o_orderkey AS run_id, 1 + o_custkey % (SELECT count(*) FROM suppl
 cand AS (SELECT c_custkey AS cand_id, c_name AS name, CAST(100 * (1 + c_custkey % 50) AS INT) AS altitude_m,
   CAST(45.72 AS DOUBLE) + CAST((c_custkey * 37) % 330 AS DOUBLE) / 1000 + CAST(0.0003 AS DOUBLE) AS lat, CAST(6.60 AS DOUBLE) + CAST((c_custkey * 41) % 50 AS DOUBLE) / 1000 AS lon FROM customer),
 cal AS (SELECT DISTINCT user_id AS entity, event_type AS state, CAST(ts AS DATE) AS day FROM events),
-fact AS (SELECT l_partkey AS feature_id, l_suppkey AS source_id, CASE WHEN l_linenumber = 1 THEN 'beds' ELSE 'phone' END AS key,
-  CASE WHEN l_tax > 0.01 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS value, CAST(l_shipdate AS DATE) AS fetched_at FROM lineitem WHERE l_linenumber <= 2),
+fact AS (SELECT l_partkey AS feature_id, l_suppkey AS source_id, CASE l_linenumber % 3 WHEN 1 THEN 'beds' WHEN 2 THEN 'phone' ELSE 'site' END AS key,
+  CASE WHEN l_tax > 0.01 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS value, CAST(l_shipdate AS DATE) AS fetched_at FROM lineitem),
 ment AS (SELECT o_custkey % 8 AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS mention, CAST(o_orderdate AS DATE) AS seen_at FROM orders JOIN customer ON o_custkey = c_custkey)
 """
