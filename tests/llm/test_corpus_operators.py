@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,7 @@ from waymark.llm import (
 )
 from waymark.llm import queries as registered
 
+ROOT = Path(__file__).resolve().parents[2]
 FOLDER = "/root/testdata/sf0.001"
 ODD_SCHEMA = "doc_id long, text string, lang string, source string, id string, kept boolean, digest int, cls string, lost_id long, words string"
 LONG = "wort und haus sind lang " * 12_000
@@ -581,3 +587,83 @@ def test_pipeline(spark):
     sets = [shingles(t, 5) for t in kept.values()]
     assert len(set(sets)) == len(sets)
     assert {r["doc_id"] for r in held.collect()} == set(kept)
+
+
+def test_pii_is_linear_in_spans(spark):
+    """50,000 spans, base and further ones in turn, in one text: found and masked in seconds, as the plain rules have it."""
+    text = " ".join(f"a{i}@x.org tel 212 555-{i % 10_000:04d}" for i in range(25_000))
+    start = time.perf_counter()
+    found = pii._candidates(text)
+    masked = pii.mask_spans(text, [(c["kind"], c["start"], c["end"]) for c in found])
+    assert time.perf_counter() - start < 5
+    assert len(found) == 50_000 and masked == " ".join(["<EMAIL> tel <LOCAL_PHONE>"] * 25_000)
+
+
+def test_pii_spans_apart_and_masks_equal_brute_force():
+    r = random.Random(5)
+    parts = ["a@b.org", "+49 (0) 30 123456", "212-555-0101", "1.2.3.4", "4111 1111 1111 1111", "123-45-6789", "key=abcdef123456GHIJ7890", "Anna Berg", "Mr. Hans Roth", " ", "x", "é", "="]
+    for _ in range(1500):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        certain = pii.base_spans(t)
+        apart = [x for x in pii.further_spans(t) if all(e <= x[1] or x[2] <= s for _, s, e in certain)]
+        got = pii._candidates(t)
+        assert [(c["kind"], c["start"], c["end"]) for c in got] == certain + apart
+        spans = [x for x in certain + apart if r.random() < 0.7]
+        kind_at, last = {}, 0
+        for s, e, k in sorted(((s, e, k) for k, s, e in spans), key=lambda x: (x[0], -x[1], x[2])):
+            if s >= last:
+                kind_at[s], last = (e, k), e
+        out, i = "", 0
+        while i < len(t):
+            if i in kind_at:
+                out, i = out + f"<{pii.KINDS[kind_at[i][1]].upper()}>", kind_at[i][0]
+            else:
+                out, i = out + t[i], i + 1
+        assert pii.mask_spans(t, spans) == out
+
+
+def test_pii_reliabilities_equal_plain_expectation_maximisation():
+    """The estimates over counted patterns equal a plain loop over single spans, one kind at a time."""
+    r = random.Random(6)
+    patterns = sorted({(k, *(r.randint(0, 2) for _ in range(4)), 0, 0) for k in (0, 5) for _ in range(12)})
+    counts = [r.randint(1, 9) for _ in patterns]
+    got = pii.estimate_reliabilities(np.array(patterns), np.array(counts, float), rounds=20)
+    for kind in (0, 5):
+        spans = [p[1:5] for p, n in zip(patterns, counts, strict=True) if p[0] == kind for _ in range(n)]
+        truth = [min(0.98, max(0.02, 0.5 + 0.22 * sum(v - 1 for v in votes))) for votes in spans]
+        for _ in range(20):
+            n, yes = len(spans), sum(truth)
+            prior = (yes + 1) / (n + 2)
+            new = []
+            for votes in spans:
+                odds = prior / (1 - prior)
+                for j, v in enumerate(votes):
+                    same = [t for t, other in zip(truth, spans, strict=True) if other[j] == v]
+                    of_true = (sum(same) + (1, 1, 2)[v]) / (yes + 4)
+                    of_false = (sum(1 - t for t in same) + (2, 1, 1)[v]) / (n - yes + 4)
+                    odds *= of_true / of_false
+                new.append(odds / (1 + odds))
+            truth = new
+        exp = {votes: t for votes, t in zip(spans, truth, strict=True)}
+        for p, t in zip(patterns, got, strict=True):
+            if p[0] == kind:
+                assert abs(t - exp[p[1:5]]) < 1e-4, (p, t, exp[p[1:5]])
+
+
+def test_names_are_proposed_without_a_cue():
+    t = "Yesterday Maria Lopez met The Peter Paul Smith in New York; Anna left."
+    assert [t[s:e] for k, s, e in pii.further_spans(t) if k == 8] == ["Maria Lopez", "Peter Paul Smith"]
+
+
+def test_masking_first_in_a_session_whose_workers_lack_the_package(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from waymark.llm import pii
+print(pii.mask_pii(spark.createDataFrame([(1, "write a@b.org"), (2, None)], "doc_id long, text string")).collect())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "write <EMAIL>" in done.stdout, done.stderr[-2000:]

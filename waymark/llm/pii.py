@@ -17,13 +17,14 @@ that starts first wins, then the longer.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize
+from .common import free_names, materialize, ship_code
 
 #: Base kinds first, in the order of reports.
 KINDS = ("email", "ip", "card", "phone", "local_phone", "ssn", "iban", "secret", "name", "written_email")
@@ -39,8 +40,9 @@ _LOCAL_PHONE = re.compile(r"(?<![+0-9.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SECRET = re.compile(r"[=:]\x20{0,2}[\"']?([A-Za-z0-9_/+-]{12,})")
-_NAME_CUES = ("name is ", "Name: ", "Mr. ", "Mrs. ", "Ms. ", "Dr. ")
+_NAME_CUES = ("name is ", "Name: ", "Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Herr ", "Frau ", "Monsieur ", "Madame ", "Señor ", "Señora ")
 _NAME = re.compile(r"[A-Z][a-z]+(?:\x20[A-Z][a-z]+){0,2}")
+_FULL_NAME = re.compile(r"(?<![A-Za-z])[A-Z][a-z]+(?:\x20[A-Z][a-z]+)+(?![A-Za-z])")
 _AT, _DOT = (rf"(?:\x20{x}\x20|\x20?\[{x}\]\x20?|\x20?\({x}\)\x20?)" for x in ("at", "dot"))
 _WRITTEN = re.compile(rf"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z]{{2,}}+)+")
 
@@ -49,7 +51,7 @@ _ENDINGS = frozenset("com org net edu gov io info biz co us uk de fr es it eu ch
 _COUNTRY_CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "60", "61", "62", "64", "65", "66", "7", "81", "82", "86", "90", "91", "351", "353", "358", "420")
 _CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "6011", "65", "35", "36", "38")
 _IBAN_LENGTHS = {"DE": 22, "FR": 27, "ES": 24, "IT": 27, "GB": 22, "CH": 21, "NL": 18, "BE": 16, "AT": 20, "PL": 28, "PT": 25, "SE": 24, "LU": 20, "IE": 22, "DK": 18, "NO": 15, "FI": 18}
-_GIVEN_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Peter Paul Maria Laura Hans Klaus Jean Pierre Marie Juan Carlos Ana Luis Sofia Emma Noah Liam Olivia Daniel Alice Bob".split())
+_GIVEN_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Peter Paul Maria Laura Hans Klaus Jean Pierre Marie Juan Carlos Ana Luis Sofia Emma Noah Liam Olivia Daniel Alice Bob Nancy Lisa Betty Margaret Sandra Ashley Emily Kimberly Donna Michelle Carol Amanda Dorothy Melissa Deborah Christopher Matthew Anthony Mark Donald Steven Andrew Kenneth Joshua Kevin Brian George Timothy Ronald Edward Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Ursula Monika Petra Sabine Wolfgang Jürgen Stefan Andreas Markus Claire Nathalie Isabelle Philippe François Michel Nicolas Carmen Isabel Pilar Javier Miguel Antonio Francisco José Diego Giulia Marco Luca Giovanni".split())
 _CUES = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "credit", "payment", "tarjeta", "karte", "carte"),
     "phone": ("tel", "phone", "call", "fax", "mobile"), "local_phone": ("tel", "phone", "call", "fax", "mobile"), "ssn": ("ssn", "social", "security"), "iban": ("iban", "account", "bank", "konto"),
@@ -88,6 +90,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _given(run: re.Match) -> int | None:
+    """Where the first given name with a word after it starts in a run of capitalised words."""
+    at, words = run.start(), run[0].split(" ")
+    for word in words[:-1]:
+        if word in _GIVEN_NAMES:
+            return at
+        at += len(word) + 1
+    return None
+
+
 def further_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of what the looser patterns propose."""
     out = [(4, m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
@@ -100,6 +112,11 @@ def further_spans(text: str) -> list[tuple[int, int, int]]:
             if m := _NAME.match(text, at + len(cue)):
                 out.append((8, m.start(), m.end()))
             at = text.find(cue, at + len(cue))
+    cued, taken = {x[1] for x in out if x[0] == 8}, set()
+    for m in _FULL_NAME.finditer(text):
+        if (start := _given(m)) is not None and start not in cued and start not in taken:
+            taken.add(start)
+            out.append((8, start, m.end()))
     if "dot" in text:
         out += [(9, m.start(), m.end()) for m in _WRITTEN.finditer(text)]
     return out
@@ -151,11 +168,24 @@ CANDIDATES = "array<struct<kind:int,start:int,end:int,base:boolean,regex:int,gaz
 _ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), *((x, pa.int32()) for x in (*LABELERS, "length", "shape"))]))
 
 
+def _stretches(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, apart from each other and in order."""
+    starts, ends = [], []
+    for start, end in sorted(x[1:] for x in spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def _candidates(text: str | None) -> list[dict]:
     out = []
     if text:
         certain = base_spans(text)
-        further = [x for x in further_spans(text) if not any(s < x[2] and x[1] < e for _, s, e in certain)]
+        starts, ends = _stretches(certain)
+        further = [x for x in further_spans(text) if not (at := bisect_left(starts, x[2])) or ends[at - 1] <= x[1]]
         for base, spans in ((True, certain), (False, further)):
             for kind, start, end in spans:
                 told = zip((*LABELERS, "length", "shape"), (*_votes(text, kind, start, end), *_bucket(text, start, end)), strict=True)
@@ -253,6 +283,7 @@ def _written(spans: Column) -> Column:
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id, n_ of each base kind, base_sha256, spans (text), n_added."""
+    ship_code(df.sparkSession)
     found = materialize(df.select(df[id_col].alias("id"), candidates(df[text_col]).alias("found")), "candidates")
     weights = learn(F.col("found"), found)
     out = found.select("id", F.filter(accepted(F.col("found"), weights), lambda s: s["base"]).alias("base"), accepted(F.col("found"), weights).alias("spans"))
@@ -266,19 +297,31 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def mask_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with each accepted span of the text replaced by its kind in angle brackets; all columns stay.
 
-    The rows are written once with their candidates beside them; learning and masking read that table.
+    The rows are written once with their candidates beside them; learning and masking read that table. Only texts with an
+    accepted span go through the masking pass, which is linear in text and spans.
     """
+    ship_code(df.sparkSession)
     (name,) = free_names(df, "pii_found")
     held = materialize(df.withColumn(name, candidates(df[text_col])), "candidates")
-    weights = learn(F.col(name), held)
-    text = F.col(text_col)
-    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    spans = F.sort_array(F.transform(accepted(F.col(name), weights), lambda s: F.struct(s["start"], -s["end"], s["kind"])))
-
-    def step(state: Column, s: Column) -> Column:
-        after = -s["col2"]
-        fresh = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"]))
-        return F.when(s["start"] >= state["at"], F.struct(after.alias("at"), fresh.alias("out"))).otherwise(state)
-
-    folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return held.withColumn(text_col, F.when(F.size(name) > 0, folded).otherwise(text)).select(*df.columns)
+    spans = accepted(F.col(name), learn(F.col(name), held))
+    hit = F.size(spans) > 0
+    masked = _masked(F.when(hit, F.col(text_col)), F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"])))
+    return held.withColumn(text_col, F.when(hit, masked).otherwise(F.col(text_col))).select(*df.columns)
+
+
+def mask_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with spans (kind, start, end) as kinds in angle brackets; of overlapping ones the first, then longest, wins."""
+    out, at = [], 0
+    for start, end, kind in sorted((s, -e, k) for k, s, e in spans):
+        if start >= at:
+            out += [text[at:start], f"<{KINDS[kind].upper()}>"]
+            at = -end
+    return "".join([*out, text[at:]])
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return pa.array([None if not t.is_valid else mask_spans(t.as_py(), [tuple(s.values()) for s in f.as_py()]) for t, f in zip(texts, found, strict=True)], pa.string())
+
+    return masked(text, spans)
