@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hashed_words, hot_join, keep_decided, materialize, salted_join, shingle_hashes
+from .common import U64, hashed_words, hot_join, keep_decided, materialize, salted_join, shingle_hashes, ship_code
 from .components import components
 
 _COORDINATES = np.random.default_rng(811).integers(0, 2**63, (2, 256), dtype=np.uint64)
@@ -108,7 +108,7 @@ def _postings(classes: DataFrame, coords: int, matches: int) -> DataFrame:
     posted = classes.select("cls", "n_shingles", F.posexplode("sig").alias("coord", "value")).select("cls", "n_shingles", key.alias("g"))
     shared = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.col("g").alias("k"), "df")
     listed = (
-        posted.join(shared, F.col("g") == F.col("k"))
+        hot_join(posted, materialize(shared, "shared"), "g", "k", "df")
         .groupBy("cls", "n_shingles")
         .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("found"))  # at most `coords` of them
         .filter(F.size("found") >= matches)
@@ -216,6 +216,7 @@ def near_dup_classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, coords: int = 32, matches: int = 16, small: int = 16, block: int = 256
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: id, key, cls, n_shingles; classes: cls, rep; links: a, b between classes); rep: (none, id, key) of the least row."""
+    ship_code(df.sparkSession)
     keyed = _keyed(df, id_col, text_col)
     id_type = keyed.schema["id"].dataType.simpleString()
     rows = materialize(
