@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ship_code, written
+
 #: The white space of every word rule in this subpackage: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,35 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only a local session may go without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file:///tmp/checkpoints"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, a lost executor costs a reread only."""
     ship_code(df.sparkSession)
-    path = f"{shared_folder(df.sparkSession)}/waymark/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once, for sessions whose workers don't find it on their path."""
-    context = spark.sparkContext
-    if not getattr(context, "waymark_shipped", False):
-        context.waymark_shipped = True
-        root = Path(__file__).resolve().parents[2]
-        folder = tempfile.mkdtemp(prefix="spark-")
-        with zipfile.ZipFile(f"{folder}/waymark_code.zip", "w") as archive:
-            for file in sorted((root / "waymark").rglob("*.py")):
-                archive.write(file, file.relative_to(root))
-        context.addPyFile(f"{folder}/waymark_code.zip")
+    return written(df, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship_code
 from .ngrams import gram_counts, grams
 
 
@@ -73,6 +74,7 @@ def _predict(batches: Iterable[pa.RecordBatch], model: tuple, size: int) -> Iter
 
 def predict_language(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
     """One row for each row of df: id, lang_pred, score."""
+    ship_code(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(
         partial(_predict, model=rank_table(profiles, size), size=size), f"id {kind}, lang_pred string, score double"

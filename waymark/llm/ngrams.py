@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_code
+
 BITS, MASK = 21, (1 << 21) - 1
 SPACE = 32
 
@@ -68,4 +70,5 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gram_counts(df: DataFrame) -> DataFrame:
     """(label, gram, n) over a table (label string, text string): counted in each task, then summed."""
+    ship_code(df.sparkSession)
     return df.mapInArrow(_count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, string_buffers
+from .common import materialize, ship_code, string_buffers
 from .merges import Merges
 
 RUN_BYTES = 1 << 22
@@ -183,6 +183,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id: int
 
 def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4096, end_id: int = 1) -> DataFrame:
     """(pid, id, piece, start, length, ids_crc32): one row for each piece; pid is unique."""
+    ship_code(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(
         partial(_pieces, path=path, most=most, end_id=end_id), f"pid long, id {kind}, piece int, start long, length long, ids_crc32 long"

@@ -23,10 +23,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .common import string_buffers
+from .common import ship_code, string_buffers
 from .merges import Dropout, Merges, PairTable
 
 META = "▁"
@@ -144,6 +144,7 @@ def _encode_run(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, model:
 
 def encode_with_dropout(text: Column, row_id: Column, path: str, rate: float = 0.1, seed: int = 7) -> Column:
     """Array of piece ids for a column of texts; the hash of (seed, row_id) keys the choices of a row."""
+    ship_code(SparkSession.active())
 
     @F.arrow_udf("array<int>")
     def encoded(keys: pa.Array, column: pa.Array) -> pa.Array:
@@ -155,6 +156,7 @@ def encode_with_dropout(text: Column, row_id: Column, path: str, rate: float = 0
 
 def decode_ids(ids: Column, path: str) -> Column:
     """Column of texts of a column of ids."""
+    ship_code(SparkSession.active())
 
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:

@@ -20,9 +20,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship_code
+
 CACHED_PIECES = 300_000
 BLOCK = 64
 
@@ -163,6 +165,7 @@ def _follow(text: str | None, edits: list[dict] | None, counter: PieceCounter) -
 
 def counts_after_edits(text: Column, edits: Column, path: str, pattern: str) -> Column:
     """Struct of token counts before and after a document's edits, its pre-tokens, those counted again, the edited text."""
+    ship_code(SparkSession.active())
 
     @F.arrow_udf(COUNTS)
     def counted(texts: pa.Array, lists: pa.Array) -> pa.Array:

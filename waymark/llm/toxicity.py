@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join, string_buffers
+from .common import materialize, salted_join, ship_code, string_buffers
 from .ngrams import BITS, MASK, SPACE, gram_counts
 
 # How single characters are read in leetspeak.
@@ -386,6 +386,7 @@ def score_toxicity(
     df: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 50_000
 ) -> DataFrame:
     """One row for each row of df: id, score, predicted. learn_from: function of the id column, true where labels may be used."""
+    ship_code(df.sparkSession)
     bare = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     tokens = materialize(bare.select("text").mapInArrow(_noisy_tokens, "token string").distinct(), "tokens")
     readings = read_tokens(tokens, letter_counts(bare))
