@@ -1,17 +1,18 @@
 """Personal data by weak supervision.
 
 One Arrow pass per text proposes candidate spans: every base match (email, ip, card, phone) and matches of looser
-patterns for further kinds. Four labelers vote for, against or abstain on each: the strict format (regex), lists of
-known prefixes, endings and names (gazetteer), words near the span (context), and the characters that touch it (edge).
+patterns for further kinds; names after a cue word or, without one, where a listed given name leads capitalised words.
+Four labelers vote for, against or abstain on each: the strict format (regex), lists of known prefixes, endings and names
+(gazetteer), words near the span (context), and the characters that touch it (edge).
 Spark counts the vote patterns of the whole table; there are at most kinds x 3^4 x lengths x shapes of them, 14,580,
 whatever the input. From these counts expectation-maximisation estimates, for each kind, how often each labeler votes
 which way on true and on false spans (a Dawid-Skene model), and a logistic span classifier is trained on the resulting
 probabilities. It is applied as a Spark expression. Base spans always stay; a further one is added at 0.5 or more.
 
 Defined cases: null and empty texts have no spans. Repeated rows are treated one by one. With no candidates in the table
-nothing is added; an empty table gives no rows. Very long texts are searched whole, in linear time. Other columns,
-whatever their names, are left as they are. Offsets are code points, ends exclusive. Spans of different kinds may overlap; for masking, the one
-that starts first wins, then the longer.
+nothing is added; an empty table gives no rows. Very long texts are searched and masked whole, in time linear in text
+and spans but for sorting the spans. Other columns, whatever their names, are left as they are. Offsets are code points, ends exclusive. Spans of different kinds may
+overlap; for masking, the one that starts first wins, then the longer.
 """
 
 from __future__ import annotations
