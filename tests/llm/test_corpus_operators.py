@@ -225,6 +225,36 @@ def test_base_spans_equal_the_plain_patterns():
         assert pii.base_spans(t) == exp, t
 
 
+def test_pii_exact_columns_equal_the_plain_patterns(spark):
+    """Counts by kind and digest of the base spans: kinds alone, several of one kind, kinds left out, none, null."""
+    r = random.Random(7)
+    parts = ["a@b.org", "1.2.3.4", "1.2.3.256", "4111 1111 1111 1111", "4111111111111112", "+49 (0) 30 123456", "+1 23", "é😀", "x", "\x00", "key=abcdef123456GHIJ7890"]
+    texts = [None, "", "a@b.org", "1.2.3.4", "4111-1111-1111-1111", "+49 30 1234567", "+49 30 1234567; +49 30 1234568", "a@b.org " * 3000]
+    texts += [r.choice([" ", "; "]).join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(400)]
+    kinds = ("email", "ip", "card", "phone")
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 * (int(c) > 4)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def digits(m):
+        return re.sub("[^0-9]", "", m[0])
+
+    def plain(t):
+        found = (
+            list(re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)),
+            [m for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))],
+            [m for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))],
+            [m for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15],
+        )
+        told = ",".join(f"{k}:{m.start()}:{m.end()}" for k, ms in zip(kinds, found, strict=True) for m in ms)
+        return (*map(len, found), hashlib.sha256(told.encode()).hexdigest())
+
+    got = pii.find_pii(table(spark, texts))
+    assert [got.schema[f"n_{k}"].dataType.simpleString() for k in kinds] == ["bigint"] * 4
+    rows = {r["doc_id"]: (*(r[f"n_{k}"] for k in kinds), r["base_sha256"]) for r in got.collect()}
+    assert rows == {i: plain(t or "") for i, t in enumerate(texts)}
+
+
 def test_pii_method_adds_and_leaves(spark):
     rows = [f'note token = "{hashlib.sha1(str(i).encode()).hexdigest()}" end' for i in range(30)] + [f"call me, tel (212) 555-01{i:02d} today" for i in range(30)] + ["plain words only, version 3.14 of page 12"] * 20
     got = pii.find_pii(table(spark, rows)).collect()

@@ -282,13 +282,18 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _counted(spans: Column, kind: int) -> Column:
+    # A second parameter of the function, even one with a default, would be given the place in the array.
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id, n_ of each base kind, base_sha256, spans (text), n_added."""
     ship_code(df.sparkSession)
     found = materialize(df.select(df[id_col].alias("id"), candidates(df[text_col]).alias("found")), "candidates")
     weights = learn(F.col("found"), found)
     out = found.select("id", F.filter(accepted(F.col("found"), weights), lambda s: s["base"]).alias("base"), accepted(F.col("found"), weights).alias("spans"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [_counted(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select(
         F.col("id").alias(id_col), *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
