@@ -12,3 +12,21 @@ def test_a_source_is_new_by_its_slug(spark):
     new = spark.createDataFrame([(100, "c", 5), (0, "a", 7), (7, "b", 7)], now.schema)
     patches = now.select("source_id", F.lit(360).alias("old_interval"), F.lit(60).alias("new_interval"))
     assert sorted(tuple(r) for r in fa.patch_config(now, patches, new).collect()) == [(0, "a", 60), (100, "b", 180), (100, "c", 5)]
+
+
+def test_best_name_of_a_fitting_height(spark):
+    from waymark.operators import places as pl
+
+    own = [(1, "Refuge Customer 000000123", 1000), (2, "Refuge Customer 000000123", 2000), (3, "Refuge Customer 000000124", None), (4, "Nothing like it", 1000), (5, "Refuge Customer 000000123", 5000)]
+    features = spark.createDataFrame([(*x, 46.0 + x[0], 6.6, None) for x in own], "feature_id long, name string, altitude_m int, lat double, lon double, curated_id long")
+    offered = [(11, "Refuge Customer 000000123", 1120), (10, "Refuge Customer 000000123", 1090), (12, "Refuge Customer 000000129", 1999), (13, "Refuge Customer 000000199", 2000), (14, "refuge customer 000000124", 9), (15, "Refuge Customer 000009124", None)]
+    candidates = spark.createDataFrame([(*x, 0.0, 0.0) for x in offered], "cand_id long, name string, altitude_m int, lat double, lon double")
+    got = sorted(tuple(r) for r in pl.match_directory(features, candidates).collect())
+    assert got == [(1, 10, "name"), (2, 12, "name"), (3, 14, "name"), (5, 15, "name")]
+
+
+def test_floors_that_a_plain_ratio_reaches_with_a_letter_more_missing(spark):
+    from waymark.operators.similar import similar_pairs
+
+    sides = [spark.createDataFrame([(x,)], "key string") for x in ("customer 000012345", "customer 000012945")]
+    assert [r["score"] for r in similar_pairs(*sides, 94.0).collect()] == [200 * 17 / 36]
