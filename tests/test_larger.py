@@ -30,3 +30,30 @@ def test_floors_that_a_plain_ratio_reaches_with_a_letter_more_missing(spark):
 
     sides = [spark.createDataFrame([(x,)], "key string") for x in ("customer 000012345", "customer 000012945")]
     assert [r["score"] for r in similar_pairs(*sides, 94.0).collect()] == [200 * 17 / 36]
+
+
+def test_equal_positions_meet_once(spark):
+    from waymark.operators import places as pl
+
+    f = spark.range(1, 5001).select(F.col("id").alias("feature_id"), F.lit("a").alias("name"), (F.col("id") % 4 * 100).cast("int").alias("altitude_m"), F.lit(46.0).alias("lat"), F.lit(6.6).alias("lon"))
+    c = f.select((F.col("feature_id") + 10000).alias("cand_id"), "name", (F.col("altitude_m") + 50).alias("altitude_m"), F.col("lat") + 0.001, "lon").withColumnRenamed("(lat + 0.001)", "lat")
+    one = c.filter("cand_id % 4 = 3 and cand_id > 14998").withColumn("altitude_m", F.lit(1000))
+    for found in (pl.radius_dedupe(c, f).count(), pl.match_by_position(f, c).count()):
+        assert found == 0
+    near = pl.nearest_within(f, c)
+    assert [tuple(r) for r in near.select("cand_id").distinct().collect()] == [(10001,)] and near.count() == 5000
+    assert {r["cand_id"] for r in pl.match_by_position(f.filter("feature_id < 9").withColumn("altitude_m", F.lit(1100)), c.unionByName(one)).collect()} == {14999}
+    plan = pl._near(f.select("lat", "lon"), c.select("lat", "lon"), 150.0)
+    assert plan.count() == 1
+    pairs = pl.pairs_within(f.limit(50), c.limit(40), 150.0)
+    assert pairs.count() == 2000 and pairs.columns == [*f.columns, *(f"r_{x}" for x in c.columns), "metres"]
+
+
+def test_ways_are_listed_once_for_a_key(spark):
+    from waymark.operators import places as pl
+
+    f = spark.range(3).select(F.col("id").alias("feature_id"), F.lit("TC Bochard").alias("name"))
+    ways = spark.createDataFrame([(9, "telecabine du Bochard 2"), (4, "Bochard"), (5, "Index")], "way_id long, name string")
+    assert sorted(tuple(r) for r in pl.match_machines(f, ways).collect()) == [(k, [4, 9], 2) for k in range(3)]
+    counted = pl.match_machines(f, ways).select("feature_id", "n_ways")
+    assert "collect_list" not in counted._jdf.queryExecution().optimizedPlan().toString()
