@@ -57,3 +57,25 @@ def test_ways_are_listed_once_for_a_key(spark):
     assert sorted(tuple(r) for r in pl.match_machines(f, ways).collect()) == [(k, [4, 9], 2) for k in range(3)]
     counted = pl.match_machines(f, ways).select("feature_id", "n_ways")
     assert "collect_list" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark, tmp_path):
+    from waymark.sources.shared import written
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, tracker = spark.conf.get(key, None), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    n = tracker.shuffleStatuses().size()
+    assert written(spark.range(1000).repartition(7, "id"), "dealt").count() == 1000
+    assert tracker.shuffleStatuses().size() <= n + 1 and spark.conf.get(key, None) == before  # that of the count alone
+
+
+def test_dry_run_and_counters_write_no_claims(spark, monkeypatch):
+    from waymark.operators import lifecycle
+    from waymark.plans import catalog
+
+    def refuse(*_):
+        raise AssertionError("stored claims are settled for a report")
+
+    monkeypatch.setattr(lifecycle, "settle", refuse)
+    assert catalog.QUERIES["re_extract_report"](spark, "/root/testdata/sf0.001").count() == 1500
+    assert catalog.QUERIES["ingest_counters"](spark, "/root/testdata/sf0.001").count() == 8
